@@ -25,7 +25,7 @@ def new_file(folder: str, suffix: str) -> str:
 def open_output(uri: str):
     fs, path = filesystem(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
-    return fs.open_output_stream(path)
+    return fs.open_output_stream(path, compression=None)
 
 
 def open_input(uri: str):
