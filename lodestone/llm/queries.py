@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 from lodestone.runtime import Scratch, read_table
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by 5-word shingle similarity of 0.8 or more."""
+    from lodestone.llm import jaccard
+
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page to WARC archives, read them back as chunk rows, and report each record."""
     from lodestone.llm import warc
@@ -64,6 +71,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_warc": op3_warc,
     "op4_token_counts": op4_token_counts,
     "op5_html_extraction": op5_html_extraction,
