@@ -8,6 +8,7 @@ folder of the local machine is chosen.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -64,6 +65,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(where)
         return self.spark.read.schema(schema).parquet(where)
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str = "") -> None:
         """Delete one table, or the whole folder."""
         jvm = self.spark.sparkContext._jvm
