@@ -70,6 +70,14 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove every word covered by a 20-word window that also starts earlier."""
+    from lodestone.llm import substring
+
+    kept = substring.remove_repeats(read_table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_warc": op3_warc,
@@ -78,5 +86,6 @@ QUERIES = {
     "op6_media": op6_media,
     "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}

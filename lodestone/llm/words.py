@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _IS_SEP = np.zeros(256, dtype=bool)
 _IS_SEP[list(SEPARATORS)] = True
+#: For loose comparison: every ASCII byte that is no letter or digit separates.
+LOOSE = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -101,7 +103,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def blocks(column: pa.Array, max_bytes: int = 4 << 20) -> Iterator[Words]:
+def blocks(column: pa.Array, max_bytes: int = 4 << 20, separators: np.ndarray = _IS_SEP) -> Iterator[Words]:
     """The words of a column of texts, a few MB of whole texts at a time."""
     data, offsets = utf8(column)
     rows, lo = len(offsets) - 1, 0
@@ -110,14 +112,14 @@ def blocks(column: pa.Array, max_bytes: int = 4 << 20) -> Iterator[Words]:
         hi = min(max(hi, lo + 1), rows)
         begin, end = int(offsets[lo]), int(offsets[hi])
         part, bounds = data[begin:end], offsets[lo : hi + 1] - begin
-        yield split(part, bounds, lo)
+        yield split(part, bounds, lo, separators)
         lo = hi
 
 
-def split(data: np.ndarray, text_bounds: np.ndarray, first_row: int = 0) -> Words:
+def split(data: np.ndarray, text_bounds: np.ndarray, first_row: int = 0, separators: np.ndarray = _IS_SEP) -> Words:
     n = len(data)
     inside = np.zeros(n + 2, dtype=bool)
-    inside[1:-1] = ~_IS_SEP[data]
+    inside[1:-1] = ~separators[data]
     opens = inside[1:-1] & ~inside[:-2]
     closes = inside[1:-1] & ~inside[2:]
     cuts = text_bounds[(text_bounds > 0) & (text_bounds < n)]
