@@ -19,6 +19,15 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delete aligned line blocks that an earlier document has: doc_id, n_lines, n_removed, kept_sha256."""
+    from lodestone.llm import lines
+
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = lines.dedup_lines(documents, Scratch(spark, "op2"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every page to WARC archives, read them back as chunk rows, and report each record."""
     from lodestone.llm import warc
@@ -78,8 +87,16 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents: doc_id, item_id, bm25, question, answer."""
+    from lodestone.llm import decontaminate
+
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
     "op4_token_counts": op4_token_counts,
     "op5_html_extraction": op5_html_extraction,
@@ -87,5 +104,6 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_bpe": op8_bpe,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
