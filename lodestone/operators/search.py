@@ -57,6 +57,14 @@ def query_tokens(spark, words: str, fields: tuple[str, ...]) -> dict[str, list[s
     return {f: list(row[f]) for f in fields}
 
 
+def _frequency(tokens: str, token: str) -> Column:
+    return F.size(F.filter(tokens, lambda x: x == token))
+
+
+def _shifted(k: int) -> Column:
+    return F.transform("positions", lambda p: p - k)
+
+
 def scan_scores(docs: DataFrame, tokens: dict[str, list[str]], boosts: dict[str, float], scope: str | None = None) -> DataFrame:
     """relative_path, kind, score of every matching document, straight from the documents.
 
@@ -68,7 +76,7 @@ def scan_scores(docs: DataFrame, tokens: dict[str, list[str]], boosts: dict[str,
     counted = docs.select("relative_path", "kind", *(ANALYZERS[f](F.col(f)).alias(f) for f in fields)).select(
         "relative_path", "kind",
         *(F.size(f).alias(f"len_{f}") for f in fields),
-        *(F.size(F.filter(f, lambda x, t=t: x == t)).alias(f"tf_{f}_{k}") for f in fields for k, t in enumerate(tokens[f])),
+        *(_frequency(f, t).alias(f"tf_{f}_{k}") for f in fields for k, t in enumerate(tokens[f])),
     )
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"), *(F.avg(f"len_{f}").alias(f"mean_{f}") for f in fields),
@@ -96,7 +104,7 @@ def index_scores(post: DataFrame, stats: DataFrame, tokens: dict[str, list[str]]
 
 def phrase_matches(post: DataFrame, field: str, tokens: list[str]) -> DataFrame:
     """relative_path and matches: where the tokens stand side by side in this order."""
-    keyed = [post.where((F.col("field") == field) & (F.col("token") == t)).select("relative_path", F.transform("positions", lambda p, k=k: p - k).alias(f"p{k}")) for k, t in enumerate(tokens)]
+    keyed = [post.where((F.col("field") == field) & (F.col("token") == t)).select("relative_path", _shifted(k).alias(f"p{k}")) for k, t in enumerate(tokens)]
     joined = reduce(lambda a, b: a.join(b, "relative_path"), keyed)
     common = reduce(F.array_intersect, [F.col(f"p{k}") for k in range(len(tokens))])
     return joined.select("relative_path", F.size(common).alias("matches")).where("matches > 0")
