@@ -13,8 +13,8 @@ groups of near copies never meet in all their pairs:
 1. Every posting list is sorted by min-hashes and each member is verified against the one before it:
    as many candidates as postings.  The links found give provisional components.
 2. Only posting lists that still hold several components are searched completely, and only across
-   components: short lists as pairs with a count of shared prefix shingles, long ones (LONG_LIST) block by block
-   within tasks that return the links needed to connect their members.
+   components: short lists as pairs, verified if they share enough prefix shingles; long ones (over
+   LONG_LIST) block by block within tasks that return the links needed to connect their members.
 
 All links are verified on whole sets.  The classes' components are the answer; pairs within a component
 are not listed.
@@ -97,6 +97,11 @@ def matches_wanted(frequencies: np.ndarray, background: float) -> int:
     return 1 + min(MAX_EXTRA, int(math.log2(1 + cost / 16)))
 
 
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two 16-bit min-hashes as one 31-bit number (the top bit of the first is dropped)."""
+    return ((a & 0x7FFF) << 16) | b
+
+
 def signatures(df: DataFrame, sketch: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n (set size), key (128 bits of the set), wanted, prefix, and four min-hashes in two longs."""
     shared = df.sparkSession.sparkContext.broadcast(sketch)
@@ -119,7 +124,7 @@ def signatures(df: DataFrame, sketch: np.ndarray, doc_id: str = "doc_id", text:
                     k = min(matches_wanted(often[order[:base]].astype(np.float64), background), required(n))
                     wanted.append(k)
                     own = s[order[: base + k - 1]].view(np.int64)
-                    mins.append([int(mix(s * m).min() >> _U(33)) for m in seeds])
+                    mins.append([int(mix(s * m).min() >> _U(48)) for m in seeds])
                 else:
                     wanted.append(0)
                     own = np.zeros(0, np.int64)
@@ -131,7 +136,7 @@ def signatures(df: DataFrame, sketch: np.ndarray, doc_id: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(wanted, pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array((m[:, 0] << 31) | m[:, 1]), pa.array((m[:, 2] << 31) | m[:, 3]),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(_near(m[:, 0], m[:, 1])), pa.array(_near(m[:, 2], m[:, 3])),
                 ],
                 names=["doc_id", "n", "key", "wanted", "prefix", "near_a", "near_b"],
             )
@@ -142,44 +147,44 @@ def signatures(df: DataFrame, sketch: np.ndarray, doc_id: str = "doc_id", text:
 
 
 def _shared_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by shingle, those whose shingle may occur again, with the member before.
+    """Of postings sorted by shingle, those whose shingle may occur again, with the member before where the
+    two agree on a min-hash and their sizes allow a link.
 
-    A list can go on in the next partition, so the first and the last list of a partition stay whole.
+    A list can go on in the next partition, so the first and the last posting of a partition always stay.
     """
     held: pa.RecordBatch | None = None
-    tail_before: tuple[int, int, int] | None = None  # token, rep, n just before ``held``
+    last: tuple[int, int, int] | None = None  # token, info, rep just before ``held``
     begun = False
 
-    def emit(batch: pa.RecordBatch, following: int | None, at_start: bool, at_end: bool) -> pa.RecordBatch:
-        nonlocal tail_before
-        token, rep, n = (batch.column(c).to_numpy() for c in ("token", "rep", "n"))
-        same = np.zeros(len(token), dtype=bool)
-        same[1:] = token[1:] == token[:-1]
-        if tail_before is not None:
-            same[0] = token[0] == tail_before[0]
-        next_same = np.append(same[1:], following is not None and token[-1] == following)
-        before, before_n = np.roll(rep, 1), np.roll(n, 1)
-        if tail_before is not None:
-            before[0], before_n[0] = tail_before[1:]
-        keep = same | next_same
-        if at_start:
-            keep[0] = True
-        if at_end:
-            keep[-1] = True
-        pair = same & (before != rep) & (5 * np.minimum(n, before_n) >= 4 * np.maximum(n, before_n))
-        tail_before = (int(token[-1]), int(rep[-1]), int(n[-1]))
-        out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, mask=~pair)], names=[*batch.schema.names, "before"])
+    def emit(batch: pa.RecordBatch, following: int | None) -> pa.RecordBatch:
+        nonlocal last
+        token, info, rep = (batch.column(c).to_numpy() for c in ("token", "info", "rep"))
+        before = [np.roll(x, 1) for x in (token, info, rep)]
+        if last is not None:
+            for x, value in zip(before, last, strict=True):
+                x[0] = value
+        same = token == before[0]
+        if last is None:
+            same[0] = False
+        keep = same | np.append(same[1:], following is not None and token[-1] == following)
+        keep[0] |= not begun
+        keep[-1] |= following is None
+        differs = (info ^ before[1]) >> 32
+        n, m = (info & 0xFFFFFFFF) >> 4, (before[1] & 0xFFFFFFFF) >> 4
+        pair = same & (rep != before[2]) & ((differs & 0xFFFF == 0) | (differs >> 16 == 0)) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
+        last = (int(token[-1]), int(info[-1]), int(rep[-1]))
+        out = pa.RecordBatch.from_arrays([batch.column("token"), batch.column("rep"), batch.column("info"), pa.array(before[2], mask=~pair)], names=["token", "rep", "info", "before"])
         return out.filter(pa.array(keep))
 
     for batch in batches:
         if not batch.num_rows:
             continue
         if held is not None:
-            yield emit(held, batch.column("token")[0].as_py(), not begun, False)
+            yield emit(held, batch.column("token")[0].as_py())
             begun = True
         held = batch
     if held is not None:
-        yield emit(held, None, not begun, True)
+        yield emit(held, None)
 
 
 def _intersections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,27 +259,37 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, doc_id
     classes = real.groupBy("key").agg(F.min("doc_id").alias("rep"))
     members = scratch.table(real.select("doc_id", "n", "key").join(classes, "key").select("doc_id", "n", "rep"), "members")
     heads = real.join(classes.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"], "left_semi").withColumnRenamed("doc_id", "rep")
-    postings = heads.select(F.explode("prefix").alias("token"), "rep", F.col("n").cast("int").alias("n"), "wanted", "near_a", "near_b").select(
-        "token", "rep", "n", "wanted", F.when(F.col("token") % 2 == 0, F.col("near_a")).otherwise(F.col("near_b")).alias("near")
+    # min-hashes, size and matches wanted travel as one number: 31, 28 and 4 bits
+    packed = lambda near: F.shiftleft(near, 32) + F.col("n") * 16 + F.col("wanted")
+    postings = heads.select(F.explode("prefix").alias("token"), "rep", packed(F.col("near_a")).alias("a"), packed(F.col("near_b")).alias("b")).select(
+        "token", "rep", F.when(F.col("token") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("info")
     )
-    ranged = postings.repartitionByRange(parts, "token", "near", "rep").sortWithinPartitions("token", "near", "rep")
-    shared = scratch.table(ranged.mapInArrow(_shared_postings, "token long, rep long, n int, wanted int, near long, before long").drop("near"), "shared")
-
-    involved = shared.select("rep").distinct()
+    ranged = postings.repartitionByRange(parts, "token", "info", "rep").sortWithinPartitions("token", "info", "rep")
+    shared = scratch.table(ranged.mapInArrow(_shared_postings, "token long, rep long, info long, before long"), "shared")
+    scratch.release()
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in _sets(batch, "text")], pa.binary())], names=["rep", "set"])
 
-    own = documents.withColumnRenamed("doc_id", "rep").join(involved, "rep", "left_semi")
-    sets = scratch.table(own.mapInArrow(to_sets, "rep long, set binary").dropDuplicates(), "sets")
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        own = documents.withColumnRenamed("doc_id", "rep").join(ids, "rep", "left_semi")
+        out = scratch.table(own.mapInArrow(to_sets, "rep long, set binary"), name)
+        scratch.release()
+        return out
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
 
     # step 1: neighbours in sorted posting lists
-    pairs = shared.where("before is not null").select(F.least("rep", "before").alias("a"), F.greatest("rep", "before").alias("b")).distinct()
-    first = connected_components(_verified(pairs, sets), scratch, "first")
+    pairs = scratch.table(shared.where("before is not null").select(F.least("rep", "before").alias("a"), F.greatest("rep", "before").alias("b")).distinct(), "pairs")
+    first = connected_components(_verified(pairs, sets_of(ends(pairs), "sets-1")), scratch, "first")
+    scratch.drop("sets-1")
+    scratch.release()
 
     # step 2: what is left between components
-    labelled = shared.drop("before").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    unpacked = shared.select("token", "rep", F.expr("cast((info & 4294967295) div 16 as int)").alias("n"), F.expr("cast(info & 15 as int)").alias("wanted"))
+    labelled = unpacked.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     live = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token", "size")
     open_lists = scratch.table(labelled.join(live, "token"), "open")
     long = open_lists.where(F.col("size") > LONG_LIST)
@@ -282,12 +297,18 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, doc_id
     short = open_lists.where(F.col("size") <= LONG_LIST).join(in_long, "rep", "left").na.fill(0, ["in_long"])
     x = short.select("token", *(F.col(c).alias(f"{c}_a") for c in ("rep", "n", "wanted", "comp", "in_long")))
     y = short.select("token", *(F.col(c).alias(f"{c}_b") for c in ("rep", "n", "wanted", "comp", "in_long")))
+    # A prefix shingle of the set whose prefix ends first is missing from the other set unless it matches, so of
+    # n shingles at most (n - prefix + matches) can be common, where 4/9 of both sizes together must be.
+    rest = "greatest((4 * n_a + 4) div 5 - wanted_a, (4 * n_b + 4) div 5 - wanted_b)"
+    needed = F.expr(f"greatest(least(wanted_a, wanted_b), (4L * (n_a + n_b) + 8) div 9 - {rest}) - least(in_long_a, in_long_b)")
     candidates = (
         x.join(y, "token").where("rep_a < rep_b and comp_a <> comp_b and 5L * least(n_a, n_b) >= 4L * greatest(n_a, n_b)")
         .groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-        .agg(F.count(F.lit(1)).alias("matches"), F.max(F.expr("least(wanted_a, wanted_b) - least(in_long_a, in_long_b)")).alias("wanted"))
-        .where("matches >= wanted")
+        .agg(F.count(F.lit(1)).alias("matches"), F.max(needed).alias("needed"))
+        .where("matches >= needed").select("a", "b")
     )
+    candidates = scratch.table(candidates, "candidates")
+    sets = sets_of(ends(candidates).union(long.select("rep").distinct()), "sets-2")
     n_blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
     dealt = (
         long.withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.hash("rep"), F.col("blocks")))
@@ -296,7 +317,7 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, doc_id
     )
     in_blocks = dealt.join(sets, "rep").groupBy("token", "i", "j").applyInArrow(_search_block, "a long, b long")
     late = scratch.table(_verified(candidates, sets).union(in_blocks), "late")
-    final = first
+    final = scratch.table(first, "labels")
     if not late.isEmpty():
         name = first.toDF("node", "component")
         bridges = (
@@ -307,7 +328,7 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, doc_id
         grown = first.join(second, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
         alone = second.join(first.select(F.col("node").alias("component")), "component", "left_anti").toDF("node", "component")
         final = scratch.table(grown.union(alone), "final")
-    for name in ("shared", "sets", "open"):
+    for name in ("shared", "sets-2", "open", "pairs", "candidates", "first", "second", "first-1", "late"):
         scratch.drop(name)
     placed = members.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), F.col("rep").alias("class_id")

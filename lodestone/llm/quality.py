@@ -77,7 +77,7 @@ def _row_of(w: Words, at: np.ndarray) -> np.ndarray:
 
 def _spaced(column: pa.Array) -> Iterator[Words]:
     """Blocks of texts with a space between, so that no n-gram spans two texts."""
-    for w in blocks(column, 2 << 20):
+    for w in blocks(column):
         rows = len(w)
         sizes = np.diff(w.text_bounds)
         at = np.arange(len(w.data)) + np.repeat(np.arange(rows), sizes)
