@@ -62,7 +62,7 @@ class Scratch:
         """Write ``df`` and read it back: lineage ends here."""
         where = f"{self.path}/{name}"
         schema = df.schema
-        df.write.mode("overwrite").parquet(where)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(where)
         return self.spark.read.schema(schema).parquet(where)
 
     def release(self) -> None:
