@@ -3,11 +3,12 @@
 A window of 20 consecutive words is a repeat if the same words also start earlier (in a document of
 smaller id, or earlier in the same one); every word covered by a repeat is removed.
 
-Equal windows must meet in one shard.  Each window is assigned the least hash of its 5-word runs, which
-equal windows share, and consecutive windows with the same such anchor travel together as one piece.
-Pieces whose anchor occurs once cannot hold a repeat and stop there.  Pieces of equal words are merged
-(keeping their earliest place) before they are dealt to shards by anchor; the windows of an anchor that
-is very frequent are dealt one by one by their own words, so that no shard grows with a hot passage.
+Equal windows must meet in one shard.  The anchor of a window is the least hash of its 8-word runs; a
+window has 12 more words, so it holds the 6 words before its anchor or the 6 after it.  The anchor and that
+side make the window's key, which equal windows share.  Consecutive windows of one anchor and side travel
+together as one piece.  A key that occurs once cannot hold a repeat, and its piece stops there.  Pieces
+of equal words are merged (keeping their earliest place) before they are dealt to shards by key; the windows of
+a very frequent key are dealt one by one by their own words, so that no shard grows with a hot passage.
 Each shard builds an FM-index of its pieces and streams the same pieces through it: backward search
 gives each window's matching statistics, and those that reach 20 words report their interval, whose
 earliest place decides.  Words are compared as text; hashes only route.
@@ -30,46 +31,56 @@ from lodestone.llm.fmindex import FMIndex
 from lodestone.llm.words import blocks, mix, ngrams
 from lodestone.runtime import Scratch
 
-WINDOW, ANCHOR_WORDS = 20, 5
-HOT_ANCHOR, SHARD_WORDS, LEAST_SHARDS = 256, 250_000, 48
+WINDOW, ANCHOR_WORDS, SIDE_WORDS = 20, 8, 6
+HOT_KEY, SHARD_WORDS, LEAST_SHARDS = 256, 250_000, 48
 NO_ID = -(1 << 63)
 _U = np.uint64
 
 
 def anchors_of(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: (text, first window, windows, anchor hash), for texts side by side."""
+    """Runs of windows with one key: (text, first window, windows, key), for texts side by side."""
     span = WINDOW - ANCHOR_WORDS + 1
     empty = np.zeros(0, np.int64)
+    none = empty, empty, empty, empty.astype(_U)
     if len(hashes) < WINDOW:
-        return empty, empty, empty, empty.astype(_U)
-    g = mix(ngrams(hashes, ANCHOR_WORDS))
+        return none
+    g, side = mix(ngrams(hashes, ANCHOR_WORDS)), ngrams(hashes, SIDE_WORDS)
     at = np.lib.stride_tricks.sliding_window_view(g, span).argmin(axis=1) + np.arange(len(g) - span + 1)
-    sizes = np.diff(bounds)
-    starts = np.repeat(bounds[:-1], np.maximum(sizes - WINDOW + 1, 0))
-    if not len(starts):
-        return empty, empty, empty, empty.astype(_U)
-    counts = np.maximum(sizes - WINDOW + 1, 0)
-    text = np.repeat(np.arange(len(sizes)), counts)
-    inner = np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts)
-    window = starts + inner
+    counts = np.maximum(np.diff(bounds) - WINDOW + 1, 0)
+    if not counts.any():
+        return none
+    text = np.repeat(np.arange(len(counts)), counts)
+    inner = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+    window = np.repeat(bounds[:-1], counts) + inner
     anchor = at[window]
-    first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])))
+    before = anchor - window >= SIDE_WORDS
+    first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | (before[1:] != before[:-1])))
     length = np.diff(np.append(first, len(window)))
-    return text[first], inner[first], length, g[anchor[first]]
+    a, left = anchor[first], before[first]
+    beside = side[np.where(left, a - SIDE_WORDS, a + ANCHOR_WORDS)]
+    return text[first], inner[first], length, mix(g[a] * _U(0x9E3779B97F4A7C15) + beside + left.astype(_U))
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, marks = batch.column("id"), batch.column("mark")
         for w in blocks(batch.column("text")):
-            text, start, n, anchor = anchors_of(w.hashes(), w.bounds)
+            text, start, n, key = anchors_of(w.hashes(), w.bounds)
             rows = pa.array(text + w.first_row)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(rows), marks.take(rows), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor.view(np.int64))],
-                names=["id", "mark", "start", "n", "anchor"],
+                [ids.take(rows), marks.take(rows), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64))],
+                names=["id", "mark", "start", "n", "key"],
             )
 
 
+def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys alone, counted as far as a block goes."""
+    for batch in batches:
+        for w in blocks(batch.column("text")):
+            keys, times = np.unique(anchors_of(w.hashes(), w.bounds)[3], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times)], names=["key", "times"])
+
+
 def words_of(text: str | None) -> list[bytes]:
     """The words of one text as bytes; bytes.split knows the same six separators."""
     return (text or "").encode().split()
@@ -83,11 +94,11 @@ def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, mark, text, runs in zip(*(batch.column(c) for c in ("id", "mark", "text", "runs")), strict=True):
             words, i, mark = words_of(text.as_py()), i.as_py(), mark.as_py()
             for run in runs.as_py():
-                start, n, anchor, hot = run["start"], run["n"], run["anchor"], run["hot"]
+                start, n, key, hot = run["start"], run["n"], run["key"], run["hot"]
                 for s, k in [(start + x, 1) for x in range(n)] if hot else [(start, n)]:
                     content = b" ".join(words[s : s + k + WINDOW - 1])
                     digest = hashlib.blake2b(content, digest_size=16).digest()
-                    route = int.from_bytes(digest[:8], "little", signed=True) if hot else anchor
+                    route = int.from_bytes(digest[:8], "little", signed=True) if hot else key
                     for column, value in zip(out, (i, mark, s, k, route, digest, content), strict=True):
                         column.append(value)
                     held += len(content)
@@ -192,12 +203,16 @@ def remove_repeats(documents: DataFrame, scratch: Scratch | None = None, doc_id:
     spark = documents.sparkSession
     scratch = scratch or Scratch(spark, "substring")
     docs = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    anchors = scratch.table(docs.mapInArrow(_anchor_rows, "id long, mark long, start int, n int, anchor long"), "anchors")
-    repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor", (F.col("times") > HOT_ANCHOR).alias("hot"))
-    runs = anchors.join(repeated, "anchor").groupBy("id", "mark").agg(F.collect_set(F.struct("start", "n", "anchor", "hot")).alias("runs"))
+    counted = docs.select("text").mapInArrow(_key_rows, "key long, times long").groupBy("key").agg(F.sum("times").alias("times"))
+    repeated = scratch.table(counted.where("times > 1").select("key", (F.col("times") > HOT_KEY).alias("hot")), "keys")
+    scratch.release()
+    found = docs.mapInArrow(_anchor_rows, "id long, mark long, start int, n int, key long").join(repeated, "key")
+    runs = scratch.table(found.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "n", "key", "hot")).alias("runs")), "runs")
+    scratch.release()
     schema = "id long, mark long, start int, n int, route long, piece binary, words binary"
     pieces = scratch.table(docs.join(runs, ["id", "mark"]).mapInArrow(_piece_rows, schema), "pieces")
-    scratch.drop("anchors")
+    scratch.drop("keys")
+    scratch.drop("runs")
     scratch.release()
     distinct = pieces.groupBy("piece").agg(
         F.first("route").alias("route"), F.first("words").alias("words"), F.first("n").alias("n"), F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("places")
