@@ -69,6 +69,8 @@ def sort_suffixes(symbols: np.ndarray, order: int) -> np.ndarray:
 
 
 class FMIndex:
+    """The index of a sequence whose last symbol is 0; patterns hold no 0."""
+
     def __init__(self, symbols: np.ndarray, sigma: int, order: int):
         self.n, self.sigma = len(symbols), sigma
         self.suffixes = sort_suffixes(symbols, order)
