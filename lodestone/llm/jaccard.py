@@ -148,7 +148,7 @@ def signatures(df: DataFrame, sketch: np.ndarray, doc_id: str = "doc_id", text:
 
 def _shared_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of postings sorted by shingle, those whose shingle may occur again, with the member before where the
-    two agree on a min-hash and their sizes allow a link.
+    two agree on both min-hashes and their sizes allow a link.
 
     A list can go on in the next partition, so the first and the last posting of a partition always stay.
     """
@@ -169,9 +169,8 @@ def _shared_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         keep = same | np.append(same[1:], following is not None and token[-1] == following)
         keep[0] |= not begun
         keep[-1] |= following is None
-        differs = (info ^ before[1]) >> 32
         n, m = (info & 0xFFFFFFFF) >> 4, (before[1] & 0xFFFFFFFF) >> 4
-        pair = same & (rep != before[2]) & ((differs & 0xFFFF == 0) | (differs >> 16 == 0)) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
+        pair = same & (rep != before[2]) & (info >> 32 == before[1] >> 32) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
         last = (int(token[-1]), int(info[-1]), int(rep[-1]))
         out = pa.RecordBatch.from_arrays([batch.column("token"), batch.column("rep"), batch.column("info"), pa.array(before[2], mask=~pair)], names=["token", "rep", "info", "before"])
         return out.filter(pa.array(keep))
@@ -228,6 +227,41 @@ def block_links(reps: list[int], comps: list[int], sets: list[np.ndarray]) -> li
     return out
 
 
+def histogram(s: np.ndarray) -> np.ndarray:
+    """How many hashes of a set fall into each of about half as many buckets, a byte each."""
+    bits = max(6, (len(s) // 2).bit_length())
+    counts = np.bincount((s >> _U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    if counts.max(initial=0) > 255:
+        raise ValueError("hashes are not spread evenly")
+    return counts.astype(np.uint8)
+
+
+def may_link(sizes: np.ndarray, comps: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Members that may link to one of another component: two sets share at most the sum, over buckets, of the lesser count."""
+    keep = np.zeros(len(rows), dtype=bool)
+    levels = np.array([len(r).bit_length() for r in rows])
+    for level in np.unique(levels):
+        at = np.flatnonzero((levels == level) | (levels == level + 1))
+        part = np.stack([rows[k].astype(np.uint16) if levels[k] == level else rows[k].reshape(-1, 2).sum(axis=1, dtype=np.uint16) for k in at])
+        for x in range(len(at) - 1):
+            n, m = sizes[at[x]], sizes[at[x + 1 :]]
+            able = np.flatnonzero((comps[at[x + 1 :]] != comps[at[x]]) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)))
+            if len(able):
+                most = np.minimum(part[x], part[x + 1 :][able]).sum(axis=1, dtype=np.int64)
+                hits = able[100 * most >= 80 * (n + m[able] - most)]
+                if len(hits):
+                    keep[at[x]] = True
+                    keep[at[x + 1 :][hits]] = True
+    return keep
+
+
+def _screen_block(table: pa.Table) -> pa.Table:
+    """The members of a block that need an exact look."""
+    rows = [np.frombuffer(h.as_buffer(), np.uint8) for h in table["histogram"].combine_chunks()] if table.num_rows else []
+    keep = may_link(table["size"].to_numpy(), table["comp"].to_numpy(), rows)
+    return table.select(["token", "i", "j", "rep", "comp"]).filter(pa.array(keep))
+
+
 def _search_block(table: pa.Table) -> pa.Table:
     rows = {r: (c, s) for r, c, s in zip(table["rep"].to_pylist(), table["comp"].to_pylist(), table["set"].combine_chunks() if table["set"].num_chunks != 1 else table["set"].chunk(0), strict=True)}
     reps = sorted(rows)
@@ -315,7 +349,18 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, doc_id
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp")
     )
-    in_blocks = dealt.join(sets, "rep").groupBy("token", "i", "j").applyInArrow(_search_block, "a long, b long")
+
+    def to_histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x.as_buffer(), _U) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([histogram(x).tobytes() for x in own], pa.binary())], names=["rep", "size", "histogram"]
+            )
+
+    # a set's histogram is a sixteenth of the set: only members that it cannot rule out bring their sets
+    cell = ["token", "i", "j"]
+    screened = dealt.join(sets.mapInArrow(to_histograms, "rep long, size long, histogram binary"), "rep").groupBy(*cell).applyInArrow(_screen_block, "token long, i int, j int, rep long, comp long")
+    in_blocks = screened.join(sets, "rep").groupBy(*cell).applyInArrow(_search_block, "a long, b long")
     late = scratch.table(_verified(candidates, sets).union(in_blocks), "late")
     final = scratch.table(first, "labels")
     if not late.isEmpty():

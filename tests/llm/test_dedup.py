@@ -80,6 +80,11 @@ def test_block_links_connects_all():
         for j in range(i):
             if jaccard.linked(len(a), len(sets[j]), len(np.intersect1d(a, sets[j]))):
                 want.union(i, j)
+    sizes, alone = np.array([len(x) for x in sets]), np.arange(len(sets))
+    keep = jaccard.may_link(sizes, alone, [jaccard.histogram(x) for x in sets])
+    assert all(keep[k] for k in range(len(sets)) if any(want.find(k) == want.find(j) for j in range(len(sets)) if j != k))
+    other = np.unique(rng.integers(0, 1 << 63, 100).astype(np.uint64) * np.uint64(2))
+    assert not jaccard.may_link(np.array([100, 100]), np.arange(2), [jaccard.histogram(np.sort(other)), jaccard.histogram(sets[0])]).any()
     got = UnionFind()
     for a, b in jaccard.block_links(list(range(len(sets))), list(range(len(sets))), sets):
         got.union(a, b)
