@@ -5,13 +5,15 @@ smaller id, or earlier in the same one); every word covered by a repeat is remov
 
 Equal windows must meet in one shard.  The anchor of a window is the least hash of its 8-word runs; a
 window has 12 more words, so it holds the 6 words before its anchor or the 6 after it.  The anchor and that
-side make the window's key, which equal windows share.  Consecutive windows of one anchor and side travel
-together as one piece.  A key that occurs once cannot hold a repeat, and its piece stops there.  Pieces
-of equal words are merged (keeping their earliest place) before they are dealt to shards by key; the windows of
-a very frequent key are dealt one by one by their own words, so that no shard grows with a hot passage.
+side make the window's key, which equal windows share.  Consecutive windows of one anchor and side form
+one piece.  A key that occurs once cannot hold a repeat, and its piece stops there.  Pieces are
+merged by key and a hash of their words, keeping their earliest place; only that place's words travel, to the
+shard of their key.  Where a key has very many different pieces, their windows are merged and dealt one by
+one by their own words, so that no shard grows with a hot passage.
 Each shard builds an FM-index of its pieces and streams the same pieces through it: backward search
 gives each window's matching statistics, and those that reach 20 words report their interval, whose
-earliest place decides.  Words are compared as text; hashes only route.
+earliest place decides.  Within shards words are compared
+as text; two pieces merge by 128 bits of hashes.
 
 A null id counts as smaller than any other; rows that repeat an id are told apart by their text, and
 equal rows are equal places, none earlier than the other.  Null and empty texts have no words.
@@ -28,27 +30,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.fmindex import FMIndex
-from lodestone.llm.words import blocks, mix, ngrams
+from lodestone.llm.words import blocks, mix, ngrams, stretches_hash
 from lodestone.runtime import Scratch
 
 WINDOW, ANCHOR_WORDS, SIDE_WORDS = 20, 8, 6
-HOT_KEY, SHARD_WORDS, LEAST_SHARDS = 256, 250_000, 48
+HOT_PIECES, SHARD_WORDS, LEAST_SHARDS = 256, 250_000, 48
 NO_ID = -(1 << 63)
 _U = np.uint64
 
 
-def anchors_of(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one key: (text, first window, windows, key), for texts side by side."""
+def anchors_of(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of texts side by side: (text, first window, windows, key, hash of the words)."""
     span = WINDOW - ANCHOR_WORDS + 1
     empty = np.zeros(0, np.int64)
-    none = empty, empty, empty, empty.astype(_U)
-    if len(hashes) < WINDOW:
-        return none
-    g, side = mix(ngrams(hashes, ANCHOR_WORDS)), ngrams(hashes, SIDE_WORDS)
-    at = np.lib.stride_tricks.sliding_window_view(g, span).argmin(axis=1) + np.arange(len(g) - span + 1)
+    none = empty, empty, empty, empty.astype(_U), empty.astype(_U)
     counts = np.maximum(np.diff(bounds) - WINDOW + 1, 0)
     if not counts.any():
         return none
+    g, side = mix(ngrams(hashes, ANCHOR_WORDS)), ngrams(hashes, SIDE_WORDS)
+    at = np.lib.stride_tricks.sliding_window_view(g, span).argmin(axis=1) + np.arange(len(g) - span + 1)
     text = np.repeat(np.arange(len(counts)), counts)
     inner = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
     window = np.repeat(bounds[:-1], counts) + inner
@@ -56,20 +56,21 @@ def anchors_of(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     before = anchor - window >= SIDE_WORDS
     first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | (before[1:] != before[:-1])))
     length = np.diff(np.append(first, len(window)))
-    a, left = anchor[first], before[first]
+    a, left, begin = anchor[first], before[first], window[first]
     beside = side[np.where(left, a - SIDE_WORDS, a + ANCHOR_WORDS)]
-    return text[first], inner[first], length, mix(g[a] * _U(0x9E3779B97F4A7C15) + beside + left.astype(_U))
+    key = mix(g[a] * _U(0x9E3779B97F4A7C15) + beside + left.astype(_U))
+    return text[first], inner[first], length, key, stretches_hash(hashes, begin, begin + length + WINDOW - 1)
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, marks = batch.column("id"), batch.column("mark")
         for w in blocks(batch.column("text")):
-            text, start, n, key = anchors_of(w.hashes(), w.bounds)
+            text, start, n, key, digest = anchors_of(w.hashes(), w.bounds)
             rows = pa.array(text + w.first_row)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(rows), marks.take(rows), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64))],
-                names=["id", "mark", "start", "n", "key"],
+                [ids.take(rows), marks.take(rows), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(digest.view(np.int64))],
+                names=["id", "mark", "start", "n", "key", "digest"],
             )
 
 
@@ -86,26 +87,29 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("route", pa.int64()), ("piece", pa.binary()), ("words", pa.binary())])
+_CONTENT = pa.schema([
+    ("id", pa.int64()), ("start", pa.int32()), ("key", pa.int64()), ("digest", pa.int64()), ("places", pa.int64()), ("at", pa.int32()), ("route", pa.int64()), ("words", pa.binary()),
+])
+
+
+def _content_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each merged piece (``at`` is -1), or of each of its windows where its key is hot."""
     for batch in batches:
-        out: list[list] = [[] for _ in schema]
+        out: list[list] = [[] for _ in _CONTENT]
         held = 0
-        for i, mark, text, runs in zip(*(batch.column(c) for c in ("id", "mark", "text", "runs")), strict=True):
-            words, i, mark = words_of(text.as_py()), i.as_py(), mark.as_py()
-            for run in runs.as_py():
-                start, n, key, hot = run["start"], run["n"], run["key"], run["hot"]
-                for s, k in [(start + x, 1) for x in range(n)] if hot else [(start, n)]:
-                    content = b" ".join(words[s : s + k + WINDOW - 1])
-                    digest = hashlib.blake2b(content, digest_size=16).digest()
-                    route = int.from_bytes(digest[:8], "little", signed=True) if hot else key
-                    for column, value in zip(out, (i, mark, s, k, route, digest, content), strict=True):
+        for i, text, pieces in zip(*(batch.column(c) for c in ("id", "text", "pieces")), strict=True):
+            words, i = words_of(text.as_py()), i.as_py()
+            for p in pieces.as_py():
+                for s, n, at in [(p["start"] + k, 1, k) for k in range(p["n"])] if p["hot"] else [(p["start"], p["n"], -1)]:
+                    content = b" ".join(words[s : s + n + WINDOW - 1])
+                    route = int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True) if p["hot"] else p["key"]
+                    for column, value in zip(out, (i, s, p["key"], p["digest"], p["places"], at, route, content), strict=True):
                         column.append(value)
                     held += len(content)
             if held > 8 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-                out, held = [[] for _ in schema], 0
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _CONTENT, strict=True)], schema=_CONTENT)
+                out, held = [[] for _ in _CONTENT], 0
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _CONTENT, strict=True)], schema=_CONTENT)
 
 
 def search_shard(contents: list[bytes], first: list[tuple[int, int]], window: int = WINDOW) -> list[np.ndarray]:
@@ -145,15 +149,11 @@ def search_shard(contents: list[bytes], first: list[tuple[int, int]], window: in
 
 
 def _shard_verdicts(table: pa.Table) -> pa.Table:
-    """piece, and the repeated windows of its earliest place as a bit mask."""
-    pieces, contents = table["piece"].to_pylist(), table["words"].to_pylist()
-    first = list(zip(table["first_id"].to_pylist(), table["first_start"].to_pylist(), strict=True))
-    found = search_shard(contents, first)
-    keep = [k for k, (flags, many) in enumerate(zip(found, table["places"].to_pylist(), strict=True)) if many > 1 or flags.any()]
-    return pa.table({
-        "piece": pa.array([pieces[k] for k in keep], pa.binary()), "first_id": pa.array([first[k][0] for k in keep], pa.int64()),
-        "first_start": pa.array([first[k][1] for k in keep], pa.int32()), "flags": pa.array([np.packbits(found[k]).tobytes() for k in keep], pa.binary()),
-    })
+    """The rows with their repeated windows, counted from the piece's first."""
+    first = list(zip(table["id"].to_pylist(), table["start"].to_pylist(), strict=True))
+    found = search_shard(table["words"].to_pylist(), first)
+    repeats = pa.array([np.flatnonzero(f).tolist() for f in found], pa.list_(pa.int32()))
+    return table.select(["id", "start", "key", "digest", "places", "at", "route"]).append_column("repeats", repeats)
 
 
 def covered(runs: list[tuple[int, int]], words: int) -> np.ndarray:
@@ -166,22 +166,20 @@ def covered(runs: list[tuple[int, int]], words: int) -> np.ndarray:
 
 
 def _repeat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Removed stretches of each piece's places."""
+    """Removed stretches of each piece's places: all of a later place, the repeated windows of the earliest."""
     for batch in batches:
         ids, marks, lows, highs = [], [], [], []
         for r in batch.to_pylist():
             if (r["id"], r["start"]) != (r["first_id"], r["first_start"]):
                 spans = [(r["start"], r["start"] + r["n"] + WINDOW - 1)]
             else:
-                flags = np.flatnonzero(np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=r["n"])) + r["start"]
-                cuts = np.flatnonzero(np.diff(flags) > WINDOW) + 1
-                spans = [(int(part[0]), int(part[-1]) + WINDOW) for part in np.split(flags, cuts) if len(part)]
+                spans = [(r["start"] + k, r["start"] + k + WINDOW) for k in r["repeats"]]
             for lo, hi in spans:
                 ids.append(r["id"])
                 marks.append(r["mark"])
                 lows.append(lo)
                 highs.append(hi)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(lows, pa.int32()), pa.array(highs, pa.int32())], names=["id", "mark", "lo", "hi"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(lows, pa.int32()), pa.array(highs, pa.int32())], names=["id", "mark", "lo", "hi"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,31 +200,55 @@ def remove_repeats(documents: DataFrame, scratch: Scratch | None = None, doc_id:
     """doc_id, n_words, n_removed and kept (the kept words joined by one space) of every row."""
     spark = documents.sparkSession
     scratch = scratch or Scratch(spark, "substring")
-    docs = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    docs = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", F.hash("text"))
     counted = docs.select("text").mapInArrow(_key_rows, "key long, times long").groupBy("key").agg(F.sum("times").alias("times"))
-    repeated = scratch.table(counted.where("times > 1").select("key", (F.col("times") > HOT_KEY).alias("hot")), "keys")
-    scratch.release()
-    found = docs.mapInArrow(_anchor_rows, "id long, mark long, start int, n int, key long").join(repeated, "key")
-    runs = scratch.table(found.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "n", "key", "hot")).alias("runs")), "runs")
+    repeated = scratch.table(counted.where("times > 1").select("key"), "keys")
     scratch.release()
-    schema = "id long, mark long, start int, n int, route long, piece binary, words binary"
-    pieces = scratch.table(docs.join(runs, ["id", "mark"]).mapInArrow(_piece_rows, schema), "pieces")
+    found = docs.mapInArrow(_place_rows, "id long, mark int, start int, n int, key long, digest long")
+    places = scratch.table(found.join(repeated, "key"), "places")
     scratch.drop("keys")
-    scratch.drop("runs")
     scratch.release()
-    distinct = pieces.groupBy("piece").agg(
-        F.first("route").alias("route"), F.first("words").alias("words"), F.first("n").alias("n"), F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("places")
-    ).select("piece", "route", "words", "n", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"), "places")
-    distinct = scratch.table(distinct, "distinct")
-    total = distinct.agg(F.sum(F.col("n") + WINDOW - 1)).first()[0] or 0
+    merged = places.groupBy("key", "digest").agg(F.min(F.struct("id", "start", "mark")).alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("places"))
+    merged = scratch.table(merged.select("key", "digest", "n", "places", "first.id", "first.mark", "first.start"), "merged")
+    scratch.release()
+    crowded = merged.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > HOT_PIECES).select("key", F.lit(True).alias("hot"))
+    by_doc = merged.join(crowded, "key", "left").groupBy("id", "mark").agg(
+        F.collect_list(F.struct("start", "n", "key", "digest", "places", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("pieces")
+    )
+    content = scratch.table(
+        docs.join(by_doc, ["id", "mark"]).mapInArrow(_content_rows, "id long, start int, key long, digest long, places long, at int, route long, words binary"), "content"
+    )
+    scratch.drop("merged")
+    scratch.release()
+    # windows of crowded keys: equal ones merge before they are dealt
+    windows = content.where("at >= 0").withColumn("same", F.unhex(F.md5("words")))
+    earliest = windows.groupBy("same").agg(F.min(F.struct("id", "start")).alias("first"), F.first("words").alias("words"), F.first("route").alias("route"))
+    alone = earliest.select(
+        F.col("first.id").alias("id"), F.col("first.start").alias("start"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("digest"),
+        F.lit(1).cast("long").alias("places"), F.lit(0).alias("at"), "route", "words",
+    )
+    dealt = content.where("at < 0").unionByName(alone)
+    total = dealt.agg(F.sum(F.octet_length("words")) / 6).first()[0] or 0
     shards = max(LEAST_SHARDS, -(-int(total) // SHARD_WORDS))
-    verdicts = scratch.table(
-        distinct.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).groupBy("shard")
-        .applyInArrow(_shard_verdicts, "piece binary, first_id long, first_start int, flags binary"), "verdicts"
+    searched = scratch.table(
+        dealt.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).groupBy("shard")
+        .applyInArrow(_shard_verdicts, "id long, start int, key long, digest long, places long, at int, route long, repeats array<int>"), "searched"
+    )
+    whole = searched.where("at < 0 and (places > 1 or size(repeats) > 0)").select("key", "digest", F.col("id").alias("first_id"), F.col("start").alias("first_start"), "repeats")
+    # a window of a crowded key is a repeat unless it is the earliest of its kind, and that one is no repeat in its shard
+    kinds = searched.where("at >= 0").select(F.col("id").alias("e_id"), F.col("start").alias("e_start"), F.col("route").alias("e_route"), F.size("repeats").alias("later"))
+    own = windows.join(earliest.select("same", "first"), "same").join(kinds, (F.col("route") == F.col("e_route")) & (F.col("first.id") == F.col("e_id")) & (F.col("first.start") == F.col("e_start")))
+    again = (F.col("id") != F.col("e_id")) | (F.col("start") != F.col("e_start")) | (F.col("later") > 0)
+    split = own.groupBy("key", "digest").agg(
+        F.min("id").alias("first_id"), F.min(F.col("start") - F.col("at")).alias("first_start"), F.collect_set(F.when(again, F.col("at"))).alias("repeats")
     )
-    removed = pieces.select("piece", "id", "mark", "start", "n").join(verdicts, "piece").mapInArrow(_repeat_rows, "id long, mark long, lo int, hi int")
+    verdicts = scratch.table(whole.unionByName(split), "verdicts")
+    scratch.drop("content")
+    scratch.drop("searched")
+    scratch.release()
+    removed = places.join(verdicts, ["key", "digest"]).mapInArrow(_repeat_rows, "id long, mark int, lo int, hi int")
     spans = scratch.table(removed.groupBy("id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
-    for name in ("pieces", "distinct", "verdicts"):
+    for name in ("places", "verdicts"):
         scratch.drop(name)
     scratch.release()
     joined = docs.join(spans, ["id", "mark"], "left").select("id", "text", "spans")

@@ -140,6 +140,13 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out + _U(n))
 
 
+def stretches_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash for each stretch [start, end) of a sequence of word hashes."""
+    total = np.zeros(len(h) + 1, dtype=_U)
+    np.cumsum(h * _powers_of(_BASE, len(h))[: len(h)], out=total[1:])
+    return mix((total[ends] - total[starts]) * _powers_of(_BASE_INV, len(h) + 1)[starts] + (ends - starts).astype(_U))
+
+
 def shingle_set(h: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct n-gram hashes of one text; a shorter text is one shingle; no words, none."""
     if not len(h):

@@ -117,8 +117,9 @@ def test_wavelet_and_index():
         assert count(f) == b - a >= 2 and (f == 6 or count(f + 1) < 2)
 
 
-def test_substring(spark, docs, monkeypatch):
-    monkeypatch.setattr(substring, "HOT_KEY", 10)
+@pytest.mark.parametrize("hot", [2, 256])
+def test_substring(spark, docs, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT_PIECES", hot)
     rows = sorted(((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in docs.collect() if r.doc_id is not None or r.text), key=lambda r: r[0])
     seen, want = set(), {}
     for d, text in rows:
