@@ -106,4 +106,33 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {}
+_WORDS_SQL = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+#: Where SQL can express an operator.  The others are tested against brute force, the public library or exact round trips.
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": f"""
+with recursive w as (select doc_id, {_WORDS_SQL.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as ws from documents),
+s as (select distinct doc_id, shingle from (select doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+  when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as shingle from w)),
+n as (select doc_id, count(shingle) as n from documents left join s using (doc_id) group by doc_id),
+links as (select a.doc_id as a, b.doc_id as b from s a join s b using (shingle) join n na on na.doc_id = a.doc_id join n nb on nb.doc_id = b.doc_id
+  where a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, na.n, nb.n having 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+reach(a, b) as (select doc_id, doc_id from documents union select r.a, l.b from reach r join links l on l.a = r.b),
+keys as (select doc_id, list_sort(list(shingle)) as ss from s group by doc_id), classes as (select ss, min(doc_id) as class_id from keys group by ss)
+select n.doc_id, n.n as n_shingles, (select min(b) from reach where a = n.doc_id) as component_id, coalesce(c.class_id, n.doc_id) as class_id
+from n left join keys k on k.doc_id = n.doc_id left join classes c on c.ss = k.ss""",
+    "op3_warc": """
+with p as (select page_id, coalesce(html, '') as html from pages), d as (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as payload_digest from p),
+k as (select payload_digest, max(page_id) as keeper from d where payload_bytes >= 1000 group by payload_digest),
+j as (select d.*, case when k.keeper > d.page_id then k.keeper end as refers_to from d left join k on k.payload_digest = d.payload_digest and d.payload_bytes >= 1000)
+select page_id, payload_bytes, payload_digest, case when refers_to is null then 'response' else 'revisit' end as record_type, refers_to,
+case when refers_to is null then greatest(1, (payload_bytes + 262143) // 262144) else 1 end as n_chunks from j""",
+    "op9_substring_dedup": f"""
+with w as (select doc_id, {_WORDS_SQL.format("coalesce(text, '')")} as ws from documents),
+windows as (select doc_id, i, array_to_string(ws[i:i + 19], ' ') as k from w, unnest(range(1, len(ws) - 18)) t(i)),
+again as (select doc_id, i from (select doc_id, i, row_number() over (partition by k order by doc_id, i) as r from windows) where r > 1),
+gone as (select distinct doc_id, i + o as p from again, range(0, 20) t(o)),
+words as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as p from w),
+kept as (select doc_id, string_agg(word, ' ' order by p) as kept, count(*) as n from words anti join gone using (doc_id, p) group by doc_id)
+select w.doc_id, len(ws)::bigint as n_words, len(ws)::bigint - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join kept using (doc_id)""",
+}
