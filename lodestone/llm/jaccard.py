@@ -36,7 +36,7 @@ from lodestone.runtime import Scratch
 
 SHINGLE_WORDS = 5
 SKETCH_BITS, SLICES = 20, 64
-LONG_LIST, BLOCK_ROWS, MAX_EXTRA = 64, 512, 7
+LONG_LIST, BLOCK_ROWS, BLOCK_SHINGLES, MAX_EXTRA = 64, 2048, 1 << 21, 7
 _U = np.uint64
 
 
@@ -169,7 +169,7 @@ def _shared_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         keep = same | np.append(same[1:], following is not None and token[-1] == following)
         keep[0] |= not begun
         keep[-1] |= following is None
-        n, m = (info & 0xFFFFFFFF) >> 4, (before[1] & 0xFFFFFFFF) >> 4
+        n, m = (info & 0xFFFFFFFF) >> 5, (before[1] & 0xFFFFFFFF) >> 5
         pair = same & (rep != before[2]) & (info >> 32 == before[1] >> 32) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
         last = (int(token[-1]), int(info[-1]), int(rep[-1]))
         out = pa.RecordBatch.from_arrays([batch.column("token"), batch.column("rep"), batch.column("info"), pa.array(before[2], mask=~pair)], names=["token", "rep", "info", "before"])
@@ -211,15 +211,17 @@ def block_links(reps: list[int], comps: list[int], sets: list[np.ndarray]) -> li
     common = np.zeros((len(sets), len(sets)), dtype=np.float32)
     order = np.argsort(inverse, kind="stable")
     row, inverse = row[order], inverse[order]
-    for lo in range(0, len(columns), 4096):
-        i, j = np.searchsorted(inverse, [lo, lo + 4096])
-        part = np.zeros((len(sets), min(4096, len(columns) - lo)), dtype=np.float32)
+    for lo in range(0, len(columns), 1024):
+        i, j = np.searchsorted(inverse, [lo, lo + 1024])
+        part = np.zeros((len(sets), min(1024, len(columns) - lo)), dtype=np.float32)
         part[row[i:j], inverse[i:j] - lo] = 1
         common += part @ part.T
-    c = np.rint(common).astype(np.int64)
-    hit = 100 * c >= 80 * (sizes[:, None] + sizes[None, :] - c)
-    comp = np.array(comps)
-    a, b = np.nonzero(np.triu(hit & (comp[:, None] != comp[None, :]), 1))
+    comp, found = np.array(comps), []
+    for lo in range(0, len(sets), 256):
+        c = np.rint(common[lo : lo + 256]).astype(np.int64)
+        hit = 100 * c >= 80 * (sizes[lo : lo + 256, None] + sizes[None, :] - c)
+        found.append(np.argwhere(hit & (comp[lo : lo + 256, None] < comp[None, :])) + [lo, 0])
+    a, b = np.concatenate(found).T
     known, out = UnionFind(), []
     for x, y in zip(a.tolist(), b.tolist(), strict=True):
         if known.union(comps[x], comps[y]):
@@ -293,9 +295,11 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, doc_id
     classes = real.groupBy("key").agg(F.min("doc_id").alias("rep"))
     members = scratch.table(real.select("doc_id", "n", "key").join(classes, "key").select("doc_id", "n", "rep"), "members")
     heads = real.join(classes.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"], "left_semi").withColumnRenamed("doc_id", "rep")
-    # min-hashes, size and matches wanted travel as one number: 31, 28 and 4 bits
-    packed = lambda near: F.shiftleft(near, 32) + F.col("n") * 16 + F.col("wanted")
-    postings = heads.select(F.explode("prefix").alias("token"), "rep", packed(F.col("near_a")).alias("a"), packed(F.col("near_b")).alias("b")).select(
+    # min-hashes, size, whether the plain prefix has ended, and matches wanted travel as one number: 31, 27, 1 and 4 bits
+    extra = F.expr("cast(at > n - (4 * n + 4) div 5 as int)")
+    packed = lambda near: F.shiftleft(near, 32) + F.col("n") * 32 + extra * 16 + F.col("wanted")
+    opened = heads.select(F.posexplode("prefix").alias("at", "token"), "rep", "n", "wanted", "near_a", "near_b")
+    postings = opened.select("token", "rep", packed(F.col("near_a")).alias("a"), packed(F.col("near_b")).alias("b")).select(
         "token", "rep", F.when(F.col("token") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("info")
     )
     ranged = postings.repartitionByRange(parts, "token", "info", "rep").sortWithinPartitions("token", "info", "rep")
@@ -322,9 +326,11 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, doc_id
     scratch.release()
 
     # step 2: what is left between components
-    unpacked = shared.select("token", "rep", F.expr("cast((info & 4294967295) div 16 as int)").alias("n"), F.expr("cast(info & 15 as int)").alias("wanted"))
+    unpacked = shared.select("token", "rep", F.expr("cast((info & 4294967295) div 32 as int)").alias("n"), F.expr("cast(info & 15 as int)").alias("wanted"), F.expr("info & 16 = 0").alias("plain"))
     labelled = unpacked.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    live = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token", "size")
+    live = labelled.groupBy("token").agg(
+        F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.min("comp").alias("low"), F.max("comp").alias("high")
+    ).where("low < high").select("token", "size", "shingles")
     open_lists = scratch.table(labelled.join(live, "token"), "open")
     long = open_lists.where(F.col("size") > LONG_LIST)
     in_long = long.groupBy("rep").agg(F.count(F.lit(1)).cast("int").alias("in_long"))
@@ -342,8 +348,9 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, doc_id
         .where("matches >= needed").select("a", "b")
     )
     candidates = scratch.table(candidates, "candidates")
+    long = long.where("plain")  # any two sets that link share a shingle of their plain prefixes
     sets = sets_of(ends(candidates).union(long.select("rep").distinct()), "sets-2")
-    n_blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    n_blocks = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     dealt = (
         long.withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.hash("rep"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
