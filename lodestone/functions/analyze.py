@@ -164,6 +164,13 @@ def estimated_tokens(text: Column) -> Column:
     return (F.octet_length(text) / 4).cast("long")
 
 
+def byte_range(content: Column, off: Column, length: Column) -> Column:
+    """The text of a byte range; cut at the end of the content, and its first 500 characters for a range beyond it."""
+    raw = F.encode(content, "UTF-8")
+    cut = F.decode(F.substring(raw, (off + 1).cast("int"), length.cast("int")), "UTF-8")
+    return F.when(off < F.octet_length(content), cut).otherwise(F.substring(content, 1, 500))
+
+
 def norm(vector: Column) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 

@@ -52,6 +52,7 @@ class Engine:
         return self._apply(files, changes)
 
     def _apply(self, files: DataFrame, changes: DataFrame) -> DataFrame:
+        began = self.warehouse.state()["version"]
         changes = changes.persist()
         try:
             counters = self.spark.createDataFrame(incremental.counters(changes).collect(), "total_files long, added long, updated long, deleted long, needs_embedding long")
@@ -68,7 +69,7 @@ class Engine:
             }
             if self.provider:
                 tables["vectors"] = incremental.replace_rows(old["vectors"], vectors.embed_files(fresh, self.provider), changes)
-            self.warehouse.commit(**tables)
+            self.warehouse.commit(began, **tables)
             return counters
         finally:
             changes.unpersist()

@@ -61,6 +61,11 @@ def test_cosine_edges(spark):
     assert abs(row.a - 0.5**0.5) < 1e-9 and row.zero == 0.0 and row["size"] is None
 
 
+def test_byte_ranges(spark):
+    at = lambda off, n: one(spark, "aé\nb" + "c" * 600, lambda c: analyze.byte_range(c, F.lit(off), F.lit(n)))
+    assert at(1, 2) == "é" and at(3, 2) == "\nb" and at(603, 50) == "cc" and len(at(9999, 5)) == 500
+
+
 def test_rust_blanking():
     source = 'let a = "use crate::x;\\" y"; // use crate::z\nlet r = r#"use "q";"#; /* use\n b */ use crate::real;'
     out = rowlocal.blank_rust(source)
