@@ -28,13 +28,15 @@ _CODE[list(SEPARATORS)] = 0
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters of the classifier; ``train_rows`` bounds the labelled sample that it is fitted on."""
+    """Parameters of the classifier; ``train_rows`` and ``train_features`` (distinct buckets of all rows together)
+    bound the labelled sample that it is fitted on, whatever the length of its texts."""
 
     bits: int = 17
     dim: int = 8
     epochs: int = 5
     rate: float = 0.5
     train_rows: int = 4000
+    train_features: int = 24_000_000
     seed: int = 7
 
 
@@ -141,17 +143,19 @@ def train(labelled: DataFrame, settings: Settings = Settings(), text: str = "tex
             )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        rows, held = [], 0
         for batch in batches:
-            rows += [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32), r["label"], r["order"]) for r in batch.to_pylist()]
-        rows.sort(key=lambda r: (r[3], r[2], r[0].tobytes()))
-        model = fit([r[:3] for r in rows], settings) if rows else np.zeros((1 << bits) + 1, np.float32)
+            for r in batch.to_pylist():
+                held += len(r["ids"]) // 4
+                if held <= settings.train_features:
+                    rows.append((np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32), r["label"]))
+        model = fit(rows, settings) if rows else np.zeros((1 << bits) + 1, np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([model.tobytes()], pa.binary())], names=["model"])
 
     kind = sample.schema["order"].dataType
     schema = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("shares", T.BinaryType()), T.StructField("label", T.IntegerType()), T.StructField("order", kind)])
-    # the sample is bounded by train_rows, so one task can hold it
-    found = sample.mapInArrow(featurise, schema).repartition(1).mapInArrow(learn, "model binary").collect()
+    # the sample is bounded, so one task can hold it
+    found = sample.mapInArrow(featurise, schema).repartition(1).sortWithinPartitions("order", "label", "ids").mapInArrow(learn, "model binary").collect()
     return np.frombuffer(found[0].model, np.float32) if found else np.zeros((1 << bits) + 1, np.float32)
 
 
