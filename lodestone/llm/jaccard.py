@@ -292,7 +292,8 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, doc_id
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sigs = scratch.table(signatures(documents, frequency_sketch(documents)), "signatures")
     real = sigs.where("n > 0 and doc_id is not null")
-    classes = real.groupBy("key").agg(F.min("doc_id").alias("rep"))
+    # a table of its own, so that the joins with a hot class are plain and AQE can split them
+    classes = scratch.table(real.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     members = scratch.table(real.select("doc_id", "n", "key").join(classes, "key").select("doc_id", "n", "rep"), "members")
     heads = real.join(classes.withColumnRenamed("rep", "doc_id"), ["key", "doc_id"], "left_semi").withColumnRenamed("doc_id", "rep")
     # min-hashes, size, whether the plain prefix has ended, and matches wanted travel as one number: 31, 27, 1 and 4 bits
@@ -380,7 +381,7 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, doc_id
         grown = first.join(second, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
         alone = second.join(first.select(F.col("node").alias("component")), "component", "left_anti").toDF("node", "component")
         final = scratch.table(grown.union(alone), "final")
-    for name in ("shared", "sets-2", "open", "pairs", "candidates", "first", "second", "first-1", "late"):
+    for name in ("classes", "shared", "sets-2", "open", "pairs", "candidates", "first", "second", "first-1", "late"):
         scratch.drop(name)
     placed = members.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), F.col("rep").alias("class_id")
