@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Text handed to one run of the merge loop, in characters; the units remembered between runs.
-RUN_CHARS, CACHE_UNITS = 16 << 20, 400_000
+RUN_CHARS, CACHE_UNITS = 3 << 20, 100_000
 
 #: The published split pattern of this vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -214,10 +214,11 @@ class Encoder:
         return rows, fresh
 
 
-def stretches(texts: list[str | None], most: int = RUN_CHARS) -> Iterator[list[str]]:
+def stretches(column: pa.Array | list, most: int = RUN_CHARS) -> Iterator[list[str]]:
+    """A column's texts, some at a time; only these are Python strings at once."""
     part, size = [], 0
-    for t in texts:
-        t = t or ""
+    parts = [column] if isinstance(column, list) else (column.slice(k, 256).to_pylist() for k in range(0, len(column), 256))
+    for t in (t or "" for some in parts for t in some):
         if part and size + len(t) > most:
             yield part
             part, size = [], 0
@@ -241,7 +242,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
         encoder = Encoder(path)
         for batch in batches:
             lo = 0
-            for part in stretches(batch.column(text).to_pylist()):
+            for part in stretches(batch.column(text)):
                 rows, _ = encoder.encode(part)
                 flat = [[i for u in r for i in encoder.known[u]] for r in rows]
                 ends = np.cumsum([0, *map(len, flat)])
@@ -287,12 +288,13 @@ def round_trip_digest(df: DataFrame, text: str = "text", keep: tuple[str, ...] =
         cached: dict[str, tuple[int, bytes, bytes]] = {}
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
-            for part in stretches(batch.column(text).to_pylist()):
+            for part in stretches(batch.column(text)):
                 rows, fresh = encoder.encode(part)
                 if len(cached) > len(encoder.known):
                     cached = {}
                 for u in fresh:
                     own = encoder.known[u]
+                    encoder.known[u] = None  # known, and from here on by its digest alone
                     cached[u] = len(own), b",".join([digits[i] for i in own]), b"".join([token_bytes[i] for i in own])
                 for row in rows:
                     own = [cached[u] for u in row]

@@ -28,7 +28,7 @@ SPACE = "▁"
 #: Fixed value: the penalty of an unknown character.
 UNKNOWN_PENALTY = 10.0
 #: Text looked at in one go, in characters; the words remembered.
-RUN_CHARS, CACHE_WORDS = 8 << 20, 400_000
+RUN_CHARS, CACHE_WORDS = 4 << 20, 200_000
 
 
 def default_path() -> str:
@@ -197,7 +197,7 @@ def count_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", path:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path).texts
         for batch in batches:
-            counts = pa.array([n for part in stretches(batch.column(text).to_pylist(), RUN_CHARS) for n in count(part)], pa.int64())
+            counts = pa.array([n for part in stretches(batch.column(text), RUN_CHARS) for n in count(part)], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), counts], names=[*keep, out])
 
     return df.mapInArrow(run, schema)
