@@ -21,7 +21,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the line blocks that an earlier document has; those left empty by that go."""
-    out = lines.dedup_lines(docs, Scratch(spark, "stage-lines")).where("n_removed = 0 or text <> ''")
+    out = lines.dedup_lines(docs, Scratch(spark, "stage-lines"), every_holder=True).where("n_removed = 0 or text <> ''")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

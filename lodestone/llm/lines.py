@@ -8,6 +8,14 @@ the alignment by their longest common order, and the stretches between are align
 common blocks of at least ``min_block_chars`` characters are deleted from the later document; what is
 left meets the next partner.
 
+That pass meets one holder a line.  With ``every_holder`` a document meets its partners until none takes
+a line, and then all other earlier documents that can take one: those that hold a window (a least run of
+consecutive lines of ``min_block_chars`` characters) of what is left.  Every block that can be deleted
+holds such a window, so no holder is missed.  Holders that look alike on the lines still asked for, with
+every run of other lines between them as one mark, align alike; the earliest stands for all of them, so
+a hot line costs as many alignments as it has kinds of holders.  Rounds go on with the documents that
+lost lines, since what is left of those may have new windows.
+
 Lines end at line feeds and are compared without spaces, tabs and carriage returns at their ends;
 blank lines are neither compared nor counted, and go only with the last other line of a document.
 Earlier is the smaller id; a null id is smaller than any other.  Rows that repeat an id are told apart
@@ -19,6 +27,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +40,7 @@ from lodestone.runtime import Scratch
 MIN_BLOCK_CHARS = 30
 KEY_BYTES = 16
 NO_ID = -(1 << 63)
+OTHER = bytes(KEY_BYTES)  # stands for a run of lines that are not asked for
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -105,43 +115,166 @@ def delete_common(own: list, sizes: list[int], alive: list[int], other: list, le
     return [k for k in alive if k not in gone] if gone else alive
 
 
-def _align(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by document, its own lines first, then its partners': the lines that are removed."""
-    key, own, sizes, alive, total = None, [], [], [], 0
-    out: list[tuple[int, int, bytes]] = []
+def windows(keys: Sequence[bytes], sizes: Sequence[int], least: int) -> Iterator[bytes]:
+    """Digests of the least runs of consecutive lines, from each line on, that have ``least`` characters."""
+    end = chars = 0
+    for k in range(len(keys)):
+        while end < len(keys) and (end == k or chars < least):
+            chars += sizes[end]
+            end += 1
+        if chars < least:
+            return
+        yield md5(b"".join(keys[k:end])).digest()
+        chars -= sizes[k]
+
+
+def reduced(keys: Sequence[bytes], wanted: set[bytes]) -> list[bytes]:
+    """The wanted lines in order, with every run of others as one mark; aligns like the whole."""
+    out: list[bytes] = []
+    for x in keys:
+        if x in wanted:
+            out.append(x)
+        elif not out or out[-1] != OTHER:
+            out.append(OTHER)
+    return out
+
+
+def split_keys(raw: bytes) -> list[bytes]:
+    return [raw[k : k + KEY_BYTES] for k in range(0, len(raw), KEY_BYTES)]
+
+
+STATE = "id long, mark long, gone binary, changed boolean, kept binary, windows array<binary>"
+
+
+def _align(batches: Iterator[pa.RecordBatch], least: int, every_holder: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by document, its own lines first, then its partners': what is removed and what is left."""
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.binary(), pa.list_(pa.binary())]
+    key, own, sizes, alive, before, others = None, [], [], [], 0, []
+    out: list[tuple] = []
 
     def close() -> None:
-        if key is not None and len(alive) < total:
-            flags = np.ones(total, dtype=np.uint8)
-            flags[alive] = 0
-            out.append((*key, np.packbits(flags).tobytes()))
+        nonlocal alive
+        if key is None:
+            return
+        was = before if others else len(alive)
+        while alive and len(alive) < was:
+            was = len(alive)
+            for lines in others:
+                alive = delete_common(own, sizes, alive, lines, least)
+        flags = np.ones(len(own), dtype=np.uint8)
+        flags[alive] = 0
+        gone = np.packbits(flags).tobytes() if len(alive) < len(own) else None
+        left = [own[k] for k in alive] if every_holder else []
+        seen = list(dict.fromkeys(windows(left, [sizes[k] for k in alive], least))) if left else []
+        out.append((*key, gone, len(alive) < before, b"".join(left) if seen else b"", seen))
 
     def batch_of() -> pa.RecordBatch:
-        rows = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], names=["id", "mark", "gone"])
+        rows = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=["id", "mark", "gone", "changed", "kept", "windows"])
 
     for batch in batches:
-        for i, mark, turn, keys, chars in zip(*(batch.column(c) for c in ("id", "mark", "turn", "keys", "chars")), strict=True):
-            raw = keys.as_py()
-            lines = [raw[k : k + KEY_BYTES] for k in range(0, len(raw), KEY_BYTES)]
+        for i, mark, turn, keys, chars, lost in zip(*(batch.column(c) for c in ("id", "mark", "turn", "keys", "chars", "lost")), strict=True):
             if turn.as_py() < 0:
                 if (i.as_py(), mark.as_py()) == key:
                     continue  # an equal row
                 close()
-                key, own, sizes = (i.as_py(), mark.as_py()), lines, chars.as_py()
-                total, alive = len(lines), list(range(len(lines)))
+                key, own, sizes, others = (i.as_py(), mark.as_py()), split_keys(keys.as_py()), chars.as_py(), []
+                flags = np.unpackbits(np.frombuffer(lost.as_py() or bytes(len(own)), np.uint8), count=len(own))
+                alive = np.flatnonzero(flags == 0).tolist()
+                before = len(alive)
             elif alive:
+                lines = split_keys(keys.as_py())
                 alive = delete_common(own, sizes, alive, lines, least)
+                if every_holder:
+                    lines = reduced(lines, {own[k] for k in alive})
+                    if lines != [OTHER]:
+                        others.append(lines)
         if len(out) > 5000:
             yield batch_of()
-            out = []
+            out.clear()
     close()
     yield batch_of()
 
 
-def removed_lines(documents: DataFrame, scratch: Scratch, least: int = MIN_BLOCK_CHARS) -> DataFrame:
+def _window_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The distinct windows of whole documents."""
+    for batch in batches:
+        seen = [list(dict.fromkeys(windows(split_keys(k.as_py()), c.as_py(), least))) for k, c in zip(batch.column("keys"), batch.column("chars"), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(seen, pa.list_(pa.binary()))], names=["id", "mark", "windows"])
+
+
+def _class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each holder reduced to the lines asked for, which come as (at, line) with the number of all lines."""
+    for batch in batches:
+        raws = []
+        for size, found in zip(batch.column("size"), batch.column("found"), strict=True):
+            keys, end = [], 0
+            for at, line in sorted((x["at"], x["line"]) for x in found.as_py()):
+                keys += [OTHER] * (at > end) + [line]
+                end = at + 1
+            raws.append(b"".join(keys + [OTHER] * (size.as_py() > end)))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("mark"), pa.array([md5(r).digest() for r in raws], pa.binary()), pa.array(raws, pa.binary())], names=["id", "mark", "class", "keys"]
+        )
+
+
+def _join(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A sort-merge join at any size: no side's size is bounded, so none is broadcast."""
+    return a.join(b.hint("merge"), on, how)
+
+
+def _aligned(rows: DataFrame, theirs: DataFrame, who: DataFrame, lost: DataFrame | None, least: int, every_holder: bool) -> DataFrame:
+    """``rows`` of ``who`` after alignment with ``theirs``, from what ``lost`` (id, mark, gone) left on."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mine = _join(rows, who.select("id", "mark").distinct(), ["id", "mark"], "left_semi")
+    mine = mine.withColumn("lost", F.lit(None).cast("binary")) if lost is None else _join(mine, lost.select("id", "mark", F.col("gone").alias("lost")), ["id", "mark"])
+    none = F.lit(0).cast("long")
+    mine = mine.select("id", "mark", F.lit(-1).cast("long").alias("turn"), none.alias("other"), none.alias("other_mark"), "keys", "chars", "lost")
+    theirs = theirs.select("id", "mark", "turn", "other", "other_mark", "keys", F.lit(None).cast("array<int>").alias("chars"), F.lit(None).cast("binary").alias("lost"))
+    dealt = mine.union(theirs).repartition(parts, "id", "mark").sortWithinPartitions("id", "mark", "turn", "other", "other_mark", "keys")
+    return dealt.mapInArrow(lambda it: _align(it, least, every_holder), STATE)
+
+
+def _other_holders(rows: DataFrame, state: DataFrame, scratch: Scratch, least: int) -> DataFrame:
+    """``state`` after alignment with every other earlier holder, in rounds until no document loses a line."""
+    whole = scratch.table(rows.mapInArrow(lambda it: _window_rows(it, least), "id long, mark long, windows array<binary>").select("id", "mark", F.explode("windows").alias("window")), "windows")
+    # windows of one holder too: lines of a later document may have come together by what it lost
+    firsts = scratch.table(whole.groupBy("window").agg(F.min("id").alias("first")), "first-windows")  # so that the join with a hot window is plain and AQE can split it
+    single = rows.dropDuplicates(["id", "mark"])
+    states, todo, turn = [state.withColumn("turn", F.lit(0))], state, 0
+    while True:
+        turn += 1
+        left = _join(todo.select("id", "mark", F.explode("windows").alias("window")), firsts, "window").where("id > first").select("id", "mark", "window")
+        left = scratch.table(left, f"open-{turn}")
+        if left.isEmpty():
+            break
+        opened = _join(todo, left.select("id", "mark").distinct(), ["id", "mark"], "left_semi")
+        width = 2 * KEY_BYTES
+        cut = lambda hexed, n: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.unhex(F.substring(hexed, k * width + 1, F.lit(width))))
+        asked = opened.select(F.explode(cut(F.hex("kept"), (F.length("kept") / KEY_BYTES).cast("int"))).alias("line")).distinct()
+        asked = scratch.table(asked, f"asked-{turn}")
+        wanted = scratch.table(left.select("window").distinct(), f"wanted-{turn}")
+        held = scratch.table(_join(whole, wanted, "window", "left_semi"), f"held-{turn}")
+        holders = _join(single, held.select("id", "mark").distinct(), ["id", "mark"], "left_semi")
+        spread = holders.select("id", "mark", F.size("chars").alias("size"), F.posexplode(cut(F.hex("keys"), F.size("chars"))).alias("at", "line"))
+        found = scratch.table(_join(spread, asked, "line"), f"found-{turn}")
+        seen = found.groupBy("id", "mark", "size").agg(F.collect_list(F.struct("at", "line")).alias("found"))
+        looks = scratch.table(seen.mapInArrow(_class_rows, "id long, mark long, class binary, keys binary"), f"looks-{turn}")
+        classes = scratch.table(looks.groupBy("class").agg(F.min("id").alias("first"), F.first("keys").alias("keys")), f"classes-{turn}")
+        kinds = scratch.table(_join(held, looks.select("id", "mark", "class"), ["id", "mark"]).select("window", "class").distinct(), f"kinds-{turn}")
+        pairs = scratch.table(_join(left, kinds, "window").select("id", "mark", "class").distinct(), f"pairs-{turn}")
+        theirs = _join(pairs, classes, "class").where("id > first").select("id", "mark", F.lit(0).cast("long").alias("turn"), F.col("first").alias("other"), F.lit(0).cast("long").alias("other_mark"), "keys")
+        done = scratch.table(_aligned(rows, theirs, opened, opened, least, True), f"aligned-{turn}")
+        states.append(done.withColumn("turn", F.lit(turn)))
+        todo = done.where("changed")
+    out = states[0]
+    for more in states[1:]:
+        out = out.union(more)
+    return out.groupBy("id", "mark").agg(F.max_by("gone", "turn").alias("gone")) if len(states) > 1 else out
+
+
+def removed_lines(documents: DataFrame, scratch: Scratch, least: int = MIN_BLOCK_CHARS, every_holder: bool = False) -> DataFrame:
     """(id, mark, gone): for documents that lose lines, a bit for each non-blank line."""
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     trimmed = F.transform(F.split("text", "\n"), lambda x: F.trim(x, F.lit(" \t\r")))
     lines = documents.select("id", "mark", F.filter(trimmed, lambda x: x != "").alias("lines")).where(F.size("lines") > 0)
     rows = scratch.table(
@@ -156,15 +289,14 @@ def removed_lines(documents: DataFrame, scratch: Scratch, least: int = MIN_BLOCK
     each = hexed.select("id", "mark", F.explode(F.array_distinct(F.transform(at, lambda k: F.substring(F.col("hexed"), k * width + 1, F.lit(width))))).alias("line"))
     first = each.groupBy("line").agg(F.min(F.struct("id", "mark")).alias("first"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
     first = scratch.table(first, "first")  # so that the join with a hot line is plain and AQE can split it
-    met = each.join(first, "line").where("id > first.id").select("id", "mark", F.col("first.id").alias("other"), F.col("first.mark").alias("other_mark"), "holders")
+    met = _join(each, first, "line").where("id > first.id").select("id", "mark", F.col("first.id").alias("other"), F.col("first.mark").alias("other_mark"), "holders")
     pairs = scratch.table(met.groupBy("id", "mark", "other", "other_mark").agg(F.min("holders").alias("turn")), "pairs")
     partner = rows.select(F.col("id").alias("other"), F.col("mark").alias("other_mark"), "keys").dropDuplicates(["other", "other_mark"])
-    theirs = pairs.join(partner, ["other", "other_mark"]).select("id", "mark", "turn", "other", "other_mark", "keys", F.lit(None).cast("array<int>").alias("chars"))
-    mine = rows.join(pairs.select("id", "mark").distinct(), ["id", "mark"], "left_semi").select(
-        "id", "mark", F.lit(-1).cast("long").alias("turn"), F.lit(0).cast("long").alias("other"), F.lit(0).cast("long").alias("other_mark"), "keys", "chars"
-    )
-    dealt = mine.union(theirs).repartition(parts, "id", "mark").sortWithinPartitions("id", "mark", "turn", "other", "other_mark")
-    return scratch.table(dealt.mapInArrow(lambda it: _align(it, least), "id long, mark long, gone binary"), "gone")
+    theirs = _join(pairs, partner, ["other", "other_mark"]).select("id", "mark", "turn", "other", "other_mark", "keys")
+    state = scratch.table(_aligned(rows, theirs, pairs, None, least, every_holder), "aligned")
+    if every_holder:
+        state = _other_holders(rows, state, scratch, least)
+    return scratch.table(state.where("gone is not null").select("id", "mark", "gone"), "gone")
 
 
 def strip_lines(text: str, gone: bytes) -> tuple[str, int, int]:
@@ -176,16 +308,17 @@ def strip_lines(text: str, gone: bytes) -> tuple[str, int, int]:
     return ("" if len(drop) == len(real) else "\n".join([x for k, x in enumerate(lines) if k not in drop])), len(real), len(drop)
 
 
-def dedup_lines(documents: DataFrame, scratch: Scratch | None = None, doc_id: str = "doc_id", text: str = "text", least: int = MIN_BLOCK_CHARS) -> DataFrame:
+def dedup_lines(documents: DataFrame, scratch: Scratch | None = None, doc_id: str = "doc_id", text: str = "text", least: int = MIN_BLOCK_CHARS, every_holder: bool = False) -> DataFrame:
     """``documents`` with the kept text in place of the text, and n_lines and n_removed (non-blank lines).
 
+    Only with ``every_holder`` is the job whole; without it a line meets its earliest holder alone.
     Columns named n_lines or n_removed are replaced; all others stay, whatever their names.
     """
     scratch = scratch or Scratch(documents.sparkSession, "lines")
     names = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
     whole = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("mark"), F.struct(*names).alias("row"))
-    gone = removed_lines(whole.select("id", "mark", F.coalesce(F.col(f"row.{text}"), F.lit("")).alias("text")), scratch, least)
-    joined = whole.join(gone, ["id", "mark"], "left").select("row.*", "gone")
+    gone = removed_lines(whole.select("id", "mark", F.coalesce(F.col(f"row.{text}"), F.lit("")).alias("text")), scratch, least, every_holder)
+    joined = _join(whole, gone, ["id", "mark"], "left").select("row.*", "gone")
     schema = T.StructType([*(documents.schema[c] for c in names), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

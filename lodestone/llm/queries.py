@@ -24,7 +24,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import lines
 
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = lines.dedup_lines(documents, Scratch(spark, "op2"))
+    kept = lines.dedup_lines(documents, Scratch(spark, "op2"), every_holder=True)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 

@@ -200,3 +200,33 @@ def test_line_dedup(spark):
     nulls = spark.createDataFrame([(None, "same line here, long enough to count\nx"), (1, "same line here, long enough to count\ny"), (1, "same line here, long enough to count\ny"), (2, None)], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.text, r.n_removed) for r in lines.dedup_lines(nulls).collect()) == [("1", "y", 1), ("1", "y", 1), ("2", None, 0), ("None", "same line here, long enough to count\nx", 0)]
     assert lines.dedup_lines(df.where("false")).count() == 0
+
+
+def test_line_dedup_meets_every_holder(spark):
+    """Nothing is left that any earlier document takes, and only lines that stand earlier go."""
+    rng = random.Random(9)
+    pool = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 4) + str(rng.randrange(40)) for _ in range(rng.randint(1, 9))) for _ in range(70)]
+    rows = [(d, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 14)))) for d in range(160)]
+    x, y, z = "a long line that stands in many documents", "another long line, held in the other order", "a third line of thirty and more characters"
+    short = ["s1 short line", "s2 short line", "s3 short line"]
+    rows += [(1000, f"{x}\nown 1"), (1001, f"{x}\nown 2\n{x}"), (1002, f"{x}\nown 3\n{x}\nown 4")]  # more often than the earliest has it
+    rows += [(1010, f"{y}\nown 6\n{z}"), (1011, f"own 7\n{z}\nown 8\n{y}\nown 9")]  # crossed
+    rows += [(1020 + k, f"{line}\nown {k + 20}") for k, line in enumerate(short)]  # each line has another earliest holder
+    rows += [(1030, "\n".join(["own 30", *short])), (1031, "\n".join(["own 31", *short, "own 32"]))]
+    rows += [(1040 + k, f"own {k + 40}\n{x}\nown {k + 60}") for k in range(15)]  # a hot line
+    df = spark.createDataFrame([*rows, rows[-1]], "doc_id long, text string").repartition(5)
+    one = {r.doc_id: r.n_removed for r in lines.dedup_lines(df).collect()}
+    kept = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup_lines(df, every_holder=True).collect()}
+    assert kept[1011][0] == "own 7\nown 8\nown 9" and kept[1031][0] == "own 31\nown 32" and kept[1030][1] == 0
+    assert kept[1002][0] == "own 3\nown 4" and one[1002] < kept[1002][1] and one[1011] == 1 and one[1031] == 0
+    assert all(kept[1040 + k][1] == 1 for k in range(15)) and sum(k[1] for k in kept.values()) > sum(one.values()) + 10
+    real = {d: [v for v in t.split("\n") if v] for d, t in rows}
+    for d, own in real.items():
+        left = [v for v in kept[d][0].split("\n") if v]
+        assert len(own) - len(left) == kept[d][1]
+        earlier = set().union(*(real[e] for e in real if e < d))
+        assert all(v in earlier for v in (Counter(own) - Counter(left)))
+        for e in real:
+            if e < d:
+                alive = list(range(len(left)))
+                assert lines.delete_common(left, list(map(len, left)), alive, real[e], lines.MIN_BLOCK_CHARS) == alive, (d, e)
