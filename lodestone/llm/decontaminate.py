@@ -17,6 +17,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.words import LOOSE, blocks, ngrams
+from lodestone.runtime import Scratch
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE_WORDS = 0.5, 0.8, 5
@@ -57,10 +60,24 @@ def shingles(h: np.ndarray, size: int) -> np.ndarray:
     return np.unique(ngrams(h, min(size, len(h)))) if len(h) else h
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """What BM25 knows of all items that have a word, for the terms (sorted) of some of them."""
+
+    n: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
 class Index:
-    """The inverted index of some items; items without a word are left out."""
+    """The inverted index of some items; items without a word are left out.
+
+    Without ``statistics`` these items are all there are.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
         rows = [(i, loose_words(t), split_item(t or "")) for i, t in items]
         rows = [r for r in rows if len(r[1])]
         rows.sort(key=lambda r: (len(np.unique(r[1])), r[0] is None, r[0] or 0))
@@ -73,15 +90,18 @@ class Index:
         n, v = len(rows), len(self.terms)
         tf = [np.unique(np.searchsorted(self.terms, r[1]), return_counts=True) for r in rows]
         df = np.bincount(np.concatenate([t for t, _ in tf]), minlength=v) if rows else np.zeros(0)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         mean = np.mean([len(r[1]) for r in rows]) if rows else 1.0
+        if statistics and rows:
+            n, mean, self.longest = statistics.n, statistics.mean, statistics.longest
+            df = statistics.df[np.searchsorted(statistics.terms, self.terms)]
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         term, item, impact = [], [], []
         for k, (t, f) in enumerate(tf):
             own = idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(rows[k][1]) / mean))
             term.append(t)
             item.append(np.full(len(t), k))
             impact.append(own / own.sum())
-        self.n_blocks = -(-n // BLOCK_ITEMS)
+        self.n_blocks = -(-len(rows) // BLOCK_ITEMS)
         self.term, self.item, self.impact = (np.concatenate(x) if rows else np.zeros(0) for x in (term, item, impact))
         # postings by (block, term): their items' impacts as a dense row of the block
         cell = (self.item // BLOCK_ITEMS).astype(np.int64) * v + self.term.astype(np.int64)
@@ -196,24 +216,52 @@ def item_passes(items: DataFrame, item_id: str = "item_id", text: str = "text")
     yield part
 
 
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of words and distinct terms of each item."""
+    for batch in batches:
+        words = [loose_words(t.as_py()) for t in batch.column(0)]
+        terms = pa.array([np.unique(h).view(np.int64) for h in words], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([len(h) for h in words], pa.int64()), terms], names=["size", "terms"])
+
+
+def pass_statistics(items: DataFrame, parts: Iterator[list[tuple[int, str]]], text: str = "text") -> Iterator[tuple[list[tuple[int, str]], Statistics]]:
+    """Each pass with the statistics of all items, for its own terms."""
+    spark = items.sparkSession
+    each = items.select(text).mapInArrow(_item_terms, "size long, terms array<long>").where("size > 0")
+    n, words, longest = each.agg(F.count(F.lit(1)), F.sum("size"), F.max("size")).first()
+    scratch = Scratch(spark, "items")
+    counted = scratch.table(each.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
+    for part in parts:
+        hashes = [loose_words(t) for _, t in part]
+        own = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, _U)
+        wanted = spark.createDataFrame(pa.table({"term": pa.array(own.view(np.int64))}))
+        found = counted.join(wanted, "term").toArrow()  # a row each term of this pass
+        terms = found.column("term").to_numpy().view(_U)
+        order = np.argsort(terms)
+        yield part, Statistics(n, (words or 0) / max(n, 1), longest or 1, terms[order], found.column("df").to_numpy()[order])
+    scratch.drop()
+
+
 def find_items(documents: DataFrame, items: DataFrame, text: str = "text", out: str = "matches", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """``documents`` with the test items that each whole text holds (an empty array for clean ones).
 
     Null and empty texts hold none; a column named as ``out`` is replaced.  Nothing is shuffled.
     """
     documents = documents.drop(out).withColumn(out, F.array().cast(MATCH))
-    for part in item_passes(items):
-        documents = _one_pass(documents, part, text, out, threshold, overlap)
+    parts = item_passes(items)
+    ahead = list(islice(parts, 2))
+    for part, statistics in pass_statistics(items, chain(ahead, parts)) if len(ahead) > 1 else [(ahead[0], None)]:
+        documents = _one_pass(documents, part, statistics, text, out, threshold, overlap)
     return documents
 
 
-def _one_pass(documents: DataFrame, part: list[tuple[int, str]], text: str, out: str, threshold: float, overlap: float) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(part)
+def _one_pass(documents: DataFrame, part: list[tuple[int, str]], statistics: Statistics | None, text: str, out: str, threshold: float, overlap: float) -> DataFrame:
+    shared = documents.sparkSession.sparkContext.broadcast((part, statistics))
     names, built = documents.columns, {}
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("bm25", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = built.get("index") or built.setdefault("index", Index(shared.value))
+        index = built.get("index") or built.setdefault("index", Index(*shared.value))
         for batch in batches:
             hits = batch.column(names.index(out)).to_pylist()
             for w in blocks(batch.column(names.index(text)), separators=LOOSE):

@@ -131,3 +131,23 @@ def test_retrieval_is_complete():
         np.add.at(full, index.item[mine].astype(int), index.impact[mine])
         assert set(found.tolist()) == set(np.flatnonzero(full >= 0.4 - 1e-5).tolist())
         assert np.allclose(scores, full[found], atol=1e-5)
+
+
+def test_scores_do_not_depend_on_passes(spark, monkeypatch):
+    """The passes' hits and scores are those of one pass over all items."""
+    rng = random.Random(5)
+    vocab = [f"w{k}" for k in range(400)]
+    some = lambda k: [rng.choice(vocab) for _ in range(k)]
+    items = [(k, " ".join(some(60))) for k in range(25)] + [(25, None), (26, "!"), (3, "rare words alone stand here")]
+    docs = []
+    for d in range(56):
+        own = (items[d % 28][1] or "").split()
+        docs.append((d, " ".join([*some(30), *own[:10], "changed", *own[11:], *some(d)])))
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted((r.doc_id, r.item_id, round(r.bm25, 5)) for r in decontaminate.contaminated(docs, bench).collect())
+    whole = found()
+    monkeypatch.setattr(decontaminate, "PASS_ITEMS", 9)
+    split = found()
+    assert len(whole) > 45 and [x[:2] for x in split] == [x[:2] for x in whole]
+    assert [x[2] for x in split] == pytest.approx([x[2] for x in whole], abs=2e-5)
