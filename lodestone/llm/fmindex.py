@@ -1,7 +1,7 @@
 """A compressed FM-index over integer sequences: bit-packed wavelet matrix, searched backwards.
 
 The suffixes are sorted by their first ``order`` symbols only (doubling), which is all that patterns of
-at most that length need.  Many patterns are searched at once: each step is a few NumPy gathers over all
+at most that length need, and by their starts where these are equal.  Many patterns are searched at once: each step is a few NumPy gathers over all
 that are still open.
 """
 
@@ -26,7 +26,7 @@ class WaveletMatrix:
             packed = np.packbits(bit, bitorder="little")
             packed = np.append(packed, np.zeros(16 - len(packed) % 8, np.uint8)).view(_U)
             self.words.append(packed)
-            self.ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed))[:-1]]).astype(np.int64))
+            self.ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed))[:-1]]).astype(np.int32))
             self.zeros.append(int(self.n - bit.sum()))
             now = np.concatenate([now[~bit], now[bit]])
         every = np.arange(sigma)
@@ -46,8 +46,8 @@ class WaveletMatrix:
         return self._descend(symbol, at) - self.base[symbol]
 
 
-def sort_suffixes(symbols: np.ndarray, order: int) -> np.ndarray:
-    """Suffix starts by their first ``order`` symbols (ties by position)."""
+def sort_suffixes(symbols: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix starts by their first ``order`` symbols (ties by position), and where a new such prefix begins."""
     n = len(symbols)
     _, rank = np.unique(symbols, return_inverse=True)
     ranks, have = {1: rank + 1}, 1
@@ -65,17 +65,34 @@ def sort_suffixes(symbols: np.ndarray, order: int) -> np.ndarray:
         have += step
         if int(ranks[have].max()) == n:
             break
-    return np.argsort(ranks[have], kind="stable")
+    suffixes = np.argsort(ranks[have], kind="stable")
+    rank = ranks[have][suffixes]
+    return suffixes, np.append(True, rank[1:] != rank[:-1])
 
 
 class FMIndex:
-    """The index of a sequence whose last symbol is 0; patterns hold no 0."""
+    """The index of a sequence whose last symbol is 0; patterns hold no 0.
+
+    Kept are the wavelet matrix of the last column, and a sample of the suffix starts: that of the first row of
+    each interval of ``order`` symbols that has several rows, under a bit vector with ranks.  Neither the
+    sequence nor its suffix array stays.
+    """
 
     def __init__(self, symbols: np.ndarray, sigma: int, order: int):
         self.n, self.sigma = len(symbols), sigma
-        self.suffixes = sort_suffixes(symbols, order)
+        suffixes, begins = sort_suffixes(symbols, order)
         self.less = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=sigma))])
-        self.wavelet = WaveletMatrix(symbols[self.suffixes - 1], sigma)
+        self.wavelet = WaveletMatrix(symbols[suffixes - 1], sigma)
+        sampled = begins & ~np.append(begins[1:], True)
+        packed = np.packbits(sampled, bitorder="little")
+        self.marks = np.append(packed, np.zeros(16 - len(packed) % 8, np.uint8)).view(_U)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.marks))[:-1]]).astype(np.int32)
+        self.samples = suffixes[sampled].astype(np.int32)
+
+    def earliest(self, lo: np.ndarray) -> np.ndarray:
+        """The least start in each interval of ``order`` symbols that begins at row ``lo`` and has several rows."""
+        word, bit = lo >> 6, (lo & 63).astype(_U)
+        return self.samples[self.before[word] + np.bitwise_count(self.marks[word] & ((_U(1) << bit) - _U(1)))].astype(np.int64)
 
     def matches(self, symbols: np.ndarray, ends: np.ndarray, length: int, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Matching statistics of the stretches of ``symbols`` that end before ``ends``.
@@ -89,8 +106,11 @@ class FMIndex:
         for step in range(1, length + 1):
             c = symbols[ends[open_rows] - step]
             k = len(open_rows)
-            ranks = self.wavelet.rank(np.concatenate([c, c]), np.concatenate([lo[open_rows], hi[open_rows]]))
-            new_lo, new_hi = self.less[c] + ranks[:k], self.less[c] + ranks[k:]
+            if step == 1:
+                new_lo, new_hi = self.less[c], self.less[c + 1]
+            else:
+                ranks = self.wavelet.rank(np.concatenate([c, c]), np.concatenate([lo[open_rows], hi[open_rows]]))
+                new_lo, new_hi = self.less[c] + ranks[:k], self.less[c] + ranks[k:]
             goes_on = new_hi - new_lo >= least
             open_rows = open_rows[goes_on]
             lo[open_rows], hi[open_rows] = new_lo[goes_on], new_hi[goes_on]

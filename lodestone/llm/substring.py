@@ -23,13 +23,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.fmindex import FMIndex
+from lodestone.llm.memory import lean
 from lodestone.llm.words import blocks, mix, ngrams, stretches_hash
 from lodestone.runtime import Scratch
 
@@ -64,13 +67,13 @@ def anchors_of(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, marks = batch.column("id"), batch.column("mark")
+        place = [batch.column(c) for c in ("id", "mark_a", "mark_b")]
         for w in blocks(batch.column("text")):
             text, start, n, key, digest = anchors_of(w.hashes(), w.bounds)
             rows = pa.array(text + w.first_row)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(rows), marks.take(rows), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(digest.view(np.int64))],
-                names=["id", "mark", "start", "n", "key", "digest"],
+                [*(c.take(rows) for c in place), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(digest.view(np.int64))],
+                names=["id", "mark_a", "mark_b", "start", "n", "key", "digest"],
             )
 
 
@@ -94,18 +97,24 @@ _CONTENT = pa.schema([
 
 def _content_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of each merged piece (``at`` is -1), or of each of its windows where its key is hot."""
+    fields = ("start", "n", "key", "digest", "places", "hot")
     for batch in batches:
         out: list[list] = [[] for _ in _CONTENT]
-        held = 0
-        for i, text, pieces in zip(*(batch.column(c) for c in ("id", "text", "pieces")), strict=True):
-            words, i = words_of(text.as_py()), i.as_py()
-            for p in pieces.as_py():
-                for s, n, at in [(p["start"] + k, 1, k) for k in range(p["n"])] if p["hot"] else [(p["start"], p["n"], -1)]:
-                    content = b" ".join(words[s : s + n + WINDOW - 1])
-                    route = int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True) if p["hot"] else p["key"]
-                    for column, value in zip(out, (i, s, p["key"], p["digest"], p["places"], at, route, content), strict=True):
+        held, done = 0, 0
+        pieces = batch.column("pieces")
+        ends = np.cumsum(pc.list_value_length(pieces).to_numpy()).tolist()
+        flat = pc.list_flatten(pieces)
+        columns = [flat.field(c).to_pylist() for c in fields]
+        for i, text, end in zip(batch.column("id").to_pylist(), batch.column("text"), ends, strict=True):
+            words = words_of(text.as_py())
+            for start, n, key, digest, places, hot in zip(*(c[done:end] for c in columns), strict=True):
+                for s, size, at in [(start + k, 1, k) for k in range(n)] if hot else [(start, n, -1)]:
+                    content = b" ".join(words[s : s + size + WINDOW - 1])
+                    route = int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True) if hot else key
+                    for column, value in zip(out, (i, s, key, digest, places, at, route, content), strict=True):
                         column.append(value)
                     held += len(content)
+            done = end
             if held > 8 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _CONTENT, strict=True)], schema=_CONTENT)
                 out, held = [[] for _ in _CONTENT], 0
@@ -115,37 +124,43 @@ def _content_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def search_shard(contents: list[bytes], first: list[tuple[int, int]], window: int = WINDOW) -> list[np.ndarray]:
     """For each distinct piece, which of its windows stand earlier than in the piece's earliest place.
 
-    Builds the index of the pieces (0 stands between them), then streams their windows through it.
+    Builds the index of the pieces in the order of their places (0 stands between them), then streams their
+    windows through it: the matching statistics of a window that reach its whole length report an interval,
+    whose earliest place is compared with the window's own.
     """
+    turn = sorted(range(len(contents)), key=first.__getitem__)
     number: dict[bytes, int] = {}
-    split = [c.split(b" ") for c in contents]
+    split = [contents[k].split(b" ") for k in turn]
     sizes = np.array([len(s) for s in split], dtype=np.int64)
     at = np.cumsum(sizes + 1) - (sizes + 1)
-    symbols = np.zeros(int((sizes + 1).sum()), dtype=np.int64)
-    flat = np.fromiter((number.setdefault(w, len(number) + 1) for s in split for w in s), dtype=np.int64, count=int(sizes.sum()))
+    symbols = np.zeros(int((sizes + 1).sum()), dtype=np.int32)
+    flat = np.fromiter((number.setdefault(w, len(number) + 1) for s in split for w in s), dtype=np.int32, count=int(sizes.sum()))
+    del split
     inside = np.ones(len(symbols), dtype=bool)
     inside[at + sizes] = False
     symbols[inside] = flat
     index = FMIndex(symbols, len(number) + 1, window)
-    # the place of every position, ordered: (rank of the id, word in the document)
-    ids = np.array([f[0] for f in first], dtype=np.int64)
-    starts = np.array([f[1] for f in first], dtype=np.int64)
-    _, rank = np.unique(ids, return_inverse=True)
-    piece = np.repeat(np.arange(len(contents)), sizes + 1)
-    offset = np.arange(len(symbols)) - at[piece]
-    place = (rank[piece].astype(np.int64) << 40) + starts[piece] + offset
+    # a place: (number of the id, word in the document)
+    ids = np.array([first[k][0] for k in turn], dtype=np.int64)
+    starts = np.array([first[k][1] for k in turn], dtype=np.int64)
+    doc = np.cumsum(np.append(False, ids[1:] != ids[:-1])).astype(np.int64)
+
+    def place(position: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        return (doc[piece] << 40) + starts[piece] + position - at[piece]
+
     counts = sizes - window + 1
-    begin = np.repeat(at, counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    far, lo, hi = index.matches(symbols, begin + window, window)
+    piece = np.repeat(np.arange(len(turn)), counts)
+    begin = at[piece] + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    far, lo, _ = index.matches(symbols, begin + window, window)
     earlier = np.zeros(len(begin), dtype=bool)
     full = np.flatnonzero(far == window)
-    if len(full):
-        intervals, inverse = np.unique(np.stack([lo[full], hi[full]], axis=1), axis=0, return_inverse=True)
-        by_suffix = place[index.suffixes]
-        cuts = intervals.ravel()
-        least = np.minimum.reduceat(np.append(by_suffix, np.iinfo(np.int64).max), cuts)[::2]
-        earlier[full] = least[inverse.ravel()] < place[begin[full]]
-    return np.split(earlier, np.cumsum(counts)[:-1])
+    least = index.earliest(lo[full])
+    earlier[full] = place(least, np.searchsorted(at, least, side="right") - 1) < place(begin[full], piece[full])
+    parts = np.split(earlier, np.cumsum(counts)[:-1])
+    out: list = [None] * len(turn)
+    for k, found in zip(turn, parts, strict=True):
+        out[k] = found
+    return out
 
 
 def _shard_verdicts(table: pa.Table) -> pa.Table:
@@ -156,67 +171,79 @@ def _shard_verdicts(table: pa.Table) -> pa.Table:
     return table.select(["id", "start", "key", "digest", "places", "at", "route"]).append_column("repeats", repeats)
 
 
-def covered(runs: list[tuple[int, int]], words: int) -> np.ndarray:
-    """Words within any of the [from, to) stretches."""
-    marks = np.zeros(words + 1, dtype=np.int64)
-    for lo, hi in runs:
-        marks[min(lo, words)] += 1
-        marks[min(hi, words)] -= 1
-    return np.cumsum(marks[:-1]) > 0
-
-
 def _repeat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removed stretches of each piece's places: all of a later place, the repeated windows of the earliest."""
     for batch in batches:
-        ids, marks, lows, highs = [], [], [], []
-        for r in batch.to_pylist():
-            if (r["id"], r["start"]) != (r["first_id"], r["first_start"]):
-                spans = [(r["start"], r["start"] + r["n"] + WINDOW - 1)]
-            else:
-                spans = [(r["start"] + k, r["start"] + k + WINDOW) for k in r["repeats"]]
-            for lo, hi in spans:
-                ids.append(r["id"])
-                marks.append(r["mark"])
-                lows.append(lo)
-                highs.append(hi)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(lows, pa.int32()), pa.array(highs, pa.int32())], names=["id", "mark", "lo", "hi"])
+        start, n, first_start, first_id = (batch.column(c).to_numpy() for c in ("start", "n", "first_start", "first_id"))
+        later = (batch.column("id").to_numpy() != first_id) | (start != first_start)
+        whole, own = np.flatnonzero(later), np.flatnonzero(~later)
+        repeats = batch.column("repeats").take(pa.array(own))
+        at, size = pc.list_flatten(repeats).to_numpy(), pc.fill_null(pc.list_value_length(repeats), 0).to_numpy()
+        parent = np.repeat(own, size)
+        # neighbouring windows of one place are one stretch
+        head = np.append(True, (parent[1:] != parent[:-1]) | (at[1:] > at[:-1] + WINDOW))[: len(at)]
+        first, last = np.flatnonzero(head), np.flatnonzero(np.append(head[1:], True)[: len(at)])
+        rows = pa.array(np.concatenate([whole, parent[first]]))
+        lo = np.concatenate([start[whole], start[parent[first]] + at[first]])
+        hi = np.concatenate([start[whole] + n[whole] + WINDOW - 1, start[parent[last]] + at[last] + WINDOW])
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c).take(rows) for c in ("id", "mark_a", "mark_b")), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["id", "mark_a", "mark_b", "lo", "hi"]
+        )
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         total, removed, texts = [], [], []
-        for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
+        spans = batch.column("spans")
+        sizes = pc.fill_null(pc.list_value_length(spans), 0).to_numpy()
+        ends = np.cumsum(sizes)
+        flat = pc.list_flatten(spans)
+        lows, highs = (flat.field(c).to_numpy() for c in ("lo", "hi"))
+        for text, end, size in zip(batch.column("text"), ends.tolist(), sizes.tolist(), strict=True):
             words = words_of(text.as_py())
-            gone = covered([(s["lo"], s["hi"]) for s in spans.as_py() or []], len(words)) if spans.is_valid else np.zeros(len(words), bool)
-            total.append(len(words))
-            removed.append(int(gone.sum()))
-            texts.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if removed[-1] else words))
+            many, gone = len(words), 0
+            if size:
+                marks = np.zeros(many + 1, dtype=np.int64)
+                np.add.at(marks, lows[end - size : end], 1)
+                np.add.at(marks, highs[end - size : end], -1)
+                keep = np.cumsum(marks[:-1]) == 0
+                words = list(compress(words, keep.tolist()))
+                gone = many - len(words)
+            total.append(many)
+            removed.append(gone)
+            texts.append(b" ".join(words))
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"]
         )
 
 
 def remove_repeats(documents: DataFrame, scratch: Scratch | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the kept words joined by one space) of every row."""
+    """doc_id, n_words, n_removed and kept (the kept words joined by one space) of every row.
+
+    Columns of ``documents`` but the two named are left out, whatever their names.  Texts of any length are
+    judged whole; an empty table gives an empty one.
+    """
+    row = ["id", "mark_a", "mark_b"]  # a document: its id, and 128 bits of its text
     spark = documents.sparkSession
     scratch = scratch or Scratch(spark, "substring")
-    docs = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", F.hash("text"))
-    counted = docs.select("text").mapInArrow(_key_rows, "key long, times long").groupBy("key").agg(F.sum("times").alias("times"))
+    docs = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = docs.withColumns({"mark_a": F.xxhash64("text"), "mark_b": F.xxhash64(F.lit("b"), "text")})
+    counted = docs.select("text").mapInArrow(lean(_key_rows), "key long, times long").groupBy("key").agg(F.sum("times").alias("times"))
     repeated = scratch.table(counted.where("times > 1").select("key"), "keys")
     scratch.release()
-    found = docs.mapInArrow(_place_rows, "id long, mark int, start int, n int, key long, digest long")
+    found = docs.mapInArrow(lean(_place_rows), "id long, mark_a long, mark_b long, start int, n int, key long, digest long")
     places = scratch.table(found.join(repeated, "key"), "places")
     scratch.drop("keys")
     scratch.release()
-    merged = places.groupBy("key", "digest").agg(F.min(F.struct("id", "start", "mark")).alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("places"))
-    merged = scratch.table(merged.select("key", "digest", "n", "places", "first.id", "first.mark", "first.start"), "merged")
+    merged = places.groupBy("key", "digest").agg(F.min(F.struct("id", "start", "mark_a", "mark_b")).alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("places"))
+    merged = scratch.table(merged.select("key", "digest", "n", "places", "first.id", "first.mark_a", "first.mark_b", "first.start"), "merged")
     scratch.release()
     crowded = merged.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > HOT_PIECES).select("key", F.lit(True).alias("hot"))
-    by_doc = merged.join(crowded, "key", "left").groupBy("id", "mark").agg(
+    by_doc = merged.join(crowded, "key", "left").groupBy(*row).agg(
         F.collect_list(F.struct("start", "n", "key", "digest", "places", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("pieces")
     )
     content = scratch.table(
-        docs.join(by_doc, ["id", "mark"]).mapInArrow(_content_rows, "id long, start int, key long, digest long, places long, at int, route long, words binary"), "content"
+        docs.join(by_doc, row).mapInArrow(lean(_content_rows), "id long, start int, key long, digest long, places long, at int, route long, words binary"), "content"
     )
     scratch.drop("merged")
     scratch.release()
@@ -240,17 +267,17 @@ def remove_repeats(documents: DataFrame, scratch: Scratch | None = None, doc_id:
     own = windows.join(earliest.select("same", "first"), "same").join(kinds, (F.col("route") == F.col("e_route")) & (F.col("first.id") == F.col("e_id")) & (F.col("first.start") == F.col("e_start")))
     again = (F.col("id") != F.col("e_id")) | (F.col("start") != F.col("e_start")) | (F.col("later") > 0)
     split = own.groupBy("key", "digest").agg(
-        F.min("id").alias("first_id"), F.min(F.col("start") - F.col("at")).alias("first_start"), F.collect_set(F.when(again, F.col("at"))).alias("repeats")
+        F.min("id").alias("first_id"), F.min(F.col("start") - F.col("at")).alias("first_start"), F.array_sort(F.collect_set(F.when(again, F.col("at")))).alias("repeats")
     )
     verdicts = scratch.table(whole.unionByName(split), "verdicts")
     scratch.drop("content")
     scratch.drop("searched")
     scratch.release()
-    removed = places.join(verdicts, ["key", "digest"]).mapInArrow(_repeat_rows, "id long, mark int, lo int, hi int")
-    spans = scratch.table(removed.groupBy("id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
+    removed = places.join(verdicts, ["key", "digest"]).mapInArrow(lean(_repeat_rows), "id long, mark_a long, mark_b long, lo int, hi int")
+    spans = scratch.table(removed.groupBy(*row).agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
     for name in ("places", "verdicts"):
         scratch.drop(name)
     scratch.release()
-    joined = docs.join(spans, ["id", "mark"], "left").select("id", "text", "spans")
-    kept = joined.mapInArrow(_kept, "id long, n_words long, n_removed long, kept string")
+    joined = docs.join(spans, row, "left").select("id", "text", "spans")
+    kept = joined.mapInArrow(lean(_kept), "id long, n_words long, n_removed long, kept string")
     return kept.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept")

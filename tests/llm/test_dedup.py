@@ -136,6 +136,19 @@ def test_substring(spark, docs, monkeypatch, hot):
     assert substring.remove_repeats(docs.where("false")).count() == 0
 
 
+def test_substring_tells_null_ids_apart(spark):
+    """Rows without an id whose texts have one 32-bit hash keep their own words."""
+    from pyspark.sql import functions as F
+
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(25))
+    df = spark.createDataFrame([(None, text(386)), (None, text(186693)), (5, text(386))], "doc_id long, text string")
+    assert df.select(F.hash("text").alias("h")).distinct().count() == 1
+    got = {(r.doc_id, r.kept): r.n_removed for r in substring.remove_repeats(df).collect()}
+    assert got == {(None, text(386)): 0, (None, text(186693)): 0, (5, ""): 25}
+    same = spark.createDataFrame([(7, text(386)), (7, text(386)), (7, text(1) + " " + text(386)), (8, None), (9, "")], "doc_id long, text string").withColumns({"spans": F.lit(1), "mark_a": F.lit("x"), "id": F.lit(2)})
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(same).collect()) == [(7, 25, 0), (7, 25, 0), (7, 50, 25), (8, 0, 0), (9, 0, 0)]
+
+
 def test_patience_aligns():
     """Pairs are equal and rise; no gap begins or ends alike, or holds an item that is unique on both sides."""
     rng = random.Random(1)
