@@ -37,16 +37,26 @@ def plan_records(pages: DataFrame) -> DataFrame:
     """page_id, url, html, record_type and refers_to of every page; null html is the empty payload.
 
     Digests are compared, not payloads, and travel without the text.  A hot digest is aggregated
-    before the shuffle; its rows meet the one winner in a join that AQE can split.
+    before the shuffle; its rows meet the one winner in a join that AQE can split.  A row is told by its
+    id and its digest, so rows that repeat an id are judged each by its own payload, and every row of
+    ``pages`` gives one record.  A null id is smaller than any other: such a row revisits a record with an
+    id, and never is referred to; equal payloads without any id are all responses.  Of rows that repeat both
+    the keeper's id and its payload each is a response.
     """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     digests = pages.select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").alias("n"))
     large = digests.where(F.col("n") >= REVISIT_BYTES)
-    winners = large.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "keeper")
-    revisits = large.join(winners, "digest").where("page_id < keeper").select("page_id", F.col("keeper").alias("refers_to")).distinct()
+    winners = large.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and keeper is not null")
+    later = F.col("page_id").isNull() | (F.col("page_id") < F.col("keeper"))
+    revisits = large.join(winners.select("digest", "keeper"), "digest").where(later)
+    # one row an id and digest; a null id joins as any other value
+    revisits = revisits.groupBy(F.col("page_id").alias("id"), F.col("digest").alias("own")).agg(F.max("keeper").alias("refers_to"))
+    own = F.when(F.octet_length("html") >= REVISIT_BYTES, F.sha1(F.encode("html", "UTF-8")))
     return (
-        pages.join(revisits, "page_id", "left")
+        pages.withColumn("digest", own)
+        .join(revisits, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("own")), "left")
         .withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
+        .select("page_id", "url", "html", "record_type", "refers_to")
     )
 
 
