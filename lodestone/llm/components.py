@@ -8,15 +8,17 @@ aggregated before the shuffle, and meets its links in a join that AQE can split.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.memory import lean
 from lodestone.runtime import Scratch
 
 MAX_ROUNDS = 60
+Accept = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 class UnionFind:
@@ -55,14 +57,20 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([sets.find(n) for n in part], pa.int64())], names=["a", "b"])
 
 
-def connected_components(links: DataFrame, scratch: Scratch, label: str = "components") -> DataFrame:
+def connected_components(links: DataFrame, scratch: Scratch, label: str = "components", accept: Accept | None = None) -> DataFrame:
     """(node, component) for every node of ``links`` (two long columns); component is the least node.
 
-    Links with a null end, and links from a node to itself, connect nothing.
+    Links with a null end, and links from a node to itself, connect nothing.  With ``accept``, which turns
+    batches of ``links`` (with whatever columns it needs) into those of the links that hold, nothing is left
+    out before it; it runs in the same worker as the first forest.
     """
     a, b = links.columns[:2]
-    pairs = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b")))
-    edges = scratch.table(pairs.mapInArrow(_forest, "a long, b long"), f"{label}-0")
+    if accept is None:
+        pairs = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b")))
+        first = pairs.mapInArrow(lean(_forest), "a long, b long")
+    else:
+        first = links.mapInArrow(lean(lambda it: _forest(accept(it))), "a long, b long")
+    edges = scratch.table(first, f"{label}-0")
     for k in range(1, MAX_ROUNDS):
         # large star: neighbours above a node go to the least node around it
         both = edges.union(edges.select("b", "a")).toDF("node", "near")
@@ -72,7 +80,7 @@ def connected_components(links: DataFrame, scratch: Scratch, label: str = "compo
         low = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(low, "a").select(F.col("b").alias("x"), "least", "a")
         stars = small.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("least").alias("b")), F.struct(F.col("a").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.*")
-        new = scratch.table(stars.where("a != b").distinct().mapInArrow(_forest, "a long, b long"), f"{label}-{k}")
+        new = scratch.table(stars.where("a != b").distinct().mapInArrow(lean(_forest), "a long, b long"), f"{label}-{k}")
         # done when no target has a target of its own
         done = new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty()
         scratch.drop(f"{label}-{k - 1}")

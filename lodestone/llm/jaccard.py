@@ -13,8 +13,9 @@ groups of near copies never meet in all their pairs:
 1. Every posting list is sorted by min-hashes and each member is verified against the one before it:
    as many candidates as postings.  The links found give provisional components.
 2. Only posting lists that still hold several components are searched completely, and only across
-   components: short lists as pairs, verified if they share enough prefix shingles; long ones (over
-   LONG_LIST) block by block within tasks that return the links needed to connect their members.
+   components, and always by the number of shared prefix shingles: short lists as pairs; long ones (over
+   LONG_LIST) block by block, where the members' whole prefixes meet, and those with a candidate are
+   verified within tasks that return the links needed to connect their members.
 
 All links are verified on whole sets.  The classes' components are the answer; pairs within a component
 are not listed.
@@ -31,12 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import UnionFind, connected_components
+from lodestone.llm.memory import lean
 from lodestone.llm.words import blocks, mix, shingle_set
 from lodestone.runtime import Scratch
 
 SHINGLE_WORDS = 5
 SKETCH_BITS, SLICES = 20, 64
-LONG_LIST, BLOCK_ROWS, BLOCK_SHINGLES, MAX_EXTRA = 64, 2048, 1 << 21, 7
+LONG_LIST, BLOCK_ROWS, BLOCK_SHINGLES, MAX_EXTRA = 64, 1024, 1 << 21, 7
 _U = np.uint64
 
 
@@ -86,7 +88,7 @@ def frequency_sketch(df: DataFrame, text: str = "text") -> np.ndarray:
 
     schema = "slice int, counts binary"
     out = np.zeros((SLICES, width), dtype=np.uint32)
-    for row in df.select(text).mapInArrow(count, schema).repartition(SLICES, "slice").mapInArrow(add, schema).collect():
+    for row in df.select(text).mapInArrow(lean(count), schema).repartition(SLICES, "slice").mapInArrow(add, schema).collect():
         out[row.slice] = np.frombuffer(row.counts, dtype=np.uint32)
     return out.ravel()
 
@@ -142,7 +144,7 @@ def signatures(df: DataFrame, sketch: np.ndarray, doc_id: str = "doc_id", text:
             )
 
     return df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text")).mapInArrow(
-        run, "doc_id long, n long, key binary, wanted int, prefix array<long>, near_a long, near_b long"
+        lean(run), "doc_id long, n long, key binary, wanted int, prefix array<long>, near_a long, near_b long"
     )
 
 
@@ -200,8 +202,8 @@ def linked(n: int, m: int, common: int) -> bool:
     return 100 * common >= 80 * (n + m - common) and common > 0
 
 
-def block_links(reps: list[int], comps: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between members of different components, as many as it takes to connect them."""
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two (different) of some sets have in common."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     row = np.repeat(np.arange(len(sets)), sizes)
     _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -216,7 +218,13 @@ def block_links(reps: list[int], comps: list[int], sets: list[np.ndarray]) -> li
         part = np.zeros((len(sets), min(1024, len(columns) - lo)), dtype=np.float32)
         part[row[i:j], inverse[i:j] - lo] = 1
         common += part @ part.T
-    comp, found = np.array(comps), []
+    return common
+
+
+def block_links(reps: list[int], comps: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between members of different components, as many as it takes to connect them."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    common, comp, found = overlaps(sets), np.array(comps), []
     for lo in range(0, len(sets), 256):
         c = np.rint(common[lo : lo + 256]).astype(np.int64)
         hit = 100 * c >= 80 * (sizes[lo : lo + 256, None] + sizes[None, :] - c)
@@ -229,38 +237,28 @@ def block_links(reps: list[int], comps: list[int], sets: list[np.ndarray]) -> li
     return out
 
 
-def histogram(s: np.ndarray) -> np.ndarray:
-    """How many hashes of a set fall into each of about half as many buckets, a byte each."""
-    bits = max(6, (len(s) // 2).bit_length())
-    counts = np.bincount((s >> _U(64 - bits)).astype(np.int64), minlength=1 << bits)
-    if counts.max(initial=0) > 255:
-        raise ValueError("hashes are not spread evenly")
-    return counts.astype(np.uint8)
-
-
-def may_link(sizes: np.ndarray, comps: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Members that may link to one of another component: two sets share at most the sum, over buckets, of the lesser count."""
-    keep = np.zeros(len(rows), dtype=bool)
-    levels = np.array([len(r).bit_length() for r in rows])
-    for level in np.unique(levels):
-        at = np.flatnonzero((levels == level) | (levels == level + 1))
-        part = np.stack([rows[k].astype(np.uint16) if levels[k] == level else rows[k].reshape(-1, 2).sum(axis=1, dtype=np.uint16) for k in at])
-        for x in range(len(at) - 1):
-            n, m = sizes[at[x]], sizes[at[x + 1 :]]
-            able = np.flatnonzero((comps[at[x + 1 :]] != comps[at[x]]) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)))
-            if len(able):
-                most = np.minimum(part[x], part[x + 1 :][able]).sum(axis=1, dtype=np.int64)
-                hits = able[100 * most >= 80 * (n + m[able] - most)]
-                if len(hits):
-                    keep[at[x]] = True
-                    keep[at[x + 1 :][hits]] = True
+def candidates_of(n: np.ndarray, wanted: np.ndarray, comps: np.ndarray, prefixes: list[np.ndarray]) -> np.ndarray:
+    """Members with a candidate of another component: one that shares as many prefix shingles as either asks for.
+
+    A prefix shingle of the set whose prefix ends first is missing from the other set unless it matches, so that
+    set has at most ``n - prefix + matches`` in common with it, where 4/9 of both sizes together must be.
+    """
+    common, rest = overlaps(prefixes), (4 * n + 4) // 5 - wanted
+    keep = np.zeros(len(n), dtype=bool)
+    for lo in range(0, len(n), 256):
+        own = slice(lo, lo + 256)
+        needed = np.maximum(np.minimum(wanted[own, None], wanted), (4 * (n[own, None] + n) + 8) // 9 - np.maximum(rest[own, None], rest))
+        alike = 5 * np.minimum(n[own, None], n) >= 4 * np.maximum(n[own, None], n)
+        keep[own] = (alike & (comps[own, None] != comps) & (np.rint(common[own]) >= needed)).any(axis=1)
     return keep
 
 
 def _screen_block(table: pa.Table) -> pa.Table:
-    """The members of a block that need an exact look."""
-    rows = [np.frombuffer(h.as_buffer(), np.uint8) for h in table["histogram"].combine_chunks()] if table.num_rows else []
-    keep = may_link(table["size"].to_numpy(), table["comp"].to_numpy(), rows)
+    """The members of a block that have candidates."""
+    if not table.num_rows:
+        return table.select(["token", "i", "j", "rep", "comp"])
+    prefixes = [np.asarray(p.values) for p in table["prefix"].combine_chunks()]
+    keep = candidates_of(table["n"].to_numpy(), table["wanted"].to_numpy().astype(np.int64), table["comp"].to_numpy(), prefixes)
     return table.select(["token", "i", "j", "rep", "comp"]).filter(pa.array(keep))
 
 
@@ -273,10 +271,10 @@ def _search_block(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a = sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a"))
     b = sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_intersections, "a long, b long")
+    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
 
 
 def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -304,7 +302,7 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, doc_id
         "token", "rep", F.when(F.col("token") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("info")
     )
     ranged = postings.repartitionByRange(parts, "token", "info", "rep").sortWithinPartitions("token", "info", "rep")
-    shared = scratch.table(ranged.mapInArrow(_shared_postings, "token long, rep long, info long, before long"), "shared")
+    shared = scratch.table(ranged.mapInArrow(lean(_shared_postings), "token long, rep long, info long, before long"), "shared")
     scratch.release()
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +311,7 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, doc_id
 
     def sets_of(ids: DataFrame, name: str) -> DataFrame:
         own = documents.withColumnRenamed("doc_id", "rep").join(ids, "rep", "left_semi")
-        out = scratch.table(own.mapInArrow(to_sets, "rep long, set binary"), name)
+        out = scratch.table(own.mapInArrow(lean(to_sets), "rep long, set binary"), name)
         scratch.release()
         return out
 
@@ -322,7 +320,7 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, doc_id
 
     # step 1: neighbours in sorted posting lists
     pairs = scratch.table(shared.where("before is not null").select(F.least("rep", "before").alias("a"), F.greatest("rep", "before").alias("b")).distinct(), "pairs")
-    first = connected_components(_verified(pairs, sets_of(ends(pairs), "sets-1")), scratch, "first")
+    first = connected_components(_with_sets(pairs, sets_of(ends(pairs), "sets-1")), scratch, "first", _intersections)
     scratch.drop("sets-1")
     scratch.release()
 
@@ -358,18 +356,11 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, doc_id
         .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp")
     )
 
-    def to_histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [np.frombuffer(x.as_buffer(), _U) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([histogram(x).tobytes() for x in own], pa.binary())], names=["rep", "size", "histogram"]
-            )
-
-    # a set's histogram is a sixteenth of the set: only members that it cannot rule out bring their sets
+    # whole prefixes meet first; only members with a candidate bring their sets
     cell = ["token", "i", "j"]
-    screened = dealt.join(sets.mapInArrow(to_histograms, "rep long, size long, histogram binary"), "rep").groupBy(*cell).applyInArrow(_screen_block, "token long, i int, j int, rep long, comp long")
+    screened = dealt.join(heads.select("rep", "n", "wanted", "prefix"), "rep").groupBy(*cell).applyInArrow(_screen_block, "token long, i int, j int, rep long, comp long")
     in_blocks = screened.join(sets, "rep").groupBy(*cell).applyInArrow(_search_block, "a long, b long")
-    late = scratch.table(_verified(candidates, sets).union(in_blocks), "late")
+    late = scratch.table(_with_sets(candidates, sets).mapInArrow(lean(_intersections), "a long, b long").union(in_blocks), "late")
     final = scratch.table(first, "labels")
     if not late.isEmpty():
         name = first.toDF("node", "component")
@@ -383,6 +374,7 @@ def near_duplicates(documents: DataFrame, scratch: Scratch | None = None, doc_id
         final = scratch.table(grown.union(alone), "final")
     for name in ("classes", "shared", "sets-2", "open", "pairs", "candidates", "first", "second", "first-1", "late"):
         scratch.drop(name)
+    scratch.release()
     placed = members.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), F.col("rep").alias("class_id")
     )

@@ -80,11 +80,16 @@ def test_block_links_connects_all():
         for j in range(i):
             if jaccard.linked(len(a), len(sets[j]), len(np.intersect1d(a, sets[j]))):
                 want.union(i, j)
-    sizes, alone = np.array([len(x) for x in sets]), np.arange(len(sets))
-    keep = jaccard.may_link(sizes, alone, [jaccard.histogram(x) for x in sets])
-    assert all(keep[k] for k in range(len(sets)) if any(want.find(k) == want.find(j) for j in range(len(sets)) if j != k))
+    n, alone = np.array([len(x) for x in sets]), np.arange(len(sets))
+    for k in (1, 3, 8):  # whatever each asks for, no link is lost
+        wanted = np.minimum(np.arange(len(sets)) % k + 1, [jaccard.required(m) for m in n])
+        prefixes = [x[: m - jaccard.required(m) + w] for x, m, w in zip(sets, n.tolist(), wanted.tolist())]
+        keep = jaccard.candidates_of(n, wanted, alone, prefixes)
+        assert all(keep[i] for i in range(len(sets)) if any(want.find(i) == want.find(j) for j in range(len(sets)) if j != i))
     other = np.unique(rng.integers(0, 1 << 63, 100).astype(np.uint64) * np.uint64(2))
-    assert not jaccard.may_link(np.array([100, 100]), np.arange(2), [jaccard.histogram(np.sort(other)), jaccard.histogram(sets[0])]).any()
+    assert not jaccard.candidates_of(np.array([100, 100]), np.array([1, 1]), np.arange(2), [other[:21], sets[0][:21]]).any()
+    apart = ~np.eye(len(sets), dtype=bool)
+    assert np.array_equal(jaccard.overlaps(sets)[apart], np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])[apart])
     got = UnionFind()
     for a, b in jaccard.block_links(list(range(len(sets))), list(range(len(sets))), sets):
         got.union(a, b)
