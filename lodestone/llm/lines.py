@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.memory import lean
 from lodestone.runtime import Scratch
 
 MIN_BLOCK_CHARS = 30
@@ -149,7 +150,7 @@ STATE = "id long, mark long, gone binary, changed boolean, kept binary, windows
 def _align(batches: Iterator[pa.RecordBatch], least: int, every_holder: bool) -> Iterator[pa.RecordBatch]:
     """Rows sorted by document, its own lines first, then its partners': what is removed and what is left."""
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.binary(), pa.list_(pa.binary())]
-    key, own, sizes, alive, before, others = None, [], [], [], 0, []
+    key, own, sizes, alive, before, others, last = None, [], [], [], 0, [], None
     out: list[tuple] = []
 
     def close() -> None:
@@ -173,7 +174,7 @@ def _align(batches: Iterator[pa.RecordBatch], least: int, every_holder: bool) ->
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=["id", "mark", "gone", "changed", "kept", "windows"])
 
     for batch in batches:
-        for i, mark, turn, keys, chars, lost in zip(*(batch.column(c) for c in ("id", "mark", "turn", "keys", "chars", "lost")), strict=True):
+        for i, mark, turn, keys, chars, lost, *partner in zip(*(batch.column(c) for c in ("id", "mark", "turn", "keys", "chars", "lost", "other", "other_mark")), strict=True):
             if turn.as_py() < 0:
                 if (i.as_py(), mark.as_py()) == key:
                     continue  # an equal row
@@ -181,8 +182,12 @@ def _align(batches: Iterator[pa.RecordBatch], least: int, every_holder: bool) ->
                 key, own, sizes, others = (i.as_py(), mark.as_py()), split_keys(keys.as_py()), chars.as_py(), []
                 flags = np.unpackbits(np.frombuffer(lost.as_py() or bytes(len(own)), np.uint8), count=len(own))
                 alive = np.flatnonzero(flags == 0).tolist()
-                before = len(alive)
+                before, last = len(alive), None
             elif alive:
+                met = (partner[0].as_py(), partner[1].as_py(), keys.as_py())
+                if met == last:
+                    continue  # an equal row of the partner
+                last = met
                 lines = split_keys(keys.as_py())
                 alive = delete_common(own, sizes, alive, lines, least)
                 if every_holder:
@@ -232,12 +237,12 @@ def _aligned(rows: DataFrame, theirs: DataFrame, who: DataFrame, lost: DataFrame
     mine = mine.select("id", "mark", F.lit(-1).cast("long").alias("turn"), none.alias("other"), none.alias("other_mark"), "keys", "chars", "lost")
     theirs = theirs.select("id", "mark", "turn", "other", "other_mark", "keys", F.lit(None).cast("array<int>").alias("chars"), F.lit(None).cast("binary").alias("lost"))
     dealt = mine.union(theirs).repartition(parts, "id", "mark").sortWithinPartitions("id", "mark", "turn", "other", "other_mark", "keys")
-    return dealt.mapInArrow(lambda it: _align(it, least, every_holder), STATE)
+    return dealt.mapInArrow(lean(lambda it: _align(it, least, every_holder)), STATE)
 
 
 def _other_holders(rows: DataFrame, state: DataFrame, scratch: Scratch, least: int) -> DataFrame:
     """``state`` after alignment with every other earlier holder, in rounds until no document loses a line."""
-    whole = scratch.table(rows.mapInArrow(lambda it: _window_rows(it, least), "id long, mark long, windows array<binary>").select("id", "mark", F.explode("windows").alias("window")), "windows")
+    whole = scratch.table(rows.mapInArrow(lean(lambda it: _window_rows(it, least)), "id long, mark long, windows array<binary>").select("id", "mark", F.explode("windows").alias("window")), "windows")
     # windows of one holder too: lines of a later document may have come together by what it lost
     firsts = scratch.table(whole.groupBy("window").agg(F.min("id").alias("first")), "first-windows")  # so that the join with a hot window is plain and AQE can split it
     single = rows.dropDuplicates(["id", "mark"])
@@ -259,7 +264,7 @@ def _other_holders(rows: DataFrame, state: DataFrame, scratch: Scratch, least: i
         spread = holders.select("id", "mark", F.size("chars").alias("size"), F.posexplode(cut(F.hex("keys"), F.size("chars"))).alias("at", "line"))
         found = scratch.table(_join(spread, asked, "line"), f"found-{turn}")
         seen = found.groupBy("id", "mark", "size").agg(F.collect_list(F.struct("at", "line")).alias("found"))
-        looks = scratch.table(seen.mapInArrow(_class_rows, "id long, mark long, class binary, keys binary"), f"looks-{turn}")
+        looks = scratch.table(seen.mapInArrow(lean(_class_rows), "id long, mark long, class binary, keys binary"), f"looks-{turn}")
         classes = scratch.table(looks.groupBy("class").agg(F.min("id").alias("first"), F.first("keys").alias("keys")), f"classes-{turn}")
         kinds = scratch.table(_join(held, looks.select("id", "mark", "class"), ["id", "mark"]).select("window", "class").distinct(), f"kinds-{turn}")
         pairs = scratch.table(_join(left, kinds, "window").select("id", "mark", "class").distinct(), f"pairs-{turn}")
@@ -291,7 +296,8 @@ def removed_lines(documents: DataFrame, scratch: Scratch, least: int = MIN_BLOCK
     first = scratch.table(first, "first")  # so that the join with a hot line is plain and AQE can split it
     met = _join(each, first, "line").where("id > first.id").select("id", "mark", F.col("first.id").alias("other"), F.col("first.mark").alias("other_mark"), "holders")
     pairs = scratch.table(met.groupBy("id", "mark", "other", "other_mark").agg(F.min("holders").alias("turn")), "pairs")
-    partner = rows.select(F.col("id").alias("other"), F.col("mark").alias("other_mark"), "keys").dropDuplicates(["other", "other_mark"])
+    # not made distinct, so that the join with a hot partner is plain and AQE can split it; equal rows align once
+    partner = rows.select(F.col("id").alias("other"), F.col("mark").alias("other_mark"), "keys")
     theirs = _join(pairs, partner, ["other", "other_mark"]).select("id", "mark", "turn", "other", "other_mark", "keys")
     state = scratch.table(_aligned(rows, theirs, pairs, None, least, every_holder), "aligned")
     if every_holder:
@@ -318,7 +324,10 @@ def dedup_lines(documents: DataFrame, scratch: Scratch | None = None, doc_id: st
     names = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
     whole = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("mark"), F.struct(*names).alias("row"))
     gone = removed_lines(whole.select("id", "mark", F.coalesce(F.col(f"row.{text}"), F.lit("")).alias("text")), scratch, least, every_holder)
-    joined = _join(whole, gone, ["id", "mark"], "left").select("row.*", "gone")
+    extra = "gone"
+    while extra in {c.lower() for c in names}:
+        extra += "_"
+    joined = _join(whole, gone, ["id", "mark"], "left").select("row.*", F.col("gone").alias(extra))
     schema = T.StructType([*(documents.schema[c] for c in names), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,4 +348,4 @@ def dedup_lines(documents: DataFrame, scratch: Scratch | None = None, doc_id: st
             columns[names.index(text)] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64()), pa.array(removed, pa.int64())], names=[f.name for f in schema.fields])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)

@@ -220,6 +220,15 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(df.where("false")).count() == 0
 
 
+def test_line_dedup_finds_copies_whose_lines_stand_apart_earlier(spark):
+    """Each line of a copied pair first stands in a document of its own, and is short."""
+    x, y = "one line of twenty one", "other line of nineteen"
+    rows = [(1, f"{x}\np"), (2, f"{y}\nq"), (3, f"{x}\n{y}"), (4, f"{x}\n{y}")]
+    df = spark.createDataFrame([(d, t, 7, "m", b"g") for d, t in rows], "doc_id long, text string, turn int, mark string, gone binary")
+    got = {r.doc_id: (r.text, r.n_removed, r.turn, r.mark, bytes(r.gone)) for r in lines.dedup_lines(df, every_holder=True).collect()}
+    assert got == {**{d: (t, 0, 7, "m", b"g") for d, t in rows[:3]}, 4: ("", 2, 7, "m", b"g")}
+
+
 def test_line_dedup_meets_every_holder(spark):
     """Nothing is left that any earlier document takes, and only lines that stand earlier go."""
     rng = random.Random(9)
