@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lodestone.llm.memory import lean
+
 #: Text handed to one run of the merge loop, in characters; the units remembered between runs.
 RUN_CHARS, CACHE_UNITS = 3 << 20, 100_000
 
@@ -201,16 +203,18 @@ class Encoder:
         if len(self.known) > CACHE_UNITS:
             self.known = {}
         gc.disable()  # millions of small lists and no cycles
-        rows = [self.split(t) for t in texts]
-        fresh = list(set().union(*rows).difference(self.known))
-        parts = [self.pieces(u) for u in fresh]
-        distinct = list({p for own in parts for p in own if isinstance(p, str)})
-        ids, bounds = merge_pieces(self.vocab, [p.encode() for p in distinct])
-        ids, bounds = ids.tolist(), bounds.tolist()
-        of = {p: ids[bounds[k] : bounds[k + 1]] for k, p in enumerate(distinct)}
-        for u, own in zip(fresh, parts, strict=True):
-            self.known[u] = of[own[0]] if len(own) == 1 and isinstance(own[0], str) else [i for p in own for i in (of[p] if isinstance(p, str) else (p,))]
-        gc.enable()
+        try:
+            rows = [self.split(t) for t in texts]
+            fresh = list(set().union(*rows).difference(self.known))
+            parts = [self.pieces(u) for u in fresh]
+            distinct = list({p for own in parts for p in own if isinstance(p, str)})
+            ids, bounds = merge_pieces(self.vocab, [p.encode() for p in distinct])
+            ids, bounds = ids.tolist(), bounds.tolist()
+            of = {p: ids[bounds[k] : bounds[k + 1]] for k, p in enumerate(distinct)}
+            for u, own in zip(fresh, parts, strict=True):
+                self.known[u] = of[own[0]] if len(own) == 1 and isinstance(own[0], str) else [i for p in own for i in (of[p] if isinstance(p, str) else (p,))]
+        finally:
+            gc.enable()
         return rows, fresh
 
 
@@ -252,7 +256,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
                 yield pa.RecordBatch.from_arrays([*own.columns, column], names=[*own.schema.names, ids])
                 lo += len(part)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str | None = None) -> DataFrame:
@@ -266,7 +270,7 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str | N
             out = [decode_ids(vocab, row or []) for row in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, text])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def round_trip_digest(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
@@ -307,4 +311,4 @@ def round_trip_digest(df: DataFrame, text: str = "text", keep: tuple[str, ...] =
                 names=[f.name for f in schema.fields],
             )
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

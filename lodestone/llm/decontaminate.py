@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.memory import lean
 from lodestone.llm.words import LOOSE, blocks, ngrams
 from lodestone.runtime import Scratch
 
@@ -271,7 +272,7 @@ def _one_pass(documents: DataFrame, part: list[tuple[int, str]], statistics: Sta
             columns[names.index(out)] = pa.array(hits, kind)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lean(run), documents.schema)
 
 
 def contaminated(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.memory import lean
 from lodestone.llm.words import SEPARATORS, Words, blocks, mix, split
 
 _U = np.uint64
@@ -155,7 +156,7 @@ def train(labelled: DataFrame, settings: Settings = Settings(), text: str = "tex
     kind = sample.schema["order"].dataType
     schema = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("shares", T.BinaryType()), T.StructField("label", T.IntegerType()), T.StructField("order", kind)])
     # the sample is bounded, so one task can hold it
-    found = sample.mapInArrow(featurise, schema).repartition(1).sortWithinPartitions("order", "label", "ids").mapInArrow(learn, "model binary").collect()
+    found = sample.mapInArrow(lean(featurise), schema).repartition(1).sortWithinPartitions("order", "label", "ids").mapInArrow(lean(learn), "model binary").collect()
     return np.frombuffer(found[0].model, np.float32) if found else np.zeros((1 << bits) + 1, np.float32)
 
 
@@ -181,7 +182,7 @@ def score(df: DataFrame, model: np.ndarray, text: str = "text", out: str = "scor
                 out_scores[w.first_row : w.first_row + len(w)] = 1 / (1 + np.exp(-np.clip(sums / counts, -60, 60)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out_scores)], names=[*batch.schema.names, out])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def held_out(doc_id: str = "doc_id"):

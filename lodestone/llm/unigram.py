@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lodestone.llm.bpe import stretches
+from lodestone.llm.memory import lean
 
 SPACE = "▁"
 #: Fixed value: the penalty of an unknown character.
@@ -200,4 +201,4 @@ def count_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", path:
             counts = pa.array([n for part in stretches(batch.column(text), RUN_CHARS) for n in count(part)], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), counts], names=[*keep, out])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

@@ -2,7 +2,7 @@
 
 A word is a maximal run of bytes other than space, tab, line feed, vertical tab, form feed and
 carriage return.  These six are ASCII, so the UTF-8 bytes can be split without decoding.  Hashes are
-64 bits wide; a batch is worked through in blocks of a MB, so memory follows the block and the
+64 bits wide; a batch is worked through in blocks of half a MB, so memory follows the block and the
 longest single text, not the batch.
 """
 
@@ -60,7 +60,7 @@ def _powers_of(base: int, n: int) -> np.ndarray:
             step = min(filled, size - filled)
             out[filled : filled + step] = out[:step] * _U(pow(base, filled, 1 << 64))
             filled += step
-        if size > (8 << 20):
+        if size > (1 << 19):  # a long text: not kept
             return out
         _powers[base] = have = out
     return have
@@ -103,8 +103,8 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def blocks(column: pa.Array, max_bytes: int = 1 << 20, separators: np.ndarray = _IS_SEP) -> Iterator[Words]:
-    """The words of a column of texts, a MB of whole texts at a time."""
+def blocks(column: pa.Array, max_bytes: int = 1 << 19, separators: np.ndarray = _IS_SEP) -> Iterator[Words]:
+    """The words of a column of texts, half a MB of whole texts at a time."""
     data, offsets = utf8(column)
     rows, lo = len(offsets) - 1, 0
     while lo < rows:
