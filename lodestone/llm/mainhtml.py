@@ -5,36 +5,53 @@ features into two terminal capacities: what it costs to call the block boilerpla
 to call it content.  Neighbours in page order, and neighbours within one container, are joined by edges
 that weigh less the farther apart they stand in the tree.  The minimum cut of this graph, found by
 maximum flow, is the cheapest labelling: the source's side is content.
+
+The classifier is a logistic regression, fitted here by Newton steps on pages that a seeded generator
+writes together with their main text, as there are no labels for pages.  Elements, attributes and words are
+features of it and have finite weights; only what is no text of a page (scripts, styles, controls) is left
+out before.  What an element says counts for the blocks below it, unless it wraps an article or more than half
+of the page's text, and not for an article within it.
+
+Character references are decoded in each text node.  Null and empty pages, and pages without text, give ''.
+Rows that repeat a page give the same text each; pages and blocks of any length are worked off whole.
 """
 
 from __future__ import annotations
 
 import html
 import math
+import random
 import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lodestone.llm.memory import lean
+
 #: Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split()
+    "a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark output q rp rt ruby s samp select small span strike strong sub sup time tt u var wbr br img".split()
 )
-#: Elements whose text is never main text.
-NEVER = frozenset("head script style noscript template iframe svg math nav aside form button select menu dialog footer textarea object title".split())
+#: Elements whose text is no text of the page: code, and labels of controls.
+SILENT = frozenset("head script style noscript template iframe svg math button select textarea object title".split())
 MAIN = frozenset(("article", "main"))
-#: Words of class and id attributes that mark what surrounds an article.
+#: Elements that are a feature of all blocks below them.
+CHROME = {"nav": "nav", "menu": "nav", "aside": "aside", "footer": "footer", "form": "form", "dialog": "form", "header": "header"}
+#: Words of class and id attributes that mark what surrounds an article, and words that go with them.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertisements adsense banner sponsor sponsored promo promotion sidebar side aside rail widget comment comments disqus reply replies respondents "
+    "ad ads advert adverts advertisement advertisements adsense banner sponsor sponsored promo promotion sidebar side aside rail widget comment comments disqus reply replies respond "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended breadcrumb breadcrumbs nav navbar "
     "navigation menu footer header masthead toolbar pagination pager skip copyright disclaimer legal".split()
 )
+FILLERS = frozenset("area bar block body box content container cta form group inner item items left line links list main outer panel right row section site slot text top bottom unit wrap wrapper".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
@@ -44,29 +61,32 @@ _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+FEATURES = (
+    "bias", "words", "sentence", "heading", "paragraph", "item", "links", "main", "beside", "mark", "part", "nav", "aside", "footer", "form", "header", "hidden",
+)
+_FLAGS = FEATURES[9:]
+
+
 @dataclass(frozen=True)
 class Weights:
-    """The classifier and the smoothness of the cut."""
-
-    bias: float = -1.0
-    in_main: float = 6.0
-    word: float = 0.9  # for each doubling of the words
-    sentence: float = 1.0  # ends like a sentence
-    heading: float = 0.5
-    link_share: float = -6.0
-    list_item: float = -0.5
-    excluded: float = -1e6
+    """The classifier, one weight a feature, and the smoothness of the cut."""
+
+    features: tuple[float, ...]
     smooth: float = 1.5
     container: float = 1.0
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
     tag: str
     parent: Element | None
     depth: int
-    excluded: bool
+    silent: bool
     main: bool
+    says: frozenset[str] = frozenset()
+    wraps: bool = False  # holds an article, or most of the page
+    chars: int = 0
+    heard: frozenset[str] | None = None
 
 
 @dataclass
@@ -77,32 +97,43 @@ class Block:
 
     @property
     def text(self) -> str:
-        return _SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
+        return _SPACE.sub(" ", "".join(self.parts)).strip()
 
 
-def _excluded(tag: str, attributes: str, parent: Element) -> bool:
-    if tag in NEVER or (tag == "header" and not parent.main):
-        return True
-    if tag in MAIN or tag in ("body", "html") or not attributes:
-        return False
-    for name, *values in _NAMES.findall(attributes):
-        value = "".join(values).lower()
-        if name.lower() == "hidden" or (name.lower() == "aria-hidden" and value == "true"):
-            return True
-        if not MARKS.isdisjoint(_WORDS.findall(value)):
-            return True
-    return False
+_NOTHING: frozenset[str] = frozenset()
+
+
+def _says(tag: str, attributes: str, inside_main: bool) -> frozenset[str]:
+    """What an element tells of the blocks below it."""
+    said = set()
+    if tag in CHROME and not (tag == "header" and inside_main):
+        said.add(CHROME[tag])
+    if attributes and tag not in MAIN and tag not in ("body", "html"):
+        for name, *values in _NAMES.findall(attributes):
+            name, value = name.lower(), "".join(values).lower()
+            if name == "hidden" or (name == "aria-hidden" and value == "true"):
+                said.add("hidden")
+                continue
+            for token in value.split():
+                words = _WORDS.findall(token)
+                if not MARKS.isdisjoint(words):
+                    said.add("mark" if all(w in MARKS or w in FILLERS for w in words) else "part")
+    return frozenset(said) if said else _NOTHING
 
 
 def parse(page: str) -> list[Block]:
     """The text blocks of a page; tolerant of unclosed, stray and cut-off tags."""
     root = Element("", None, 0, False, False)
-    here, block, blocks, at, links = root, None, [], 0, 0
+    here, block, blocks, at, links, elements = root, None, [], 0, 0, []
 
     def text(piece: str) -> None:
         nonlocal block
+        if here.silent or not piece:
+            return
+        if "&" in piece:
+            piece = html.unescape(piece)
         if block is None:
-            if not piece or piece.isspace():
+            if piece.isspace():
                 return
             block = Block(here_block())
             blocks.append(block)
@@ -112,7 +143,7 @@ def parse(page: str) -> list[Block]:
 
     def here_block() -> Element:
         e = here
-        while e.tag in INLINE and not e.excluded and e.parent is not None:
+        while e.tag in INLINE and e.parent is not None:
             e = e.parent
         return e
 
@@ -122,7 +153,7 @@ def parse(page: str) -> list[Block]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in SILENT and not here.silent:
             block = None
         if m[1]:
             e = here
@@ -133,8 +164,6 @@ def parse(page: str) -> list[Block]:
                     links -= here.tag == "a"
                     here = here.parent
                 links -= here.tag == "a"
-                if here.excluded != here.parent.excluded:
-                    block = None
                 here = here.parent
             continue
         if tag == "br":
@@ -151,29 +180,44 @@ def parse(page: str) -> list[Block]:
             if e.tag == "p" and e is not here:
                 links -= inline
                 here = e.parent
-        excluded = here.excluded or _excluded(tag, m[3] or "", here)
-        if excluded != here.excluded:
-            block = None
-        here = Element(tag, here, here.depth + 1, excluded, here.main or tag in MAIN)
+        if tag in MAIN:
+            e = here
+            while e is not None and not e.wraps:
+                e.wraps, e = True, e.parent
+        here = Element(tag, here, here.depth + 1, here.silent or tag in SILENT, here.main or tag in MAIN, _says(tag, m[3] or "", here.main))
+        elements.append(here)
         links += tag == "a"
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = close.start() if close else len(page)
-    tail = page[at:]
-    text(tail)
-    return [b for b in blocks if b.text]
-
-
-def log_odds(block: Block, text: str, w: Weights) -> float:
-    """Positive for content."""
-    if block.element.excluded:
-        return w.excluded
-    words = text.count(" ") + 1
-    size = sum(map(len, block.parts)) or 1
-    score = w.bias + w.word * math.log2(words + 1) - 1.5 + w.link_share * block.linked / size
-    score += w.in_main * block.element.main + w.sentence * (text[-1] in ".!?…”\"»。")
-    score += w.heading * (block.element.tag in ("h1", "h2", "h3")) + w.list_item * (block.element.tag == "li")
-    return score
+    text(page[at:])
+    blocks = [b for b in blocks if b.text]
+    for b in blocks:
+        b.element.chars += sum(map(len, b.parts))
+    whole = sum(b.element.chars for b in {id(b.element): b for b in blocks}.values())
+    for e in reversed(elements):
+        e.wraps |= 2 * e.chars > whole and not e.main
+        if e.parent is not None:
+            e.parent.chars += e.chars
+    for e in elements:  # a parent comes before its children
+        above = _NOTHING if e.tag in MAIN or e.parent is None else e.parent.heard or _NOTHING
+        e.heard = above if e.wraps or not e.says else above | e.says
+    return blocks
+
+
+def features(blocks: list[Block], texts: list[str]) -> np.ndarray:
+    """A row for each block, in the order of FEATURES."""
+    has_main, rows = any(b.element.main for b in blocks), np.zeros((len(blocks), len(FEATURES)))
+    for row, b, text in zip(rows, blocks, texts, strict=True):
+        e = b.element
+        heard = e.heard or _NOTHING
+        row[:9] = (
+            1.0, math.log2(text.count(" ") + 2), text[-1] in ".!?\u2026:\"\u201d\u00bb\u3002", e.tag in ("h1", "h2", "h3", "h4"), e.tag in ("p", "blockquote", "pre", "dd", "figcaption"),
+            e.tag in ("li", "td", "th", "dt"), b.linked / (sum(map(len, b.parts)) or 1), e.main, has_main and not e.main,
+        )
+        if heard:
+            row[9:] = [f in heard for f in _FLAGS]
+    return rows
 
 
 def tree_distance(a: Element, b: Element) -> int:
@@ -268,20 +312,116 @@ def graph(blocks: list[Block], w: Weights) -> list[tuple[int, int, float]]:
     return edges
 
 
-def main_text(page: str | None, w: Weights = Weights()) -> str:
+def main_text(page: str | None, weights: Weights | None = None) -> str:
     blocks = parse(page) if page else []
     if not blocks:
         return ""
+    w = weights or trained()
     texts = [b.text for b in blocks]
-    keep = minimum_cut([log_odds(b, t, w) for b, t in zip(blocks, texts, strict=True)], graph(blocks, w))
+    keep = minimum_cut((features(blocks, texts) @ np.array(w.features)).tolist(), graph(blocks, w))
     return "\n\n".join(t for t, k in zip(texts, keep, strict=True) if k)
 
 
-def extract(df: DataFrame, column: str = "html", out: str = "text", weights: Weights = Weights()) -> DataFrame:
+# --- The classifier ----------------------------------------------------------------------------------
+
+
+def sample_page(rng: random.Random) -> tuple[str, list[str]]:
+    """A page and the blocks of its main text; every block's text stands once."""
+    number = iter(range(1, 1 << 30))
+
+    def words(k: int) -> str:
+        return " ".join([f"{rng.choice('bdfgklmnprst')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice(['', 'a', 'en', 'ing'])}" for _ in range(max(1, k - 1))] + [f"x{next(number)}"])
+
+    def sentence(k: int) -> str:
+        return words(k).capitalize() + rng.choice(".....!?:")
+
+    def link(text: str) -> str:
+        return f"<a href='#'>{text}</a>"
+
+    kept: list[str] = []
+
+    def keep(text: str) -> str:
+        kept.append(text)
+        return text
+
+    def prose() -> str:
+        kind = rng.random()
+        if kind < 0.72:
+            text = keep(words(rng.randint(1, 14)) if rng.random() < 0.2 else " ".join(sentence(rng.randint(2, 24)) for _ in range(rng.choice((1, 1, 2, 3, 5)))))
+            if rng.random() < 0.2:
+                head, _, tail = text.partition(" ")
+                text = link(head) + " " + tail if tail else text
+            harmless = rng.choice(["side-effects", "legal-history", "social-order", "reply-rates", "lead", "intro", "note-worthy"])
+            tag = rng.choice(["p"] * 6 + ["div", "div", "div class='p'"])
+            return f"<p class='{harmless}'>{text}</p>" if rng.random() < 0.12 else f"<{tag}>{text}</{tag.split()[0]}>"
+        if kind < 0.82:
+            return f"<h2>{keep(words(rng.randint(1, 6)).capitalize())}</h2>"
+        if kind < 0.92:
+            return "<ul>" + "".join(f"<li>{keep(rng.choice((words, sentence))(rng.randint(1, 12)))}</li>" for _ in range(rng.randint(2, 5))) + "</ul>"
+        return f"<blockquote>{keep(sentence(rng.randint(4, 30)))}</blockquote>"
+
+    def marked(inner: str, mark: str) -> str:
+        more = rng.choice(["", "", "-box", "-wrapper", "_area"])
+        return f"<{rng.choice(('div', 'div', 'section'))} {rng.choice(('class', 'id'))}='{rng.choice(['', 'c1 '])}{mark}{more}'>{inner}</div>".replace("</div>", "</div></section>")
+
+    def noise(inside: bool) -> str:
+        some = lambda: "".join(f"<p>{rng.choice((sentence, sentence, words))(rng.randint(2, 25))}</p>" for _ in range(rng.randint(1, 3)))
+        menu = lambda: "<ul>" + "".join(f"<li>{link(words(rng.randint(1, 3)))}</li>" for _ in range(rng.randint(2, 7))) + "</ul>"
+        kinds = [
+            lambda: marked(rng.choice((some, menu, lambda: sentence(rng.randint(2, 16))))(), rng.choice(sorted(MARKS))),
+            lambda: marked(some(), rng.choice(["comments", "comment", "replies", "ad", "cookie-notice", "related", "sponsored"])),
+            lambda: f"<aside>{rng.choice((some, menu))()}</aside>",
+            lambda: f"<form><p>{words(rng.randint(1, 9))}</p><label>{words(2)}</label><button>{words(1)}</button></form>",
+            lambda: f"<nav>{menu()}</nav>",
+            lambda: f"<footer>{rng.choice((some, menu, lambda: words(rng.randint(2, 9))))()}</footer>",
+            lambda: f"<div {rng.choice(['hidden', 'aria-hidden=true'])}>{some()}</div>",
+            lambda: f"<p>{link(words(rng.randint(1, 4)))}</p>",
+        ]
+        if not inside:
+            kinds += [lambda: f"<header>{words(3)}{menu()}</header>", lambda: f"<div>{words(rng.randint(1, 4))}</div>", lambda: f"<div>{link(words(2))} | {link(words(2))}</div>"]
+        return rng.choice(kinds)()
+
+    title = f"<h1>{keep(words(rng.randint(2, 9)).capitalize())}</h1>"
+    title = f"<header class='article-header'>{title}</header>" if rng.random() < 0.15 else title
+    outside = rng.random() < 0.2
+    lead = f"<p>{keep(sentence(rng.randint(3, 14)))}</p>" if rng.random() < 0.3 else ""
+    body = "".join(prose() + (noise(True) if rng.random() < 0.12 else "") for _ in range(rng.choice((1, 2, 4, 8, 14))))
+    tag = rng.choice(("article", "article", "main", "div", "div id='content'", "section class='post'"))
+    wrapped = f"{title + lead if outside else ''}<{tag}>{'' if outside else title + lead}{body}</{tag.split()[0]}>"
+    if rng.random() < 0.25:
+        wrapped = f"<div class='{rng.choice(['layout has-sidebar', 'page-with-comments', 'with-nav', 'content-and-ads'])}'>{wrapped}</div>"
+    page = "".join(noise(False) for _ in range(rng.randint(1, 4))) + wrapped + "".join(noise(False) for _ in range(rng.randint(1, 4)))
+    return f"<html><head><title>{words(3)}</title></head><body>{page}</body></html>", kept
+
+
+@lru_cache(maxsize=1)
+def trained(pages: int = 400, seed: int = 17, ridge: float = 0.1) -> Weights:
+    """The classifier, fitted on ``pages`` generated pages."""
+    rng, rows, labels = random.Random(seed), [], []
+    for _ in range(pages):
+        page, kept = sample_page(rng)
+        blocks = parse(page)
+        texts = [b.text for b in blocks]
+        main = set(kept)
+        rows.append(features(blocks, texts))
+        labels += [t in main for t in texts]
+    x, y = np.concatenate(rows), np.array(labels, dtype=float)
+    w = np.zeros(x.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return Weights(tuple(np.round(w, 6).tolist()))
+
+
+def extract(df: DataFrame, column: str = "html", out: str = "text", weights: Weights | None = None) -> DataFrame:
     """``df`` without its HTML, with the main text of every whole page; null and empty pages give ''.
 
     A column of ``df`` named as ``out`` is replaced.
     """
+    weights = weights or trained()
     keep = [c for c in df.columns if c not in (column, out)]
     df = df.select(*keep, column)
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.StringType())])
@@ -291,4 +431,4 @@ def extract(df: DataFrame, column: str = "html", out: str = "text", weights: Wei
             texts = pa.array([main_text(page.as_py(), weights) for page in batch.column(column)], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), texts], names=[*keep, out])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
