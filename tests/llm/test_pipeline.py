@@ -99,6 +99,23 @@ def test_stages(spark, tables, tmp_path):
     assert final == {d: r.ids_sha256 for d, r in after.items()}
 
 
+def test_extra_columns(spark, tables, tmp_path):
+    """Columns whose names the stages use themselves come through unchanged."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
+    extra = ("score", "items", "matches", "component_id", "class_id", "gone", "n_lines", "mark", "row", "key", "order", "label", "quality")
+    wide = docs.withColumns({c: F.lit(f"own {c}") for c in extra})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, more = stage(spark, docs, tables[0]), stage(spark, wide, tables[0])
+        assert more.columns == wide.columns, name
+        plain.write.parquet(str(tmp_path / name))
+        more.write.parquet(str(tmp_path / f"{name}-wide"))
+        docs, wide = spark.read.parquet(str(tmp_path / name)), spark.read.parquet(str(tmp_path / f"{name}-wide"))
+        assert sorted(map(repr, wide.select(docs.columns).collect())) == sorted(map(repr, docs.collect()))
+        assert all(wide.where(F.col(c).isNull() | (F.col(c) != f"own {c}")).isEmpty() for c in extra)
+
+
 def test_empty_input(spark, tables, tmp_path):
     docs = spark.read.parquet(f"{tables[0]}/documents.parquet").where("false")
     for name, stage in corpus_pipeline.STAGES:
