@@ -51,6 +51,10 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows of an Arrow batch while intermediate tables are made: texts can be long, and each batch stands in the JVM and in Python.
+BATCH_ROWS = 2000
+
+
 class Scratch:
     """A folder of its own below the shared root, for the tables of one query run."""
 
@@ -62,7 +66,14 @@ class Scratch:
         """Write ``df`` and read it back: lineage ends here."""
         where = f"{self.path}/{name}"
         schema = df.schema
-        df.write.mode("overwrite").option("compression", "zstd").parquet(where)
+        key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", self.spark.conf
+        before = conf.get(key)
+        if not 0 < int(before) <= BATCH_ROWS:
+            conf.set(key, str(BATCH_ROWS))
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(where)
+        finally:
+            conf.set(key, before)
         return self.spark.read.schema(schema).parquet(where)
 
     def release(self) -> None:
