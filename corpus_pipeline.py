@@ -13,20 +13,33 @@ from lodestone.llm import bpe, decontaminate, jaccard, lines, quality
 from lodestone.runtime import Scratch, read_table
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; it learns from the labels of this input's documents."""
     model = quality.train(quality.labelled_sample(docs, read_table(spark, sf_dir, "labels")))
-    return quality.score(docs, model, out="__score").where("__score >= 0.3").drop("__score")
+    out = _free(docs, "score")
+    return quality.score(docs, model, out=out).where(F.col(out) >= 0.3).drop(out)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the line blocks that an earlier document has; those left empty by that go."""
-    out = lines.dedup_lines(docs, Scratch(spark, "stage-lines"), every_holder=True).where("n_removed = 0 or text <> ''")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`") for c in rest)).alias("row"))
+    out = lines.dedup_lines(packed, Scratch(spark, "stage-lines"), every_holder=True).where("n_removed = 0 or text <> ''")
+    made = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
+    return out.select(*(made[c] if c in made else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates; documents without an id stay."""
+    """The first document of each group of near duplicates; documents without an id stay.  Rows that repeat an
+    id are one document, which goes if any of its texts has an earlier near duplicate."""
     found = jaccard.near_duplicates(docs, Scratch(spark, "stage-jaccard"))
     later = found.where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(later, "doc_id", "left_anti").select(docs.columns)
@@ -34,8 +47,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.find_items(docs, read_table(spark, sf_dir, "benchmark"), out="__items")
-    return found.where(F.size("__items") == 0).drop("__items")
+    out = _free(docs, "items")
+    return decontaminate.find_items(docs, read_table(spark, sf_dir, "benchmark"), out=out).where(F.size(out) == 0).drop(out)
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
