@@ -58,43 +58,65 @@ def impact_totals(layers: DataFrame) -> DataFrame:
     return layers.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("depth") == 1).alias("direct")).withColumn("indirect", F.col("total") - F.col("direct"))
 
 
-def shortest_path(edges: DataFrame, start, end, max_depth: int = 64, scratch: Scratch | None = None) -> DataFrame:
-    """(step, node) rows of the least of the shortest paths; no row without a path.  A node's path to itself is itself."""
+def shortest_path(edges: DataFrame, start, end, max_depth: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """(step, node) rows of the least of the shortest paths; no row without a path.  A node's path to itself is itself.
+
+    The search ends with the frontier; ``max_depth`` ends it earlier.  What was visited is kept as one table.
+    """
     scratch = scratch or Scratch(edges.sparkSession, "path")
     kind = edges.schema["src"].dataType
     frontier = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"), F.array(F.lit(start).cast(kind)).alias("trail"))
     visited = frontier.select("node")
-    found = frontier.where(F.col("node") == end)
-    for depth in range(1, max_depth + 1):
-        if not found.isEmpty():
-            break
+    found, depth = frontier.where(F.col("node") == end), 0
+    while found.isEmpty() and (max_depth is None or depth < max_depth):
+        depth += 1
         step = edges.join(frontier, edges.src == frontier.node).select(F.col("dst").alias("node"), F.concat("trail", F.array("dst")).alias("trail"))
         frontier = scratch.table(step.groupBy("node").agg(F.min("trail").alias("trail")).join(visited, "node", "left_anti"), f"level-{depth}")
-        found = frontier.where(F.col("node") == end)
         if frontier.isEmpty():
             break
+        found = frontier.where(F.col("node") == end)
         visited = visited.union(frontier.select("node"))
+        if depth % 8 == 0:  # else the plan grows with the depth
+            visited = scratch.table(visited, f"visited-{depth}")
     return found.select(F.posexplode("trail").alias("step", "node")).orderBy("step")
 
 
-def cycles(edges: DataFrame, max_length: int = 8, scratch: Scratch | None = None) -> DataFrame:
-    """Every elementary cycle of 2 to ``max_length`` nodes, once, from its least node on.
+def cyclic_core(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Distinct edges without those that no cycle can hold: ends without a way in or a way on are peeled off."""
+    e, turn = scratch.table(edges.where("src <> dst").select("src", "dst").distinct(), "core-0"), 0
+    many = e.count()
+    while many:
+        turn += 1
+        left = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        e = scratch.table(left.select("src", "dst"), f"core-{turn}")
+        scratch.drop(f"core-{turn - 1}")
+        now = e.count()
+        if now == many:
+            break
+        many = now
+    return e
+
+
+def cycles(edges: DataFrame, max_length: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """Every elementary cycle, once, from its least node on; ``max_length`` leaves out those of more nodes.
 
-    Trails grow from their least node over larger ones, so each cycle has one trail.
+    Trails grow from their least node over larger ones, so each cycle has one trail.  A graph can have far more
+    cycles than edges: where many files import one another, give a ``max_length``.
     """
     scratch = scratch or Scratch(edges.sparkSession, "cycles")
-    e = edges.where("src <> dst").select("src", "dst").distinct()
+    e = cyclic_core(edges, scratch)
     trails = e.where("src < dst").select(F.col("src").alias("root"), F.col("dst").alias("last"), F.array("src", "dst").alias("trail"))
     closing = e.select(F.col("src").alias("last"), F.col("dst").alias("root"))
-    found = []
-    for length in range(2, max_length + 1):
+    found, length = [], 2
+    while max_length is None or length <= max_length:
         if length > 2:
             grown = trails.join(e.select(F.col("src").alias("last"), F.col("dst").alias("next")), "last").where("next > root and not array_contains(trail, next)")
             trails = scratch.table(grown.select("root", F.col("next").alias("last"), F.concat("trail", F.array("next")).alias("trail")), f"length-{length}")
             if trails.isEmpty():
                 break
-        found.append(trails.join(closing, ["root", "last"]).select(rotate_cycle(F.col("trail")).alias("cycle")))
-    out = found[0]
+        found.append(scratch.table(trails.join(closing, ["root", "last"]).select(rotate_cycle(F.col("trail")).alias("cycle")), f"found-{length}"))
+        length += 1
+    out = found[0] if found else closing.where("false").select(F.array("root", "last").alias("cycle"))
     for more in found[1:]:
         out = out.union(more)
     return out.distinct()

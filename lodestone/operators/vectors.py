@@ -104,7 +104,7 @@ def cosine_scores(vectors: DataFrame, query: list[float], column: str = "embeddi
     return vectors.where(F.size(column) == len(query)).withColumn("score", analyze.cosine(F.col(column), target))
 
 
-def best_per_key(scored: DataFrame, key: str, carry: str) -> DataFrame:
+def best_per_key(scored: DataFrame, key: str, carry: str, *more: str) -> DataFrame:
     """Each key's best score, and what goes with it (of equal scores the smaller ``carry``)."""
-    best = F.max_by(F.struct("score", carry), F.struct(F.col("score"), -F.col(carry)))
-    return scored.groupBy(key).agg(best.alias("best")).select(key, "best.score", f"best.{carry}")
+    best = F.max_by(F.struct("score", carry, *more), F.struct(F.col("score"), -F.col(carry)))
+    return scored.groupBy(key).agg(best.alias("best")).select(key, "best.score", *(f"best.{c}" for c in (carry, *more)))

@@ -5,8 +5,9 @@ Results are DataFrames; :mod:`lodestone.plans.render` turns them into text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Sequence
+from functools import partial, reduce
+from threading import Thread
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,18 +16,28 @@ from lodestone.functions import analyze
 from lodestone.operators import graph, incremental, search, vectors
 from lodestone.operators.imports import extract_imports
 from lodestone.operators.resolve import edges as resolve_edges
-from lodestone.plans.query import Clause, parse
+from lodestone.plans.query import Clause, Group, parse
+from lodestone.runtime import Scratch
 from lodestone.sources.files import scan
-from lodestone.sources.warehouse import Warehouse
+from lodestone.sources.warehouse import SupersededError, Warehouse
 
 OVERFETCH = 3
 GRAPH_OPERATIONS = ("deps", "dependents", "cycles", "path", "impact")
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, warehouse: str, root: str | None = None, provider: Callable[[], object] | None = None):
-        self.spark, self.root, self.provider = spark, root, provider
+    """``provider`` makes an embedding provider; without one, the first of ``model_folders`` that holds a model does."""
+
+    def __init__(self, spark: SparkSession, warehouse: str, root: str | None = None, provider: Callable[[], object] | None = None, model_folders: tuple[str, ...] = ()):
+        self.spark, self.root = spark, root
+        folder = None if provider else vectors.find_model(*model_folders)
+        self.provider = provider or (partial(vectors.OnnxEncoder, folder) if folder else None)
         self.warehouse = Warehouse(spark, warehouse)
+        #: The embedding job: its number, whether it runs, files to embed, files done, and what stopped it.
+        self.progress: dict = {"generation": 0, "active": False, "total": 0, "done": 0, "error": None}
+        self._job: Thread | None = None
+        #: The streaming query that maintains the index, if one does.
+        self.watcher = None
 
     # --- Maintenance -------------------------------------------------------------------------------
 
@@ -35,44 +46,100 @@ class Engine:
         if self.warehouse.state()["version"] == 0 and self.root:
             self.refresh()
 
-    def refresh(self, files: DataFrame | None = None) -> DataFrame:
-        """Bring all tables up to date with the files (of the root, if none are given): a row of counters."""
-        files = scan(self.spark, self.root) if files is None else files
-        changes = incremental.diff(self.warehouse.read("manifest"), incremental.manifest_of(files))
-        return self._apply(files, changes)
+    def refresh(self, files: DataFrame | None = None, background: bool = False) -> DataFrame:
+        """Bring all tables up to date with the files (of the root, if none are given): a row of counters.
+
+        The files are read once, into a table of their own, so one commit holds one state of the tree.  With
+        ``background`` the embeddings follow in a job of their own.
+        """
+        scratch = Scratch(self.spark, "refresh")
+        try:
+            files = scratch.table(scan(self.spark, self.root) if files is None else files, "files")
+            changes = incremental.diff(self.warehouse.read("manifest"), incremental.manifest_of(files))
+            return self._apply(files, changes, scratch, background)
+        finally:
+            scratch.drop()
 
-    def apply(self, changed: DataFrame, deleted: DataFrame) -> DataFrame:
+    def apply(self, changed: DataFrame, deleted: DataFrame, background: bool = False) -> DataFrame:
         """Upsert some files and delete some paths (relative_path): a row of counters."""
-        manifest = self.warehouse.read("manifest")
-        touched = changed.select("relative_path").union(deleted.select("relative_path")).distinct()
-        now = incremental.manifest_of(changed).join(deleted, "relative_path", "left_anti")
-        changes = incremental.diff(manifest.join(touched, "relative_path", "left_semi"), now)
-        rest = self.warehouse.read("files").join(touched, "relative_path", "left_anti")
-        files = rest.unionByName(changed.join(deleted, "relative_path", "left_anti").select(rest.columns))
-        return self._apply(files, changes)
-
-    def _apply(self, files: DataFrame, changes: DataFrame) -> DataFrame:
-        began = self.warehouse.state()["version"]
-        changes = changes.persist()
+        scratch = Scratch(self.spark, "apply")
         try:
-            counters = self.spark.createDataFrame(incremental.counters(changes).collect(), "total_files long, added long, updated long, deleted long, needs_embedding long")
-            if changes.where("change <> 'unchanged'").isEmpty() and self.warehouse.state()["version"]:
-                return counters
-            old = {n: self.warehouse.read(n) for n in ("postings", "field_stats", "vectors")}
-            fresh = incremental.changed_files(files, changes)
-            docs = search.search_documents(fresh)
-            tables = {
-                "files": files, "manifest": incremental.manifest_of(files),
-                "postings": incremental.replace_rows(old["postings"], search.postings(docs), changes),
-                "field_stats": incremental.replace_rows(old["field_stats"], search.field_stats(docs), changes),
-                "edges": resolve_edges(files, extract_imports(files)),
-            }
-            if self.provider:
-                tables["vectors"] = incremental.replace_rows(old["vectors"], vectors.embed_files(fresh, self.provider), changes)
-            self.warehouse.commit(began, **tables)
+            deleted = scratch.table(deleted.select("relative_path").distinct(), "deleted")
+            changed = scratch.table(changed.join(deleted, "relative_path", "left_anti"), "changed")
+            touched = changed.select("relative_path").union(deleted)
+            before = self.warehouse.read("manifest").join(touched, "relative_path", "left_semi")
+            return self._apply(changed, incremental.diff(before, incremental.manifest_of(changed)), scratch, background)
+        finally:
+            scratch.drop()
+
+    def _apply(self, files: DataFrame, changes: DataFrame, scratch: Scratch, background: bool) -> DataFrame:
+        """Commit ``changes``; ``files`` has all that were added or updated.  Only those are read, parsed and written."""
+        state = self.warehouse.state()
+        changes = scratch.table(changes, "changes")
+        counters = self.spark.createDataFrame(incremental.counters(changes).collect(), "total_files long, added long, updated long, deleted long, needs_embedding long")
+        if state["version"] and changes.where("change <> 'unchanged'").isEmpty():
             return counters
+        fresh = scratch.table(incremental.changed_files(files, changes), "fresh")
+        stale = changes.where("change in ('updated', 'deleted')").select("relative_path")
+        docs, manifest = search.search_documents(fresh), incremental.manifest_of(fresh)
+        parsed = scratch.table(extract_imports(fresh), "imports")
+        known = lambda name, rows: incremental.replace_rows(self.warehouse.read(name, state), rows, changes)
+        rows = {
+            "files": fresh, "manifest": manifest, "postings": search.postings(docs), "field_stats": search.field_stats(docs), "imports": parsed,
+        }
+        # an import is resolved against all files of now: it may point at one that came or went
+        edges = resolve_edges(known("manifest", manifest), known("imports", parsed))
+        self.warehouse.commit(state["version"], rows, stale, edges=edges)
+        if self.provider:
+            self.embed(background)
+        return counters
+
+    def embed(self, background: bool = False, slices: int = 4) -> None:
+        """Embed the files that have no vectors, some at a time, each part a commit.  A later call supersedes this one."""
+        self.progress = {"generation": self.progress["generation"] + 1, "active": True, "total": 0, "done": 0, "error": None}
+        if not background:
+            self._embed(self.progress, 1)
+            return
+        progress = self.progress
+
+        def run() -> None:
+            try:
+                self._embed(progress, slices)
+            except Exception as e:  # told by the status, as nobody waits for the job
+                progress["error"] = f"{type(e).__name__}: {e}"[:500]
+
+        self._job = Thread(target=run, daemon=True)
+        self._job.start()
+
+    def wait(self) -> None:
+        """Until the background job has ended."""
+        if self._job:
+            self._job.join()
+
+    def _embed(self, progress: dict, slices: int) -> None:
+        scratch = Scratch(self.spark, "embed")
+        try:
+            read = self.warehouse.read
+            missing = scratch.table(read("files").join(read("vectors").select("relative_path").distinct(), "relative_path", "left_anti"), "missing")
+            progress["total"] = missing.count()
+            for k in range(slices):
+                part = missing.where(F.pmod(F.xxhash64("relative_path"), F.lit(slices)) == k)
+                made = scratch.table(vectors.embed_files(part, self.provider).join(part.select("relative_path", "content_hash"), "relative_path"), f"vectors-{k}")
+                while progress is self.progress:
+                    state = self.warehouse.state()
+                    # vectors of a file that has changed since are of no use
+                    current = made.join(read("manifest", state), ["relative_path", "content_hash"], "left_semi").join(read("vectors", state).select("relative_path").distinct(), "relative_path", "left_anti")
+                    try:
+                        self.warehouse.commit(state["version"], {"vectors": current})
+                        break
+                    except SupersededError:
+                        continue
+                else:
+                    return
+                progress["done"] += part.count()
         finally:
-            changes.unpersist()
+            progress["active"] = False
+            scratch.drop()
 
     # --- Search ------------------------------------------------------------------------------------
 
@@ -85,49 +152,60 @@ class Engine:
         post, stats = self.warehouse.read("postings"), self.warehouse.read("field_stats")
         fields = (clause.field,) if clause.field else search.FIELDS
         tokens = search.query_tokens(self.spark, clause.text, fields)
-        scores = search.index_scores(post, stats, tokens, {f: boosts[f] for f in fields})
+        scores = search.index_scores(post, stats, tokens, {f: boosts[f] * clause.boost for f in fields})
         if not clause.phrase:
             return scores
         held = [search.phrase_matches(post, f, t).select("relative_path") for f, t in tokens.items() if t]
         return scores.join(reduce(DataFrame.union, held).distinct(), "relative_path", "left_semi") if held else scores.where("false")
 
+    def _hits(self, clauses: Sequence[Clause | Group], boosts: dict[str, float]) -> DataFrame:
+        """relative_path, score: the sum over clauses, with what each requires or excludes."""
+        of = lambda c: self._clause_hits(c, boosts) if isinstance(c, Clause) else self._hits(c.clauses, {f: b * c.boost for f, b in boosts.items()})
+        hits = [(c.occur, of(c)) for c in clauses]
+        wanted = [h for occur, h in hits if occur != "not"]
+        if not wanted:
+            return self.spark.createDataFrame([], "relative_path string, score double")
+        scored = reduce(DataFrame.unionByName, wanted).groupBy("relative_path").agg(F.sum("score").alias("score"))
+        for occur, h in hits:
+            if occur != "should":
+                scored = scored.join(h.select("relative_path"), "relative_path", "left_semi" if occur == "must" else "left_anti")
+        return scored
+
     def bm25(self, query: str, scope: str | None = "code", limit: int = 10) -> DataFrame:
-        """path, score, kind of the best ``limit`` documents, before names count."""
+        """path, score, kind of the best ``limit`` documents, before names count.  QueryError if it is no query."""
         boosts = dict(zip(search.FIELDS, analyze.BOOSTS[analyze.intent_of(query)], strict=True))
-        clauses = parse(query)
-        wanted = [c for c in clauses if c.occur != "not"]
-        empty = self.spark.createDataFrame([], "relative_path string, score double")
-        if not wanted:
-            return empty.withColumn("kind", F.lit(""))
-        hits = {k: self._clause_hits(c, boosts) for k, c in enumerate(clauses)}
-        scored = reduce(DataFrame.unionByName, [hits[k] for k, c in enumerate(clauses) if c.occur != "not"]).groupBy("relative_path").agg(F.sum("score").alias("score"))
-        for k, c in enumerate(clauses):
-            if c.occur != "should":
-                scored = scored.join(hits[k].select("relative_path"), "relative_path", "left_semi" if c.occur == "must" else "left_anti")
+        scored = self._hits(parse(query), boosts)
         kinds = self._docs().select("relative_path", "kind")
         return search.top(search.scope_filter(scored.join(kinds, "relative_path"), scope), limit)
 
     def search(self, query: str, scope: str | None = "code", limit: int = 10) -> DataFrame:
-        """path, score, snippet.  Hybrid if a provider is set and vectors are stored, else BM25 alone."""
+        """path, score, snippet.  Hybrid if a provider is set and vectors are stored, else BM25 alone.
+
+        A hit of its words shows the lines around them; one of its vectors alone shows the nearest chunk.
+        """
         self.ensure()
         docs = self._docs()
         words = search.rerank_by_name(self.bm25(query, scope, OVERFETCH * limit), query).select("relative_path", "score")
-        ranked = search.top(words, limit)
-        if self.provider:
+        ranked = search.top(words, limit).withColumn("chunk", F.lit(None).cast("string"))
+        stored = self.warehouse.read("vectors")
+        if self.provider and not stored.isEmpty():
             query_vector = [float(x) for x in self.provider().embed([query])[0]]
-            kinds = docs.select("relative_path", "kind")
-            chunks = search.scope_filter(self.warehouse.read("vectors").join(kinds, "relative_path"), scope)
+            chunks = search.scope_filter(stored.join(docs.select("relative_path", "kind"), "relative_path"), scope)
             near = vectors.cosine_scores(chunks, query_vector).orderBy(F.desc("score"), "relative_path", "chunk_idx").limit(OVERFETCH * limit)
-            best = vectors.best_per_key(near, "relative_path", "chunk_idx").select("relative_path", "score")
-            if not self.warehouse.read("vectors").isEmpty():
-                ranked = search.fuse(words, best, limit)
+            best = vectors.best_per_key(near, "relative_path", "chunk_idx", "text")
+            alone = best.join(words.select("relative_path"), "relative_path", "left_anti").select("relative_path", F.col("text").alias("chunk"))
+            ranked = search.fuse(words, best.select("relative_path", "score"), limit).join(alone, "relative_path", "left")
         found = docs.join(F.broadcast(ranked), "relative_path")  # at most ``limit`` rows
-        return found.select(F.col("relative_path").alias("path"), "score", analyze.snippet(F.col("content"), query).alias("snippet")).orderBy(F.desc("score"), "path")
+        shown = F.coalesce("chunk", analyze.snippet(F.col("content"), query)).alias("snippet")
+        return found.select(F.col("relative_path").alias("path"), "score", shown).orderBy(F.desc("score"), "path")
 
     # --- Graph -------------------------------------------------------------------------------------
 
-    def graph(self, operation: str, file: str | None = None, target: str | None = None) -> DataFrame:
-        """deps, dependents, cycles, path or impact.  Unknown files and missing arguments raise ValueError."""
+    def graph(self, operation: str, file: str | None = None, target: str | None = None, max_length: int | None = None) -> DataFrame:
+        """deps, dependents, cycles, path or impact.  Unknown files and missing arguments raise ValueError.
+
+        Cycles of any length are listed; ``max_length`` leaves out longer ones.
+        """
         if operation not in GRAPH_OPERATIONS:
             raise ValueError(f"unknown operation {operation!r}: use one of {', '.join(GRAPH_OPERATIONS)}")
         self.ensure()
@@ -143,26 +221,29 @@ class Engine:
         if operation == "dependents":
             return graph.dependents(edges, file)
         if operation == "cycles":
-            return graph.cycles(edges)
+            return graph.cycles(edges, max_length)
         return graph.shortest_path(edges, file, target) if operation == "path" else graph.impact(edges, file)
 
     # --- Status ------------------------------------------------------------------------------------
 
-    def status(self, pending: int = 0) -> DataFrame:
-        """One row: readiness, documents, segments, vectors, graph files and edges, model, root, pending events."""
-        read = self.warehouse.read
+    def status(self) -> DataFrame:
+        """One row: counts, parts, model, embedding job, watcher, root, open bursts of events and readiness."""
+        from lodestone.streaming.watch import open_bursts
+
+        read, job = self.warehouse.read, self.progress
+        task = f"{job['done']} of {job['total']} files embedded" if job["active"] else f"stopped: {job['error']}" if job["error"] else "idle"
+        watcher = "none" if self.watcher is None else "running" if self.watcher.isActive else "stopped"
+        pending = open_bursts(self.watcher) if self.watcher is not None else 0
         return status_row(read("manifest"), read("vectors"), read("edges")).select(
             "*", F.lit(self.warehouse.segments("postings")).alias("segments"), F.lit("loaded" if self.provider else "not installed").alias("model"),
-            F.lit(self.root).alias("root"), F.lit(pending).alias("pending"),
-            readiness(F.col("documents"), F.lit(bool(self.provider))).alias("readiness"),
+            F.lit(task).alias("task"), F.lit(watcher).alias("watcher"), F.lit(self.root).alias("root"), F.lit(pending).alias("pending"),
+            readiness(F.col("documents"), F.lit(bool(self.provider)), F.lit(job["active"])).alias("readiness"),
         )
 
 
-def readiness(documents, has_model):
-    return (
-        F.when(documents == 0, "NOT READY: the index is empty, refresh it")
-        .when(has_model, "READY: hybrid search available").otherwise("READY: BM25 only")
-    )
+def readiness(documents, has_model, embedding):
+    """empty, embedding (words are searched meanwhile), hybrid or words."""
+    return F.when(documents == 0, "empty").when(embedding, "embedding").when(has_model, "hybrid").otherwise("words")
 
 
 def status_row(manifest: DataFrame, vecs: DataFrame, edges: DataFrame) -> DataFrame:

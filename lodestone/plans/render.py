@@ -6,44 +6,39 @@ from pyspark.sql import DataFrame
 
 
 def render_search(hits: DataFrame, hybrid: bool = False, pending: int = 0) -> str:
+    """A numbered list: score, path, and the excerpt set in by four spaces."""
     rows = hits.collect()  # at most the search limit
+    ranking = "words and vectors" if hybrid else "words"
     if not rows:
-        return "No results. Try broader terms or other words."
-    out = [f"_Search mode: {'hybrid (BM25 + vector)' if hybrid else 'BM25 only'}_", ""]
-    for k, r in enumerate(rows, 1):
-        out += [f"### {k} (score: {r.score:.4f})", f"`{r.path}`", "```", r.snippet, "```", ""]
-    if len(rows) > 1:
-        out.append(f"_Score range: {rows[0].score:.4f} (best) to {rows[-1].score:.4f} (#{len(rows)})_")
+        return f"nothing found (ranked by {ranking})"
+    out = [f"{len(rows)} found, ranked by {ranking}, scores from {rows[0].score:.4f} down to {rows[-1].score:.4f}"]
     if pending:
-        out.append("_Indexing recent changes..._")
+        out[0] += f"; {pending} changes are not in yet"
+    for k, r in enumerate(rows, 1):
+        out.append(f"{k:>3}. {r.score:.4f} {r.path}")
+        out += [f"    {line}" for line in r.snippet.split("\n")]
     return "\n".join(out)
 
 
+def _listed(head: str, items: list[str]) -> str:
+    return "\n".join([f"{head}: {len(items)}", *(f"  {x}" for x in items)])
+
+
 def render_graph(operation: str, result: DataFrame, file: str | None = None) -> str:
+    """A count under a heading, then a line for each row."""
     if operation == "deps":
-        rows = [r.dst for r in result.toLocalIterator()]
-        return f"`{file}` imports nothing from this project." if not rows else "\n".join([f"Dependencies of `{file}`:", *(f"  → `{x}`" for x in rows)])
+        return _listed(f"files that {file} imports", [r.dst for r in result.toLocalIterator()])
     if operation == "dependents":
-        rows = [r.src for r in result.toLocalIterator()]
-        return f"Nothing imports `{file}`." if not rows else "\n".join([f"Dependents of `{file}`:", *(f"  ← `{x}`" for x in rows)])
+        return _listed(f"files that import {file}", [r.src for r in result.toLocalIterator()])
     if operation == "cycles":
-        rows = [r.cycle for r in result.orderBy("cycle").toLocalIterator()]
-        return "No circular dependencies." if not rows else "\n".join(f"Cycle {k}: " + " → ".join(f"`{x}`" for x in [*c, c[0]]) for k, c in enumerate(rows, 1))
+        return _listed("import cycles", [" > ".join([*r.cycle, r.cycle[0]]) for r in result.orderBy("cycle").toLocalIterator()])
     if operation == "path":
-        rows = [r.node for r in result.toLocalIterator()]
-        return "No dependency path." if not rows else f"Dependency path ({len(rows) - 1} hops): " + " → ".join(f"`{x}`" for x in rows)
+        return _listed("files on the shortest way", [r.node for r in result.toLocalIterator()])
     rows = [(r.depth, r.path) for r in result.orderBy("depth", "path").toLocalIterator()]
-    if not rows:
-        return f"Nothing is affected by changes to `{file}`."
-    out, last = [f"Impact of `{file}`:"], 0
-    for depth, path in rows:
-        if depth != last:
-            out.append(f"Depth {depth} ({'direct' if depth == 1 else 'indirect'}):")
-            last = depth
-        out.append(f"  ← `{path}`")
-    direct = sum(d == 1 for d, _ in rows)
-    return "\n".join([*out, f"Total: {len(rows)} ({direct} direct, {len(rows) - direct} indirect)"])
+    return _listed(f"files that a change of {file} can reach, with their distance", [f"{depth} {path}" for depth, path in rows])
 
 
 def render_status(row: DataFrame) -> str:
-    return "\n".join(f"- {k}: {v}" for k, v in row.first().asDict().items())
+    values = row.first().asDict()
+    width = max(map(len, values))
+    return "\n".join(f"{k.ljust(width)}  {v}" for k, v in values.items())

@@ -496,10 +496,10 @@ def chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("relative_path", "chunk_idx", "c.off", "c.len", analyze.estimated_tokens(F.col("c.text")).alias("tokens"))
 
 
-@query(f"with {_edges_sql()} select (select count(*) from documents) as documents, (select count(*) from embeddings) as vectors, (select count(*) from edges) as edges, case when (select count(*) from documents) = 0 then 'NOT READY: the index is empty, refresh it' else 'READY: hybrid search available' end as readiness")
+@query(f"with {_edges_sql()} select (select count(*) from documents) as documents, (select count(*) from embeddings) as vectors, (select count(*) from edges) as edges, case when (select count(*) from documents) = 0 then 'empty' else 'hybrid' end as readiness")
 def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = status_row(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "embeddings"), part_edges(spark, sf_dir))
-    return row.withColumn("readiness", readiness(F.col("documents"), F.lit(True)))
+    return row.withColumn("readiness", readiness(F.col("documents"), F.lit(True), F.lit(False)))
 
 
 PATHS = [("src/./a//b/../c.rs",), ("../../x",), ("a/b/../../..",), ("",), ("node_modules/r/i.js",), ("src/.git/c",), ("lib/Utils.TS",), (".hidden",), ("x/target/y.rs",)]

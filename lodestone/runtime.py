@@ -68,12 +68,14 @@ class Scratch:
         schema = df.schema
         key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", self.spark.conf
         before = conf.get(key)
-        if not 0 < int(before) <= BATCH_ROWS:
+        lower = not 0 < int(before) <= BATCH_ROWS
+        if lower:
             conf.set(key, str(BATCH_ROWS))
         try:
             df.write.mode("overwrite").option("compression", "zstd").parquet(where)
         finally:
-            conf.set(key, before)
+            if lower:
+                conf.set(key, before)
         return self.spark.read.schema(schema).parquet(where)
 
     def release(self) -> None:

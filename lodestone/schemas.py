@@ -13,7 +13,7 @@ FILES = _struct(("relative_path", S), ("content", S), ("extension", S), ("is_cod
 POSTINGS = _struct(("field", S), ("token", S), ("relative_path", S), ("tf", I), ("positions", T.ArrayType(I)))
 FIELD_STATS = _struct(("field", S), ("relative_path", S), ("len", I))
 VECTORS = _struct(("relative_path", S), ("chunk_idx", I), ("off", L), ("len", L), ("text", S), ("embedding", T.ArrayType(T.FloatType())))
+IMPORTS = _struct(("relative_path", S), ("extension", S), ("specifier", S), ("kind", S), ("pos", I))
 EDGES = _struct(("src", S), ("dst", S))
 MANIFEST = _struct(("relative_path", S), ("content_hash", S))
 FS_EVENTS = _struct(("ts", T.TimestampType()), ("root", S), ("path", S), ("kind", S))
-SEARCH_RESULT = _struct(("path", S), ("score", T.DoubleType()), ("snippet", S))

@@ -5,7 +5,7 @@ share.  Skipped: hidden entries, folders that hold builds or dependencies, what
 files over 1 MiB, unknown extensions, and contents that are no UTF-8.  Spark's own file index is not used,
 as it silently drops names that begin with an underscore.
 
-The driver lists folders only; each task reads the files of some folders.
+The driver lists the tree's names, one folder at a time; each task reads the files of some folders.
 """
 
 from __future__ import annotations
@@ -107,19 +107,60 @@ def _rules_of(folder: str, base: str, rules: IgnoreRules) -> IgnoreRules:
     return rules
 
 
-def folders(root: str) -> Iterator[tuple[str, list[str]]]:
-    """Each folder below a root with its indexable file names; what cannot be listed is skipped."""
-    start = IgnoreRules()
+def _global_rules() -> IgnoreRules:
+    """Rules of the user's global ignore file: the one git's configuration names, or the default one."""
+    home = os.path.expanduser("~")
+    base = os.environ.get("XDG_CONFIG_HOME") or os.path.join(home, ".config")
+    where = os.path.join(base, "git", "ignore")
+    for config in (os.path.join(base, "git", "config"), os.path.join(home, ".gitconfig")):
+        try:
+            with open(config, encoding="utf-8", errors="replace") as f:
+                found = re.findall(r"(?im)^\s*excludesfile\s*=\s*\"?([^\"\n]+?)\"?\s*$", f.read())
+        except OSError:
+            continue
+        if found:
+            where = os.path.expanduser(found[-1])
     try:
-        with open(os.path.join(root, ".git", "info", "exclude"), encoding="utf-8") as f:
-            start = start.extended("", f.read())
+        with open(where, encoding="utf-8", errors="replace") as f:
+            return IgnoreRules().extended("", f.read())
+    except OSError:
+        return IgnoreRules()
+
+
+def _rules_above(root: str, rules: IgnoreRules) -> tuple[str, IgnoreRules]:
+    """The repository that a root lies in (or the root), with the rules of all folders above the root."""
+    top = here = os.path.abspath(root)
+    while not os.path.exists(os.path.join(here, ".git")):
+        above = os.path.dirname(here)
+        if above == here:
+            return top, rules
+        here = above
+    top, at = here, here
+    try:
+        with open(os.path.join(top, ".git", "info", "exclude"), encoding="utf-8", errors="replace") as f:
+            rules = rules.extended("", f.read())
     except OSError:
         pass
+    for part in [x for x in os.path.relpath(os.path.abspath(root), top).split(os.sep) if x != "."]:
+        rules = _rules_of(at, os.path.relpath(at, top).replace(os.sep, "/").removeprefix("."), rules)
+        at = os.path.join(at, part)
+    return top, rules
+
+
+def folders(root: str) -> Iterator[tuple[str, list[str]]]:
+    """Each folder below a root with its indexable file names; what cannot be listed is skipped.
+
+    Ignored is what the user's global ignore file, the repository's exclude file, and the ignore files of the
+    folders from the repository's top down say; the deepest rule that matches decides.
+    """
+    top, start = _rules_above(root, _global_rules())
+    lead = os.path.relpath(os.path.abspath(root), top).replace(os.sep, "/")
+    lead = "" if lead == "." else f"{lead}/"  # rules name paths from the top of the repository
     work = [("", start)]
     while work:
         base, rules = work.pop()
         here = os.path.join(root, base) if base else root
-        rules = _rules_of(here, base, rules)
+        rules = _rules_of(here, f"{lead}{base}".rstrip("/"), rules)
         names = []
         try:
             entries = sorted(os.scandir(here), key=lambda e: e.name)
@@ -131,9 +172,9 @@ def folders(root: str) -> Iterator[tuple[str, list[str]]]:
             path = f"{base}/{e.name}" if base else e.name
             try:
                 if e.is_dir(follow_symlinks=False):
-                    if not rules.ignored(path, True):
+                    if not rules.ignored(lead + path, True):
                         work.append((path, rules))
-                elif e.is_file(follow_symlinks=False) and _extension(e.name) in CODE_EXTENSIONS and not rules.ignored(path, False):
+                elif e.is_file(follow_symlinks=False) and _extension(e.name) in CODE_EXTENSIONS and not rules.ignored(lead + path, False):
                     names.append(e.name)
             except OSError:
                 continue

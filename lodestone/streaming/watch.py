@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.plans.engine import Engine
+from lodestone.runtime import Scratch
 from lodestone.sources.files import read_file, should_skip
 from lodestone.schemas import FILES
 
@@ -52,12 +53,14 @@ def apply_batch(engine: Engine, root: str) -> Callable[[DataFrame, int], None]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[*FILES.fieldNames(), "there"])
 
         schema = T.StructType([*FILES.fields, T.StructField("there", T.BooleanType())])
-        found = paths.mapInArrow(read, schema).persist()
+        # a table of its own: files change, and must not be read again where an executor is lost
+        scratch = Scratch(engine.spark, "events")
         try:
+            found = scratch.table(paths.mapInArrow(read, schema), "found")
             if not found.isEmpty():
                 engine.apply(found.where("there").drop("there"), found.where("not there").select("relative_path"))
         finally:
-            found.unpersist()
+            scratch.drop()
 
     return apply
 
@@ -65,10 +68,11 @@ def apply_batch(engine: Engine, root: str) -> Callable[[DataFrame, int], None]:
 def start(events: DataFrame, engine: Engine, root: str, checkpoint: str, gap: str = GAP, delay: str = "0 seconds", **trigger):
     """Run maintenance; the query's progress tells how far it is."""
     writer = quiet_batches(events, gap, delay).writeStream.outputMode("append").foreachBatch(apply_batch(engine, root)).option("checkpointLocation", checkpoint)
-    return (writer.trigger(**trigger) if trigger else writer).start()
+    engine.watcher = (writer.trigger(**trigger) if trigger else writer).start()
+    return engine.watcher
 
 
-def pending_events(query) -> int:
-    """Events read in the last step and not yet applied; 0 before any."""
+def open_bursts(query) -> int:
+    """Bursts with events that were read and are not applied yet; 0 before any progress."""
     progress = query.lastProgress
-    return int(progress["stateOperators"][0]["numRowsTotal"]) if progress and progress.get("stateOperators") else 0
+    return sum(int(x["numRowsTotal"]) for x in progress.get("stateOperators") or []) if progress else 0

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from lodestone.operators import graph, imports, incremental, resolve, search, vectors
 from lodestone.plans import render
 from lodestone.plans.engine import Engine
-from lodestone.plans.query import Clause, parse
+from lodestone.plans.query import Clause, Group, QueryError, parse
 from lodestone.schemas import FS_EVENTS
-from lodestone.sources.files import IgnoreRules, read_file, scan
+from lodestone.sources.files import IgnoreRules, folders, read_file, scan
+from lodestone.sources import warehouse
 from lodestone.sources.warehouse import SupersededError
 from lodestone.streaming import watch
 
@@ -91,11 +92,19 @@ def test_fusion_is_symmetric_and_bounded(spark):
 
 
 def test_query_language():
-    assert parse('+a -b "c d" basename:e std::io x AND y NOT z OR') == [
+    assert parse('+a -b "c d" basename:e std::io x AND y NOT z') == [
         Clause("a", occur="must"), Clause("b", occur="not"), Clause("c d", True), Clause("e", field="basename"), Clause("std::io"),
         Clause("x", occur="must"), Clause("y", occur="must"), Clause("z", occur="not"),
     ]
-    assert parse("") == [] and parse('"open') == [Clause("open", True)]
+    assert parse("") == [] and parse('""') == []
+    assert parse('(a OR b)^2 AND basename:(c "d e"^3) std::io^0.5') == [
+        Group((Clause("a"), Clause("b")), "must", 2.0),
+        Group((Clause("c", field="basename"), Clause("d e", True, "basename", boost=3.0)), "must"), Clause("std::io", boost=0.5),
+    ]
+    assert parse("a AND NOT b") == [Clause("a", occur="must"), Clause("b", occur="not")]
+    for bad in ('"open', "(a", "a)", "()", "a AND", "OR a", "NOT", "+", "a ^2", "x OR OR y", "nofield:(a)", "basename:"):
+        with pytest.raises(QueryError):
+            parse(bad)
 
 
 def test_pooling():
@@ -122,8 +131,8 @@ def test_engine(spark, tmp_path):
         engine.graph("explode")
     assert "web/b.ts" in render.render_graph("cycles", engine.graph("cycles"))
     status = engine.status().first()
-    assert status.documents == 9 and status.edges == 7 and status.readiness.startswith("READY")
-    assert "Search mode" in render.render_search(engine.search("alpha", "code", 3)) and "documents" in render.render_status(engine.status())
+    assert (status.documents, status.edges, status.readiness, status.model, status.task, status.watcher) == (9, 7, "hybrid", "loaded", "idle", "none")
+    assert "web/a.ts" in render.render_search(engine.search("alpha", "code", 3)) and "documents" in render.render_status(engine.status())
     with pytest.raises(SupersededError):
         engine.warehouse.commit(0, edges=engine.warehouse.read("edges"))
     engine.apply(frame(spark, {"web/c.ts": "import './a'"}), spark.createDataFrame([("pkg/m.py",)], "relative_path string"))
@@ -131,6 +140,117 @@ def test_engine(spark, tmp_path):
     assert [r.src for r in engine.graph("dependents", "web/a.ts").collect()] == ["web/b.ts", "web/c.ts"]
 
 
+def test_commits_write_what_changed(spark, tmp_path, monkeypatch):
+    """Unchanged files are neither parsed nor written again; stale rows and vectors go, with or without a model."""
+    engine = Engine(spark, str(tmp_path / "wh"), None, vectors.HashedWords)
+    engine.refresh(frame(spark, PROJECT))
+    assert engine.warehouse.read("vectors").select("relative_path").distinct().count() == 8  # an empty file has no chunk
+    plain = Engine(spark, str(tmp_path / "wh"))
+    changed = {**PROJECT, "web/b.ts": "import './c';", "web/c.ts": "x"}
+    del changed["pkg/util.py"]
+    plain.refresh(frame(spark, changed))
+    state, read = plain.warehouse.state(), plain.warehouse.read
+    for name in ("files", "postings", "imports", "manifest"):
+        last = spark.read.parquet(f"{plain.warehouse.folder}/{state['tables'][name][-1][1]}").select("relative_path").distinct()
+        assert {r[0] for r in last.collect()} <= {"web/b.ts", "web/c.ts"}, name
+    assert {r[0] for r in read("files").select("relative_path").collect()} == set(changed)
+    assert {r[0] for r in read("vectors").select("relative_path").collect()} == set(PROJECT) - {"pkg/util.py", "web/b.ts", "pkg/__init__.py"}
+    full = Engine(spark, str(tmp_path / "other"))
+    full.refresh(frame(spark, changed))
+    for name in ("files", "postings", "field_stats", "imports", "edges", "manifest"):
+        rows = [sorted(map(repr, e.warehouse.read(name).collect())) for e in (plain, full)]
+        assert rows[0] == rows[1], name
+    hits = [[tuple(r) for r in e.search("store load", None, 9).collect()] for e in (plain, full)]
+    assert hits[0] == hits[1]
+    monkeypatch.setattr(warehouse, "MAX_SEGMENTS", 3)
+    for k in range(3):  # many small commits end in one segment again
+        plain.apply(frame(spark, {"web/c.ts": f"x{k}"}), spark.createDataFrame([], "relative_path string"))
+    assert len(plain.warehouse.state()["tables"]["files"]) <= 3 and read("files").count() == len(changed)
+    assert read("files").where("relative_path = 'web/c.ts'").first().content == "x2"
+    before = read("postings").count()
+    assert plain.warehouse.vacuum(1) > 0 and read("postings").count() == before
+
+
+def test_versions_are_immutable(spark, tmp_path):
+    """Of two writers one is superseded; a version that was cut off is passed over."""
+    first, second = (Engine(spark, str(tmp_path / "wh")).warehouse for _ in range(2))
+    edges = spark.createDataFrame([("a", "b")], "src string, dst string")
+    assert first.commit(0, edges=edges) == 1
+    with pytest.raises(SupersededError):
+        second.commit(0, edges=edges)
+    (tmp_path / "wh/versions/2.json").write_text('{"version": 2, "tab')
+    assert second.state()["version"] == 1 and second.read("edges").count() == 1
+    assert second.commit(1, edges=edges.union(edges)) == 3 and first.read("edges").count() == 2
+    state = first.state()
+    second.commit(3, edges=edges)
+    with pytest.raises(SupersededError):  # written before, published after another
+        first._publish(3, {"tables": state["tables"], "stale": []})
+    assert first.read("edges").count() == 1
+
+
+def test_background_embedding(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "wh"), None, vectors.HashedWords)
+    engine.refresh(frame(spark, PROJECT), background=True)
+    assert engine.progress["active"] or engine.progress["done"]
+    engine.wait()
+    assert engine.progress["error"] is None and engine.progress["done"] == engine.progress["total"] == 9
+    once = engine.warehouse.read("vectors").count()
+    engine.embed()
+    assert engine.warehouse.read("vectors").count() == once and engine.progress["total"] == 1  # the empty file, which has no chunk
+    hits = {r.path: r.snippet for r in engine.search("records keeps", "docs", 3).collect()}
+    assert hits == {"docs/guide.md": PROJECT["docs/guide.md"]}
+    old = dict(engine.progress)
+    engine.progress = {**old, "generation": old["generation"] + 1}
+    engine._embed(old, 1)  # superseded: nothing is committed
+    assert engine.warehouse.read("vectors").count() == once
+
+
+def test_hybrid_shows_the_nearest_chunk(spark, tmp_path):
+    """A hit of its vectors alone shows its best chunk, not its first lines."""
+    long = "\n\n".join(["filler " * 700, "needle in the middle " * 3 + "pad " * 600, "other " * 700])
+    engine = Engine(spark, str(tmp_path / "wh"), None, vectors.HashedWords)
+    engine.refresh(frame(spark, {"docs/long.md": long, "docs/b.md": "nothing here"}))
+    hits = {r.path: r.snippet for r in engine.search("-zzz needles", "docs", 5).collect()}
+    assert hits == {} or all("needle" not in v or k == "docs/long.md" for k, v in hits.items())
+    near = engine.search("pad", "docs", 5).first()
+    assert near.path == "docs/long.md" and "pad" in near.snippet
+    alone = {r.path: r.snippet for r in engine.search("middle basename:zzz", "docs", 5).collect()}
+    assert "docs/b.md" in alone and alone["docs/b.md"] == "nothing here"
+
+
+def test_model_folder(spark, tmp_path):
+    assert vectors.find_model("", str(tmp_path)) is None
+    folder = tmp_path / "model"
+    folder.mkdir()
+    (folder / "tokenizer.json").write_text("{}")
+    assert Engine(spark, str(tmp_path / "wh"), model_folders=(str(folder),)).provider is None
+    (folder / "model_quantized.onnx").write_bytes(b"")
+    engine = Engine(spark, str(tmp_path / "wh"), model_folders=(str(tmp_path), str(folder)))
+    assert engine.provider.func is vectors.OnnxEncoder and engine.provider.args == (str(folder),)
+
+
+def test_long_paths_and_rings(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(66)], "src int, dst int").coalesce(1)
+    assert [r.node for r in graph.shortest_path(chain, 0, 66).collect()] == list(range(67))
+    assert graph.shortest_path(chain, 0, 66, max_depth=5).count() == 0
+    ring = spark.createDataFrame([(k, (k + 1) % 11) for k in range(11)] + [(20, 0), (5, 30), (30, 31)], "src int, dst int")
+    assert [r.cycle for r in graph.cycles(ring).collect()] == [list(range(11))]
+    assert graph.cycles(ring, 8).count() == 0 and graph.cycles(chain.where('src < 4')).count() == 0
+
+
+def test_ignore_files_of_the_user_and_of_folders_above(tmp_path, monkeypatch):
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "config"))
+    monkeypatch.setenv("HOME", str(tmp_path))
+    for name, text in {"config/git/ignore": "*.tmp.py\n", "repo/.gitignore": "gone.py\n/proj/no/\n", "repo/.git/info/exclude": "local.py\n",
+                       "repo/proj/.gitignore": "!back.py\n", "repo/proj/.ignore": "", "repo/proj/a.py": "", "repo/proj/x.tmp.py": "", "repo/proj/gone.py": "",
+                       "repo/proj/no/b.py": "", "repo/proj/sub/no/c.py": "", "repo/proj/local.py": "", "repo/proj/back.py": ""}.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    found = {f"{base}/{x}" if base else x for base, names in folders(str(tmp_path / "repo/proj")) for x in names}
+    assert found == {"a.py", "back.py", "sub/no/c.py"}
+
+
 @pytest.fixture
 def tree(tmp_path):
     files = {
