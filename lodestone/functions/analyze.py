@@ -85,14 +85,28 @@ def lines_of(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(lines)
 
 
+def skip_generics(text: Column) -> Column:
+    """A text that begins with ``<`` without its balanced ``<...>``, nested to any depth; any other text as it is."""
+    chars = F.split(text, "")
+    state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(s: Column, c: Column) -> Column:
+        depth = s["depth"] + F.when(c == "<", 1).when(c == ">", -1).otherwise(0)
+        at = s["at"] + 1
+        return F.struct(depth.alias("depth"), at.alias("at"), F.when((s["end"] == 0) & (depth == 0), at).otherwise(s["end"]).alias("end"))
+
+    end = F.aggregate(chars, state, step)["end"]
+    return F.when(F.startswith(text, F.lit("<")), F.substring(text, end + 1, F.length(text))).otherwise(text)
+
+
 def symbols(content: Column) -> Column:
     """Names after a definition's first words: sorted, distinct, of 2 bytes or more, joined by spaces.
 
-    One balanced ``<...>`` (nested up to 3 deep) before the name is skipped.
+    One balanced ``<...>`` before the name is skipped.
     """
-    generics = r"(?:<(?:[^<>]|<(?:[^<>]|<[^<>]*>)*>)*>\s*)?"
-    pattern = r"(?U)^\s*" + STARTERS_PATTERN + r"\s*" + generics + r"([\p{IsAlphabetic}\p{N}_]*)"
-    names = F.transform(lines_of(content), lambda x: F.regexp_extract(x, pattern, 1))
+    starts = F.filter(lines_of(content), lambda x: F.rlike(x, F.lit(r"(?U)^\s*" + STARTERS_PATTERN)))
+    rests = F.transform(starts, lambda x: F.regexp_replace(x, r"(?U)^\s*" + STARTERS_PATTERN + r"\s*", ""))
+    names = F.transform(rests, lambda x: F.regexp_extract(skip_generics(x), r"(?U)^\s*([\p{IsAlphabetic}\p{N}_]*)", 1))
     return F.array_join(F.array_sort(F.array_distinct(F.filter(names, lambda s: F.octet_length(s) >= 2))), " ")
 
 

@@ -136,7 +136,3 @@ def _fnv_batch(content: pd.Series) -> pd.Series:
 def fnv1a_hex(content: Column) -> Column:
     """For exchange with tools that store this hash; the engine itself compares SHA-256."""
     return F.pandas_udf(_fnv_batch, T.StringType())(content)
-
-
-def content_hash(content: Column) -> Column:
-    return F.sha2(F.encode(content, "UTF-8"), 256)

@@ -209,12 +209,18 @@ def identifier_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 SNIPPETS = [
     (1, "pub struct Config {\n    port: u16,\n}\nimpl Config {\n  pub fn load() {}\n}"), (2, "def run(self):\n    pass\nclass Job:\n  async def go(self): pass"),
     (3, "export default class App {}\nconst fn zed\nlet mut y = 1\nfunction a() {}"), (4, "no symbols here"), (5, "func <T> Map(x)\nfn bar<T>(x)\nenum E1 {}"), (6, ""),
+    (7, "impl <T: Into<Vec<Option<Box<u8>>>>> Deep<T> {}\nfn <A<B> unbalanced\n  struct <> Empty\npub(crate) fn shown() {}"),
 ]
 _STARTERS_SQL = "(?:" + "|".join(s.replace("(", "\\(").replace(")", "\\)") for s in analyze.BLOCK_STARTERS) + ")"
 
 
+_GENERICS_SQL = "[^<>]*"
+for _ in range(6):  # deep enough for the rows above
+    _GENERICS_SQL = f"[^<>]*(?:<{_GENERICS_SQL}>[^<>]*)*"
+
+
 @query(f"""with l as (select id, unnest(string_split(src, chr(10))) as line from (values {_values(SNIPPETS)}) t(id, src)),
-n as (select distinct id, regexp_extract(line, '^\\s*{_STARTERS_SQL}\\s*(?:<[^<>]*>\\s*)?([A-Za-z0-9_]*)', 1) as name from l)
+n as (select distinct id, regexp_extract(line, '^\\s*{_STARTERS_SQL}\\s*(?:<{_GENERICS_SQL}>\\s*)?([A-Za-z0-9_]*)', 1) as name from l)
 select t.id, coalesce((select string_agg(name, ' ' order by name) from n where n.id = t.id and strlen(name) >= 2), '') as symbols from (values {_values(SNIPPETS)}) t(id, src)""")
 def symbols_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names defined in code snippets."""
@@ -228,6 +234,7 @@ CODE = {
     "go": ("go", [("a.go", 'import (\n  "fmt"\n  u "ex.com/util"\n)'), ("b.go", 'import "os"\nimport x "ex.com/x"')]),
     "php": ("php", [("a.php", "use App\\Models\\User;\nrequire_once 'b.php';"), ("b.php", "include('c.php');\nuse App\\Models\\User as U;")]),
 }
+#: The patterns of lodestone.operators.imports once more, without what DuckDB's regular expressions lack.
 _EXTRACT_SQL = {
     "rust": ["(?m)^\\s*use\\s+((?:crate|super|self|[a-zA-Z_]\\w*)(?:::\\w+)*(?:::\\*)?)"],
     "js": [
@@ -265,7 +272,7 @@ FILES = {
     "php": ("php", ["app/Models/User.php", "Models/Post.php", "lib/y.php"]),
 }
 SPECIFIERS = {
-    "rust": [("src/search/index.rs", "crate::fs::walk"), ("src/search/index.rs", "super::query::Parser"), ("src/main.rs", "crate::search"), ("src/main.rs", "std::io")],
+    "rust": [("src/search/index.rs", "crate::fs::walk"), ("src/search/index.rs", "super::query::Parser"), ("src/main.rs", "crate::search"), ("src/main.rs", "std::io"), ("src/search/mod.rs", "self::index::Doc"), ("src/search/mod.rs", "self::none")],
     "js": [("web/a.ts", "./b"), ("web/a.ts", "./dir"), ("web/a.ts", "../lib/c"), ("web/a.ts", "react"), ("lib/c.js", "../web/a.ts")],
     "py": [("pkg/m.py", "."), ("pkg/m.py", "pkg.m"), ("top.py", ".pkg.m"), ("pkg/m.py", "..top"), ("top.py", "deep.x"), ("top.py", "os")],
     "go": [("svc/h.go", "ex.com/p/util"), ("svc/h.go", "fmt"), ("util/a.go", "svc")],
@@ -275,6 +282,8 @@ SPECIFIERS = {
 _CANDIDATES_SQL = {
     "rust": """case when starts_with(spec, 'crate::') then list_concat(['src/' || replace(spec[8:], '::', '/') || '.rs', 'src/' || replace(spec[8:], '::', '/') || '/mod.rs'],
       case when contains(spec[8:], '::') then ['src/' || split_part(spec[8:], '::', 1) || '.rs', 'src/' || split_part(spec[8:], '::', 1) || '/mod.rs'] else [] end)
+      when starts_with(spec, 'self::') then ['src/search/' || replace(spec[7:], '::', '/') || '.rs', 'src/search/' || replace(spec[7:], '::', '/') || '/mod.rs',
+      'src/search/' || split_part(spec[7:], '::', 1) || '.rs', 'src/search/' || split_part(spec[7:], '::', 1) || '/mod.rs']
       when starts_with(spec, 'super::') then ['src/search/' || replace(spec[8:], '::', '/') || '.rs', 'src/search/' || replace(spec[8:], '::', '/') || '/mod.rs',
       'src/search/' || split_part(spec[8:], '::', 1) || '.rs', 'src/search/' || split_part(spec[8:], '::', 1) || '/mod.rs'] else [] end""",
     "js": """case when starts_with(spec, './') then list_transform(['', '.ts', '.tsx', '.js', '.jsx', '.mjs', '/index.ts', '/index.tsx', '/index.js', '/index.jsx'], lambda e: split_part(source, '/', 1) || '/' || spec[3:] || e)
@@ -392,36 +401,37 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.stats(part_edges(spark, sf_dir))
 
 
-@query(f"""with recursive {_edges_sql(48)}, start as (select max(dst) as node from edges), reach(path, depth) as (
-select node, 0 from start union select e.src, r.depth + 1 from reach r join edges e on e.dst = r.path where r.depth < 10)
-select path, min(depth)::int as depth from reach where path <> (select node from start) group by path""")
+_IMPACT_SQL = f"""with recursive {_edges_sql()}, start as (select max(dst) as node from edges), reach(path, depth) as (
+select node, 0 from start union select e.src, r.depth + 1 from reach r join edges e on e.dst = r.path where r.depth < 10),
+d as (select path, min(depth)::int as depth from reach where path <> (select node from start) group by path)"""
+
+
+@query(_IMPACT_SQL + " select path, depth from d")
 def graph_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything within ten steps upstream of a part."""
-    edges, scratch = _stored_edges(spark, sf_dir, 48)
+    edges, scratch = _stored_edges(spark, sf_dir)
     return graph.impact(edges, edges.agg(F.max("dst")).first()[0], scratch=scratch)
 
 
-@query(f"""with recursive {_edges_sql(48)}, start as (select max(dst) as node from edges), reach(path, depth) as (
-select node, 0 from start union select e.src, r.depth + 1 from reach r join edges e on e.dst = r.path where r.depth < 10),
-d as (select path, min(depth) as depth from reach where path <> (select node from start) group by path)
-select count(*) as total, count(*) filter (where depth = 1) as direct, count(*) filter (where depth > 1) as indirect from d""")
+@query(_IMPACT_SQL + " select count(*) as total, count(*) filter (where depth = 1) as direct, count(*) filter (where depth > 1) as indirect from d")
 def graph_impact_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, scratch = _stored_edges(spark, sf_dir, 48)
+    edges, scratch = _stored_edges(spark, sf_dir)
     return graph.impact_totals(graph.impact(edges, edges.agg(F.max("dst")).first()[0], scratch=scratch))
 
 
-@query(f"""with recursive {_edges_sql(48)}, ends as (select (select min(src) from edges) as a, (select dst from edges e where src = (select max(dst) from edges f where src = (select min(src) from edges)) order by dst limit 1) as b),
-walk(node, trail, depth) as (select a, [a], 0 from ends union all
-select e.dst, list_append(w.trail, e.dst), w.depth + 1 from walk w join edges e on e.src = w.node where w.depth < 3 and not list_contains(w.trail, e.dst)),
-best as (select trail from walk where node = (select b from ends) order by len(trail), trail limit 1)
+@query(f"""with recursive {_edges_sql()}, start as (select min(src) as node from edges), reach(node, d) as (
+select node, 0 from start union select e.dst, r.d + 1 from reach r join edges e on e.src = r.node where r.d < 10),
+dist as (select node, min(d) as d from reach group by node), goal as (select node, d from dist order by d desc, node limit 1),
+walk(node, trail, d) as (select node, [node], 0 from start union all
+select e.dst, list_append(w.trail, e.dst), w.d + 1 from walk w join edges e on e.src = w.node join dist on dist.node = e.dst and dist.d = w.d + 1 where w.d < (select d from goal)),
+best as (select trail from walk where node = (select node from goal) order by trail limit 1)
 select generate_subscripts(trail, 1)::int - 1 as step, unnest(trail) as node from best""")
 def graph_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The least shortest path from the first part to one two steps on, if there is one."""
-    edges, scratch = _stored_edges(spark, sf_dir, 48)
+    """The least shortest path from the first part to the one farthest from it, ten steps at most."""
+    edges, scratch = _stored_edges(spark, sf_dir)
     start = edges.agg(F.min("src")).first()[0]
-    middle = edges.where(F.col("src") == start).agg(F.max("dst")).first()[0]
-    end = edges.where(F.col("src") == middle).agg(F.min("dst")).first()[0]
-    return graph.shortest_path(edges, start, end, scratch=scratch)
+    goal = graph.impact(graph.reverse(edges), start, scratch=scratch).orderBy(F.desc("depth"), "path").first()
+    return graph.shortest_path(edges, start, goal.path if goal else start, scratch=Scratch(spark, "path"))
 
 
 @query(f"""with {_edges_sql()} select [a.src, a.dst] as cycle from edges a join edges b on b.src = a.dst and b.dst = a.src where a.src < a.dst
@@ -489,13 +499,196 @@ def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bursts.select("user_id", F.col("begin").alias("begin_ts"), F.col("end").alias("end_ts"), F.array_join("paths", ",").alias("paths"), "n_events")
 
 
-@query()
+@query("""with o as (select user_id, event_type, ts, lag(ts) over (partition by user_id order by ts) as before from events),
+s as (select *, sum(case when before is null or ts - before > interval 30 minute then 1 else 0 end) over (partition by user_id order by ts, event_type rows unbounded preceding) as k from o),
+b as (select user_id, min(ts) as begin_ts, max(ts) + interval 30 minute as end_ts, array_to_string(list_sort(list_distinct(list(event_type))), ',') as paths, count(*) as n_events from s group by user_id, k)
+select * from b where end_ts <= (select max(ts) from events)""")
+def stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream of the events: bursts that the watermark has closed."""
+    source = read_table(spark, sf_dir, "events")
+    # a pattern, as a stream's path may be a folder or a pattern, and the table may be one file
+    stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/[e]vents.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    bursts = quiet_batches(stream, "30 minutes", delay="0 seconds", key="user_id", path="event_type")
+    scratch = Scratch(spark, "bursts")
+    flat = bursts.select("user_id", F.col("begin").alias("begin_ts"), F.col("end").alias("end_ts"), F.array_join("paths", ",").alias("paths"), "n_events")
+    flat.writeStream.outputMode("append").option("checkpointLocation", f"{scratch.path}/state").trigger(availableNow=True).start(f"{scratch.path}/out", format="parquet").awaitTermination()
+    found = spark.read.schema(flat.schema).parquet(f"{scratch.path}/out")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("begin_ts", "end_ts")})
+
+
+#: Chunks in SQL, for texts without blank lines or space at their ends, as the documents are: short ones whole, others line by line.
+_CHUNKS_SQL = f"""d as (select {PATH.replace('string', 'varchar')} as relative_path, text from documents where text <> ''),
+l as (select relative_path, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as k from d where strlen(text) // 4 > 1024),
+p as (select relative_path, k, strlen(line) as n, (sum(strlen(line) + 1) over (partition by relative_path order by k))::bigint - strlen(line) - 1 as o from l),
+fold(relative_path, k, b, e, cut_b, cut_e) as (select relative_path, 1::bigint, 0::bigint, n, null::bigint, null::bigint from p where k = 1
+  union all select p.relative_path, p.k, case when (e - b) // 4 + n // 4 > 1024 then o else b end, o + n, case when (e - b) // 4 + n // 4 > 1024 then b end, case when (e - b) // 4 + n // 4 > 1024 then e end
+  from fold join p on p.relative_path = fold.relative_path and p.k = fold.k + 1),
+spans as (select relative_path, 0::bigint as off, strlen(text) as stop from d where strlen(text) // 4 <= 1024
+  union all select relative_path, cut_b, cut_e from fold where cut_b is not null
+  union all select relative_path, max_by(b, k), max(e) from fold group by relative_path),
+chunks as (select relative_path, (row_number() over (partition by relative_path order by off) - 1)::int as chunk_idx, off, stop - off as len from spans)"""
+
+
+@query(f"with recursive {_CHUNKS_SQL} select relative_path, chunk_idx, off, len, len // 4 as tokens from chunks")
 def chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of every document with their byte spans."""
     docs = corpus(spark, sf_dir).select("relative_path", F.posexplode(chunks(F.col("content"))).alias("chunk_idx", "c"))
     return docs.select("relative_path", "chunk_idx", "c.off", "c.len", analyze.estimated_tokens(F.col("c.text")).alias("tokens"))
 
 
+@query(f"with recursive {_CHUNKS_SQL} select relative_path, chunk_idx, sha256(decode(array_slice(encode(text), off + 1, off + len))) as sha from chunks join d using (relative_path)")
+def chunk_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk's text read back from its document by byte range."""
+    docs = corpus(spark, sf_dir).select("relative_path", "content", F.posexplode(chunks(F.col("content"))).alias("chunk_idx", "c"))
+    return docs.select("relative_path", "chunk_idx", F.sha2(F.encode(analyze.byte_range(F.col("content"), F.col("c.off"), F.col("c.len")), "UTF-8"), 256).alias("sha"))
+
+
+@query("""with h as (select doc_id, hex(encode(text)) as digits from documents)
+select doc_id, printf('%016x', list_reduce(list_prepend(14695981039346656037::hugeint, list_transform(range(0, len(digits) // 2), lambda i: ('0x' || substr(digits, 2 * i + 1, 2))::int::hugeint)),
+lambda a, b: (xor(a, b) * 1099511628211) % 18446744073709551616)::ubigint) as fnv from h""")
+def fnv_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The FNV-1a hash of every whole document."""
+    from lodestone.functions.rowlocal import fnv1a_hex
+
+    return read_table(spark, sf_dir, "documents").select("doc_id", fnv1a_hex(F.col("text")).alias("fnv"))
+
+
+@query("""with f as (select concat(case doc_id % 5 when 0 then 'node_modules/' when 1 then 'src/build/' when 2 then 'lib/building/' else '' end, 'n', doc_id,
+case doc_id % 7 when 0 then '.RS' when 1 then '.py' when 2 then '.bin' when 3 then '' when 4 then '.Org' when 5 then '.tar.gz' else '.html' end) as p, text, (doc_id % 3) * 524288 + doc_id % 2 as n from documents)
+select p as relative_path, lower(regexp_extract(p, '\\.([^./]*)$', 1)) as extension, lower(regexp_extract(p, '\\.([^./]*)$', 1)) not in ('md', 'txt', 'rst', 'org') as is_code, sha256(text) as content_hash
+from f where not list_has_any(string_split(p, '/'), ['node_modules', 'build']) and lower(regexp_extract(p, '\\.([^./]*)$', 1)) in ('rs', 'py', 'org', 'html') and n <= 1048576""")
+def scan_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scan would keep of paths made from the documents, and what it derives: folders, sizes, extensions, kinds, hashes."""
+    from lodestone.sources.files import derive, indexable
+
+    folder = F.expr("case doc_id % 5 when 0 then 'node_modules/' when 1 then 'src/build/' when 2 then 'lib/building/' else '' end")
+    ending = F.expr("case doc_id % 7 when 0 then '.RS' when 1 then '.py' when 2 then '.bin' when 3 then '' when 4 then '.Org' when 5 then '.tar.gz' else '.html' end")
+    files = read_table(spark, sf_dir, "documents").select(
+        F.concat(folder, F.lit("n"), F.col("doc_id").cast("string"), ending).alias("relative_path"), F.col("text").alias("content"), F.expr("(doc_id % 3) * 524288 + doc_id % 2").alias("n_bytes")
+    )
+    return derive(indexable(files)).select("relative_path", "extension", "is_code", "content_hash")
+
+
+@query("select doc_id, unnest(['crate::m' || doc_id, 'crate::net::a', 'crate::net', 'super::s' || (doc_id % 9)]) as specifier from documents")
+def rust_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports of a Rust file made for each document, with others in comments, strings and raw strings."""
+    source = F.concat(
+        F.lit("use crate::m"), F.col("doc_id").cast("string"), F.lit(";\n// use crate::comment;\n/* use crate::block;\nuse crate::inner; */\nlet a = \"use crate::text;\\\" use crate::more;\";\nlet b = r#\"\nuse crate::raw;\n\"#;\n"),
+        F.lit("use crate::net::{a as b, self, *};\n  use super::s"), (F.col("doc_id") % 9).cast("string"), F.lit(";\n/*\nuse crate::open"),
+    )
+    files = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("relative_path"), source.alias("content"), F.lit("rs").alias("extension"))
+    return extract_imports(files).select(F.col("relative_path").cast("long").alias("doc_id"), "specifier")
+
+
+@query(f"with {_edges_sql()} select dst as src, src as dst from edges")
+def graph_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reverse(part_edges(spark, sf_dir))
+
+
+# --- The engine end to end -------------------------------------------------------------------------
+
+
+def _engine_files(docs: DataFrame, content=None) -> DataFrame:
+    """The corpus as rows of a scan."""
+    text = F.col("content") if content is None else content
+    return docs.select("relative_path", text.alias("content")).select(
+        "relative_path", "content", F.regexp_extract("relative_path", r"\.([a-z]+)$", 1).alias("extension"), (~F.col("relative_path").rlike(r"\.(md|txt)$")).alias("is_code"),
+        F.sha2(F.encode("content", "UTF-8"), 256).alias("content_hash"),
+    )
+
+
+def _engine(spark: SparkSession, label: str, **more):
+    from lodestone.plans.engine import Engine
+
+    return Engine(spark, f"{Scratch(spark, label).path}/warehouse", **more)
+
+
+def _two_states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The corpus before and after: some documents go, some come, some change."""
+    docs = corpus(spark, sf_dir)
+    later = F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.lit(" x"))).otherwise(F.col("content"))
+    return _engine_files(docs.where("doc_id % 11 <> 0")), _engine_files(docs.where("doc_id % 13 <> 0"), later)
+
+
+@query(f"""with recursive {_CHUNKS_SQL}, n as ({CORPUS_SQL} where doc_id % 13 <> 0), t as (select path, doc_id, case when doc_id % 7 = 0 then content || ' x' else content end as content from n),
+k as (select path, content, {TOKENS_SQL.format('content')} as toks, doc_id from t)
+select 'manifest' as what, path, sha256(content) as value from k
+union all select 'terms', path, (len(toks) + 3)::varchar from k
+union all select 'length', path, len(toks)::varchar from k
+union all select 'vectors', path, (select count(*) from chunks where relative_path = path)::varchar from k where doc_id % 11 <> 0 and doc_id % 7 <> 0 and content <> ''""")
+def engine_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engine's tables after a build with embeddings and a refresh without a model, which drops what is stale."""
+    from lodestone.plans.engine import Engine
+
+    before, after = _two_states(spark, sf_dir)
+    engine = _engine(spark, "refresh", provider=vectors.HashedWords)
+    engine.refresh(before)
+    Engine(spark, engine.warehouse.folder).refresh(after)
+    read = engine.warehouse.read
+    return (
+        read("manifest").select(F.lit("manifest").alias("what"), F.col("relative_path").alias("path"), F.col("content_hash").alias("value"))
+        .unionByName(read("postings").groupBy(F.col("relative_path").alias("path")).agg(F.sum("tf").cast("string").alias("value")).withColumn("what", F.lit("terms")))
+        .unionByName(read("field_stats").where("field = 'content'").select(F.lit("length").alias("what"), F.col("relative_path").alias("path"), F.col("len").cast("string").alias("value")))
+        .unionByName(read("vectors").groupBy(F.col("relative_path").alias("path")).agg(F.count(F.lit(1)).cast("string").alias("value")).withColumn("what", F.lit("vectors")))
+    )
+
+
+@query("""with n as (select concat('m/d', doc_id, '.ts') as path, case when doc_id % 7 = 0 then (doc_id * 5 + 1) % 997 else (doc_id * 7 + 3) % 997 end as t from documents where doc_id % 13 <> 0)
+select distinct a.path as src, b.path as dst from n a join n b on b.path = concat('m/d', a.t, '.ts') where a.path <> b.path""")
+def engine_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dependency edges of generated modules after a build, a refresh and an upsert; only changed files are parsed."""
+    def state(where: str, target: str) -> DataFrame:
+        body = F.concat(F.lit("import x from './d"), F.expr(target).cast("string"), F.lit("';\n"))
+        docs = read_table(spark, sf_dir, "documents").where(where).select(F.concat(F.lit("m/d"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("relative_path"), body.alias("content"))
+        return _engine_files(docs)
+
+    engine, changed = _engine(spark, "edges"), "case when doc_id % 7 = 0 then (doc_id * 5 + 1) % 997 else (doc_id * 7 + 3) % 997 end"
+    engine.refresh(state("doc_id % 11 <> 0", "(doc_id * 7 + 3) % 997"))
+    engine.refresh(state("doc_id % 13 <> 0 and doc_id % 17 <> 0", changed))
+    engine.apply(state("doc_id % 13 <> 0 and doc_id % 17 = 0", changed), state("doc_id % 13 = 0", changed).select("relative_path"))
+    return engine.warehouse.read("edges")
+
+
+def _content_score(words: tuple[str, ...]) -> str:
+    """Tables for SQL: docs, and score (path, w, s) of each content word."""
+    rows = ", ".join(f"('{w}')" for w in words)
+    return f"""docs as ({CORPUS_SQL}), tokens as (select path, kind, content, doc_id, {TOKENS_SQL.format('content')} as toks from docs), words(w) as (values {rows}),
+stats as (select count(*) as n, avg(len(toks)) as mean from tokens), tf as (select path, len(toks) as len, w, len(list_filter(toks, lambda t: t = w)) as tf from tokens cross join words),
+df as (select w, count(*) as df from tf where tf > 0 group by w),
+score as (select path, w, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) as s from tf join df using (w) cross join stats where tf > 0),
+pairs as (select distinct path from (select path, unnest(toks) as t, generate_subscripts(toks, 1) as p from tokens) a join (select path, unnest(toks) as t, generate_subscripts(toks, 1) as p from tokens) b using (path) where b.p = a.p + 1 and a.t = 'the' and b.t = 'and')"""
+
+
+@query(f"""with {_content_score(('the', 'and', 'keit', 'lich'))},
+hits as (select path, sum(s) as score from (select path, s from score where w = 'keit' union all select path, s from score join pairs using (path) where w in ('the', 'and')) group by path),
+top as (select path, score, content from hits join docs using (path) where kind = 'code' and path not in (select path from score where w = 'lich') order by score desc, path limit 10),
+l as (select path, score, string_split(regexp_replace(content, '\n$', ''), chr(10)) as lines from top),
+s as (select *, list_transform(lines, lambda x: (case when contains(lower(x), '"the') then 1 else 0 end) + (case when contains(lower(x), 'and"') then 1 else 0 end) + (case when contains(lower(x), 'keit') then 1 else 0 end)
+  + (case when contains(lower(x), '-lich') then 1 else 0 end)) as found from l),
+b as (select *, list_position(found, list_max(found)) - 1 as best from s)
+select path, round(score, 6) as score, array_to_string(lines[greatest(best - 5, 0) + 1 : greatest(best - 5, 0) + 15], chr(10)) as snippet from b""")
+def code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engine end to end: index the corpus, then search it with a query of several clauses."""
+    engine = _engine(spark, "engine")
+    engine.refresh(_engine_files(corpus(spark, sf_dir)))
+    return engine.search('"the and" keit -lich', "code", 10).select("path", F.round("score", 6).alias("score"), "snippet")
+
+
+@query(f"""with {_content_score(('the', 'keit', 'ionea', 'and'))}, names as (select path, {RUNS_SQL.format("split_part(path, '/', 4)")} as toks from docs),
+nstats as (select count(*) as n, avg(len(toks)) as mean from names), ndf as (select count(*) as df from names where list_contains(toks, 'rs')),
+nscore as (select path, 3 * 6 * ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(toks) / mean)) as s from names cross join nstats cross join ndf where list_contains(toks, 'rs')),
+grp as (select path, sum(s) as s from (select path, 2 * s as s from score where w = 'keit' union all select path, 2 * s from score where w = 'ionea' union all select path, s from nscore) group by path),
+hits as (select path, sum(s) as score from (select path, s from score where w = 'the' union all select path, s from grp) group by path)
+select path, round(score, 6) as score from hits join docs using (path) where path in (select path from score where w = 'the') and path in (select path from grp) and path not in (select path from pairs)
+order by score desc, path limit 25""")
+def engine_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required, excluded, grouped and boosted clauses over several fields."""
+    engine = _engine(spark, "boolean")
+    engine.refresh(_engine_files(corpus(spark, sf_dir)))
+    hits = engine.bm25('the AND ((keit OR ionea)^2 basename:rs^3) -"the and"', None, 25)
+    return hits.select(F.col("relative_path").alias("path"), F.round("score", 6).alias("score"))
+
+
 @query(f"with {_edges_sql()} select (select count(*) from documents) as documents, (select count(*) from embeddings) as vectors, (select count(*) from edges) as edges, case when (select count(*) from documents) = 0 then 'empty' else 'hybrid' end as readiness")
 def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = status_row(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "embeddings"), part_edges(spark, sf_dir))
@@ -529,16 +722,3 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash and estimated size of every document."""
     docs = read_table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("content_hash"), analyze.estimated_tokens(F.col("text")).alias("tokens"))
-
-
-@query()
-def code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The engine end to end: index the corpus, then search it with a query of several clauses."""
-    from lodestone.plans.engine import Engine
-
-    docs = corpus(spark, sf_dir)
-    ext = F.regexp_extract("relative_path", r"\.([a-z]+)$", 1)
-    files = docs.select("relative_path", "content", ext.alias("extension"), (F.col("kind") == "code").alias("is_code"), F.sha2(F.encode("content", "UTF-8"), 256).alias("content_hash"))
-    engine = Engine(spark, f"{Scratch(spark, 'engine').path}/warehouse")
-    engine.refresh(files)
-    return engine.search('"the and" keit -lich', "code", 10)

@@ -8,11 +8,13 @@ folder of the local machine is chosen.
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -55,12 +57,20 @@ def shared_root(spark: SparkSession) -> str:
 BATCH_ROWS = 2000
 
 
+_open: dict[str, Scratch] = {}
+
+
 class Scratch:
-    """A folder of its own below the shared root, for the tables of one query run."""
+    """A folder of its own below the shared root, for the tables of one query run.
+
+    Results are lazy and read these tables, so the folder stays until it is dropped, or until :func:`sweep` or the
+    end of the driver process drops all that are left.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/lodestone/{label}-{uuid.uuid4().hex[:12]}"
+        _open[self.path] = self
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back: lineage ends here."""
@@ -85,9 +95,27 @@ class Scratch:
 
     def drop(self, name: str = "") -> None:
         """Delete one table, or the whole folder."""
-        jvm = self.spark.sparkContext._jvm
+        jvm = SparkContext._jvm or self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        if not name:
+            _open.pop(self.path, None)
+
+
+def sweep() -> int:
+    """Drop the tables of all query runs of this process; none of their results can be read after it."""
+    left = list(_open.values())
+    for scratch in left:
+        scratch.drop()
+    return len(left)
+
+
+@atexit.register
+def _at_exit() -> None:
+    try:
+        sweep()
+    except Exception:  # the JVM has ended before; an operator's clean-up of the shared folder is left to do
+        _open.clear()
 
 
 def table_path(sf_dir: str, name: str) -> str:

@@ -27,6 +27,8 @@ def test_symbols(spark):
     text = "pub fn start() {}\nstruct Pool<T>;\n  def go(self)\nconst fn zed\nlet mut y\nfn a()\nimpl <A<B>> Thing"
     assert one(spark, text, analyze.symbols) == "Pool Thing fn go mut start"
     assert one(spark, "", analyze.symbols) == ""
+    assert one(spark, "impl<T: Into<Vec<Option<Box<Rc<u8>>>>>> Deep<T>\nfn <A<B> open", analyze.symbols) == ""  # no starter; unbalanced
+    assert one(spark, "impl <T: Into<Vec<Option<Box<Rc<u8>>>>>> Deep<T>\nclass <x>", analyze.symbols) == "Deep"
 
 
 def test_snippet_starts_at_definition_and_stops_at_fifteen_lines(spark):
