@@ -3,7 +3,8 @@
 The index is inverted: a term's postings carry its impact in each item, as a share of the item's score
 for its own text, so one threshold fits all items.  Items lie in blocks, with the largest impact of a
 term in each block, and retrieval is block-max WAND, for many passages at once: a passage whose terms'
-list maxima cannot sum to the threshold is skipped; then blocks whose maxima cannot; what is left is
+list maxima cannot sum to the threshold is skipped; of the others, only blocks that hold a term from the
+passage's pivot on are looked at, and of these only those whose block maxima can sum to it; what is left is
 scored in full, and every item at or above the threshold is returned.  A hit counts when the passage
 holds at least 0.8 of the question's and of the answer's word 5-grams.
 
@@ -35,6 +36,8 @@ THRESHOLD, OVERLAP, SHINGLE_WORDS = 0.5, 0.8, 5
 BLOCK_ITEMS = 8
 #: Items indexed at once, and characters of text; more are worked off in several passes.
 PASS_ITEMS, PASS_CHARS = 4096, 8 << 20
+#: Cells of passages and blocks that are held at once.
+MOST_CELLS = 4 << 20
 _U = np.uint64
 
 
@@ -126,30 +129,48 @@ class Index:
         slack = threshold - 1e-5
         if not len(passage):
             return none
-        head = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-        bound = np.add.reduceat(self.list_max[term].astype(np.float64), head)
-        keep = np.repeat(bound >= slack, np.diff(np.append(head, len(passage))))
-        passage, term = passage[keep], term[keep]
-        found = []
-        step = 1 << 19
-        lo = 0
-        while lo < len(passage):  # whole passages, some hundred thousand postings at a time
-            hi = min(lo + step, len(passage))
+        # each passage's terms from the least list maximum on: its pivot is the first term up to which the maxima sum
+        # to the threshold, and an item without a term from the pivot on cannot reach it
+        order = np.lexsort((self.list_max[term], passage))
+        passage, term = passage[order], term[order]
+        head = np.append(True, passage[1:] != passage[:-1])
+        total = np.cumsum(self.list_max[term].astype(np.float64))
+        row = np.cumsum(head) - 1
+        before = np.append(0.0, total)[np.flatnonzero(head)]
+        essential = total - before[row] >= slack - 1e-9
+        keep = np.append(np.flatnonzero(head)[1:], len(passage)) - 1  # the last sum is the largest
+        kept = essential[keep][row]
+        passage, term, essential = passage[kept], term[kept], essential[kept]
+        found, lo = [], 0
+        most = max(1, MOST_CELLS // max(self.n_blocks, 1))
+        while lo < len(passage):  # whole passages, a bounded number of terms and of passage-block cells at a time
+            hi = min(lo + (1 << 19), len(passage))
             if hi < len(passage):
                 hi = int(np.searchsorted(passage, passage[hi], side="left"))
                 hi = hi if hi > lo else int(np.searchsorted(passage, passage[lo], side="right"))
-            found.append(self._evaluate(passage[lo:hi], term[lo:hi], slack))
+            starts = lo + np.flatnonzero(np.append(True, passage[lo + 1 : hi] != passage[lo : hi - 1]))
+            hi = int(starts[most]) if len(starts) > most else hi
+            found.append(self._evaluate(passage[lo:hi], term[lo:hi], essential[lo:hi], slack))
             lo = hi
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else none
 
-    def _evaluate(self, passage: np.ndarray, term: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _cells(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The blocks' cells of each of some terms, and how many each has."""
         many = self.term_bounds[term + 1] - self.term_bounds[term]
-        cell = self.term_cells[np.repeat(self.term_bounds[term], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)]
+        return self.term_cells[np.repeat(self.term_bounds[term], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)], many
+
+    def _evaluate(self, passage: np.ndarray, term: np.ndarray, essential: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         numbers, dense = np.unique(passage, return_inverse=True)
-        key = np.repeat(dense, many) * self.n_blocks + self.cell_block[cell]
-        bound = np.bincount(key, weights=self.cell_max[cell], minlength=len(numbers) * self.n_blocks)
-        wanted = bound >= slack
-        pick = wanted[key]
+        cell, many = self._cells(term[essential])
+        key = np.repeat(dense[essential], many) * self.n_blocks + self.cell_block[cell]
+        alive = np.zeros(len(numbers) * self.n_blocks, dtype=bool)
+        alive[key] = True  # blocks that a passage meets from its pivot on; the other terms count only there
+        rest, many = self._cells(term[~essential])
+        rest_key = np.repeat(dense[~essential], many) * self.n_blocks + self.cell_block[rest]
+        pick = alive[rest_key]
+        key, cell = np.concatenate([key, rest_key[pick]]), np.concatenate([cell, rest[pick]])
+        bound = np.bincount(key, weights=self.cell_max[cell], minlength=len(alive))
+        pick = (bound >= slack)[key]
         key, cell = key[pick], cell[pick]
         if not len(key):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)

@@ -159,8 +159,10 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs.where("false"), bench).count() == 0
 
 
-def test_retrieval_is_complete():
-    """Block-max retrieval gives what scoring every item gives."""
+@pytest.mark.parametrize("cells", [1, 4 << 20])
+def test_retrieval_is_complete(monkeypatch, cells):
+    """Block-max retrieval gives what scoring every item gives, also of many passages at once."""
+    monkeypatch.setattr(decontaminate, "MOST_CELLS", cells)
     rng = random.Random(3)
     items = [(k, " ".join(f"t{rng.randrange(60)}" for _ in range(rng.randint(3, 9)))) for k in range(50)]
     index = decontaminate.Index(items)
@@ -174,6 +176,29 @@ def test_retrieval_is_complete():
         assert np.allclose(scores, full[found], atol=1e-5)
 
 
+    passages = [sorted(rng.sample(range(len(index.terms)), rng.randint(1, 25))) for _ in range(40)]
+    flat = [np.repeat(np.arange(40), [len(p) for p in passages]), np.concatenate(passages)]
+    at, found, scores = index.retrieve(*flat, 0.4)
+    want = {}
+    for k, terms in enumerate(passages):
+        full = np.zeros(len(index.ids))
+        mine = np.isin(index.term, terms)
+        np.add.at(full, index.item[mine].astype(int), index.impact[mine])
+        want |= {(k, i): full[i] for i in np.flatnonzero(full >= 0.4 - 1e-5).tolist()}
+    assert dict(zip(zip(at.tolist(), found.tolist()), np.round(scores, 4).tolist())) == {k: round(v, 4) for k, v in want.items()} and len(want) > 5
+
+
+def test_decontamination_of_odd_rows(spark):
+    """Clashing columns, null and repeated rows, and very long texts, with one pass and with several."""
+    item = "Which of the many words here is the one that nobody wrote down?\nThe last of them all."
+    docs = spark.createDataFrame([(1, f"x {item} y", "own", 5), (1, f"x {item} y", "own", 5), (None, item, "own", 5), (2, None, "own", 5), (3, "filler " * 50_000 + item, "own", 5), (4, "", "own", 5)], "doc_id long, text string, matches string, item_id int")
+    for n in (1, decontaminate.PASS_ITEMS + 1):
+        items = spark.createDataFrame([(k, f"unlike all else {k} stands number {k}\nand so does {k}") for k in range(n - 1)] + [(9999, item), (None, item)], "item_id long, text string")
+        found = sorted((str(r.doc_id), str(r.item_id)) for r in decontaminate.contaminated(docs, items).collect())
+        assert found == sorted([(d, i) for d in ("1", "1", "None", "3") for i in ("9999", "None")])
+    assert decontaminate.find_items(docs, items).columns == ["doc_id", "text", "item_id", "matches"]
+
+
 def test_scores_do_not_depend_on_passes(spark, monkeypatch):
     """The passes' hits and scores are those of one pass over all items."""
     rng = random.Random(5)
