@@ -117,6 +117,54 @@ def test_quality_edges(spark):
     assert quality.quality_scores(docs.where("false"), labels).count() == 0
 
 
+def plain_fit(rows, s):
+    """The training loop in plain Python: one document, one class and one number at a time."""
+    rng = np.random.default_rng(s.seed)
+    table = rng.uniform(-1 / s.dim, 1 / s.dim, ((1 << s.bits) + 1, s.dim)).astype(np.float32).astype(float).tolist()
+    layer, done = [[0.0] * s.dim, [0.0] * s.dim], 0
+    for _ in range(s.epochs):
+        for k in rng.permutation(len(rows)):
+            ids, share, label = rows[k]
+            rate = s.rate * (1 - done / (s.epochs * len(rows)))
+            done += 1
+            mean = [sum(w * table[i][d] for i, w in zip(ids, share)) for d in range(s.dim)]
+            logits = [sum(x * m for x, m in zip(layer[c], mean)) for c in (0, 1)]
+            top = [np.exp(x - max(logits)) for x in logits]
+            slope = [t / sum(top) - (c == label) for c, t in enumerate(top)]
+            back = [sum(slope[c] * layer[c][d] for c in (0, 1)) for d in range(s.dim)]
+            for c in (0, 1):
+                layer[c] = [x - rate * slope[c] * m for x, m in zip(layer[c], mean)]
+            for i, w in zip(ids, share):
+                table[i] = [x - rate * w * len(ids) ** 0.5 * b for x, b in zip(table[i], back)]
+    return [sum(x * (b - a) for x, a, b in zip(row, *layer)) for row in table]
+
+
+def test_quality_training_is_plain_gradient_descent():
+    import pyarrow as pa
+
+    rng, s = random.Random(6), quality.Settings(bits=7, dim=3, epochs=3)
+    texts = [" ".join(rng.choice("ab cd efg hij ## $$".split()) for _ in range(rng.randint(1, 12))) for _ in range(25)]
+    rows = [(ids, share, k % 2) for k, (ids, share) in enumerate(quality.sparse(pa.array(texts), s.bits))]
+    assert np.allclose(quality.fit(rows, s), plain_fit(rows, s), atol=2e-5)
+
+
+def test_quality_score_is_the_mean_of_its_features(spark):
+    """score() against a sum over the listed features, each text alone, with columns of clashing names."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    model = rng.normal(0, 4, (1 << 9) + 1).astype(np.float32)
+    texts = ["", "a", "a a a b a", "é日 x\ny\tz", "the " * 4000, None, "two words", "two words"]
+    df = spark.createDataFrame([(k, t, "own", True) for k, t in enumerate(texts)], "doc_id long, text string, score string, held_out boolean").coalesce(1)
+    got = {r.doc_id: r.score for r in quality.score(df, model).collect()}
+    for k, t in enumerate(texts):
+        ids, share = next(iter(quality.sparse(pa.array([t or ""]), 9)))
+        assert abs(got[k] - 1 / (1 + np.exp(-float((share.astype(float) * model[ids]).sum())))) < 1e-4
+        words = (t or "").split()
+        assert len(ids) >= min(1, len(words)) + 1 and abs(share.sum() - 1) < 1e-5
+    assert quality.score(df, model).columns == ["doc_id", "text", "held_out", "score"]
+
+
 def brute(texts, items):
     def grams(h, n):
         return {tuple(h[k : k + n]) for k in range(len(h) - n + 1)}
