@@ -192,7 +192,8 @@ class ByteRange(InputPartition):
 
 
 class MediaSource(DataSource):
-    """``spark.read.format("media_archive")``; option ``manifest`` holds "uri\\tsize" lines, one an archive."""
+    """``spark.read.format("media_archive")``; option ``manifest`` holds "uri\\tsize" lines, one an archive,
+    and option ``manifest_file`` names a file of such lines."""
 
     @classmethod
     def name(cls) -> str:
@@ -207,7 +208,11 @@ class MediaSource(DataSource):
 
 class MediaReader(DataSourceReader):
     def __init__(self, options: dict):
-        lines = [x.rsplit("\t", 1) for x in options.get("manifest", "").split("\n") if x]
+        held = options.get("manifest", "")
+        if where := options.get("manifest_file"):
+            with open_input(where) as file:
+                held = file.read().decode()
+        lines = [x.rsplit("\t", 1) for x in held.split("\n") if x]
         self.files = [(uri, int(size)) for uri, size in lines]
         self.range = int(options.get("range_bytes", RANGE_BYTES))
 
@@ -251,8 +256,16 @@ class MediaReader(DataSourceReader):
 def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """key, n_bytes, media of every member.  The manifest is a row for each archive of tens of MB."""
     spark.dataSource.register(MediaSource)
-    lines = "\n".join(f"{r.archive}\t{r.bytes}" for r in manifest.orderBy("archive").toLocalIterator())
-    return spark.read.format("media_archive").option("manifest", lines).load()
+    source, out, where = spark.read.format("media_archive"), None, None
+    for r in manifest.orderBy("archive").toLocalIterator():
+        if out is None:
+            where = new_file(r.archive.rpartition("/")[0], ".manifest")
+            out = open_output(where)
+        out.write(f"{r.archive}\t{r.bytes}\n".encode())
+    if out is not None:
+        out.close()
+        source = source.option("manifest_file", where)
+    return source.load()
 
 
 # --- Features --------------------------------------------------------------------------------------
