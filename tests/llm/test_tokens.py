@@ -68,8 +68,25 @@ def test_unigram_counts(unigram_library, texts):
     assert counter.texts(texts) == [len(unigram_library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.text(st.sampled_from("ab theing▁ é\n€日<unk>語"), max_size=200))
+def test_unigram_long_words(unigram_library, text):
+    """A word worked off alone has the tokens it has among others."""
+    counter, word = unigram.counter(unigram.default_path()), ("▁" + text.replace(" ", "").replace("▁", "")).encode()
+    assert counter.long_word(word) == counter.together([word, b"x"])[0]
+
+
+def test_unigram_long_texts(unigram_library):
+    counter = unigram.counter(unigram.default_path())
+    texts = ["日本語の文章" * 900, "the" * 2000 + " of" + "\u20ac<unk>" * 700, "x" * 3000]
+    assert counter.texts(texts) == [len(unigram_library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_unigram_query(spark, unigram_library):
     df = spark.createDataFrame([(k, t, -1) for k, t in enumerate([None, *ODD])], "doc_id long, text string, n_tokens int")
+    got_of = lambda t: len(unigram_library.encode(t, add_special_tokens=False).ids)
     got = {r.doc_id: r.n_tokens for r in unigram.count_tokens(df).collect()}
     assert got == {k: len(unigram_library.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate([None, *ODD])}
     assert unigram.count_tokens(df.where("false")).count() == 0
+    twice = spark.createDataFrame([(5, "the word"), (5, "the word"), (None, "x" * 100_000)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.n_tokens) for r in unigram.count_tokens(twice).collect()) == sorted([("5", got_of("the word"))] * 2 + [("None", got_of("x" * 100_000))])
