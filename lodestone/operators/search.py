@@ -2,17 +2,18 @@
 
 The score of a document is the sum, over fields and query tokens, of the field's boost times BM25 with
 exact lengths.  Ties are broken by path everywhere.  Two forms give the same scores: over the documents
-themselves (two scans, no shuffle but of one row), and over stored postings (a join with the query's few tokens).
+themselves (one scan, no shuffle), and over stored postings (a join with the query's few tokens).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import analyze
+from lodestone.runtime import Scratch
 
 K1, B = 1.2, 0.75
 FIELDS = ("symbols", "basename", "content")
@@ -65,30 +66,34 @@ def _shifted(k: int) -> Column:
     return F.transform("positions", lambda p: p - k)
 
 
-def scan_scores(docs: DataFrame, tokens: dict[str, list[str]], boosts: dict[str, float], scope: str | None = None) -> DataFrame:
+def scan_scores(docs: DataFrame, tokens: dict[str, list[str]], boosts: dict[str, float], scope: str | None = None, scratch: Scratch | None = None) -> DataFrame:
     """relative_path, kind, score of every matching document, straight from the documents.
 
-    ``tokens`` has each field's query tokens.  Statistics are of all documents, the scope filters hits only.
+    ``tokens`` has each field's query tokens.  Statistics are of all documents, the scope filters hits only.  One
+    pass analyses the documents: it writes the counts of those that match, and observes the statistics on its way.
     """
     fields = [f for f in tokens if tokens[f]]
     if not fields:
         return docs.select("relative_path", "kind", F.lit(0.0).alias("score")).where("false")
+    terms = [(f, k) for f in fields for k in range(len(tokens[f]))]
     counted = docs.select("relative_path", "kind", *(ANALYZERS[f](F.col(f)).alias(f) for f in fields)).select(
         "relative_path", "kind",
         *(F.size(f).alias(f"len_{f}") for f in fields),
-        *(_frequency(f, t).alias(f"tf_{f}_{k}") for f in fields for k, t in enumerate(tokens[f])),
+        *(_frequency(f, tokens[f][k]).alias(f"tf_{f}_{k}") for f, k in terms),
     )
-    stats = counted.agg(
-        F.count(F.lit(1)).alias("n"), *(F.avg(f"len_{f}").alias(f"mean_{f}") for f in fields),
-        *(F.count_if(F.col(f"tf_{f}_{k}") > 0).alias(f"df_{f}_{k}") for f in fields for k in range(len(tokens[f]))),
+    seen = Observation()
+    observed = counted.observe(
+        seen, F.count(F.lit(1)).alias("n"), *(F.sum(f"len_{f}").alias(f"sum_{f}") for f in fields), *(F.count_if(F.col(f"tf_{f}_{k}") > 0).alias(f"df_{f}_{k}") for f, k in terms)
     )
+    hit = reduce(lambda a, b: a | b, [F.col(f"tf_{f}_{k}") > 0 for f, k in terms])
+    hits = (scratch or Scratch(docs.sparkSession, "scan")).table(observed.where(hit), "hits")
+    stats = seen.get
+    n = stats["n"]
     parts = [
-        F.when(F.col(f"tf_{f}_{k}") > 0, boosts[f] * bm25(F.col("n"), F.col(f"df_{f}_{k}"), F.col(f"tf_{f}_{k}"), F.col(f"len_{f}"), F.col(f"mean_{f}"))).otherwise(0.0)
-        for f in fields for k in range(len(tokens[f]))
+        F.when(F.col(f"tf_{f}_{k}") > 0, boosts[f] * bm25(F.lit(n), F.lit(stats[f"df_{f}_{k}"]), F.col(f"tf_{f}_{k}"), F.col(f"len_{f}"), F.lit((stats[f"sum_{f}"] or 0) / max(n, 1)))).otherwise(0.0)
+        for f, k in terms
     ]
-    hit = reduce(lambda a, b: a | b, [F.col(f"tf_{f}_{k}") > 0 for f in fields for k in range(len(tokens[f]))])
-    scored = scope_filter(counted, scope).where(hit).crossJoin(F.broadcast(stats))  # one row
-    return scored.select("relative_path", "kind", reduce(lambda a, b: a + b, parts).alias("score"))
+    return scope_filter(hits, scope).select("relative_path", "kind", reduce(lambda a, b: a + b, parts).alias("score"))
 
 
 def index_scores(post: DataFrame, stats: DataFrame, tokens: dict[str, list[str]], boosts: dict[str, float]) -> DataFrame:
