@@ -94,6 +94,10 @@ def test_media_round_trip(spark):
         assert z.testzip() is None
     empty = scratch.table(media.write_archives(df.where("false"), f"{scratch.path}/none"), "none")
     assert media.read_archives(spark, empty).count() == 0
+    again = spark.createDataFrame([(5, "one", b"k"), (5, "one", b"k"), (5, "two", b"k"), (None, "one", b"k")], "doc_id long, text string, key binary")
+    kept = scratch.table(media.write_archives(again, f"{scratch.path}/more"), "again")
+    found = media.media_digest(media.read_archives(spark, kept)).collect()
+    assert sorted((str(r.doc_id), r.n_bytes) for r in found) == [("5", 3)] * 3 + [("None", 3)] and len({r.media_sha256 for r in found}) == 2
 
 
 def test_png_refuses_damage():

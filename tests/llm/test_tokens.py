@@ -59,6 +59,9 @@ def test_bpe_queries(spark, byte_bpe):
     back = {r.doc_id: r for r in bpe.decode(bpe.encode(df)).collect()}
     assert all(back[k].decoded == (t or "") for k, t in enumerate(texts))
     assert bpe.round_trip_digest(df.where("false")).count() == 0
+    twice = spark.createDataFrame([(7, "it's", 1), (7, "it's", 1), (7, "other", 1), (None, "y" * 300_000, 1)], "doc_id long, text string, n_tokens int")
+    want = sorted((str(d), len(byte_bpe.encode(t, add_special_tokens=False).ids)) for d, t in ((7, "it's"), (7, "it's"), (7, "other"), (None, "y" * 300_000)))
+    assert sorted((str(r.doc_id), r.n_tokens) for r in bpe.round_trip_digest(twice).collect()) == want
 
 
 @settings(max_examples=60, deadline=None)
