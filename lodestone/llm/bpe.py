@@ -16,21 +16,22 @@ import hashlib
 import gc
 import heapq
 import json
-import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lodestone.llm.memory import lean
 
-#: Text handed to one run of the merge loop, in characters; the units remembered between runs.
-RUN_CHARS, CACHE_UNITS = 2 << 20, 200_000
+#: Text handed to one run of the merge loop, in characters.
+RUN_CHARS = 6 << 20
 
 #: The published split pattern of this vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -62,7 +63,8 @@ class Vocabulary:
             self.bytes_of[i] = bytes(to_byte[c] for c in token)
         for token, i in specials.items():
             self.bytes_of[i] = token.encode()
-        self.text_of = [str(i).encode() for i in range(self.size)]
+        self.text_of = pa.array([b"%d," % i for i in range(self.size)], pa.large_binary())
+        self.decoded = pa.array(self.bytes_of, pa.large_binary())
         self.specials = specials
         self.special_pattern = regex.compile("|".join(regex.escape(t) for t in sorted(specials, key=len, reverse=True))) if specials else None
         self.byte_ids = np.zeros(256, dtype=np.int32)
@@ -89,15 +91,13 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def merge_pieces(vocab: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all pieces after one another, and where each piece's ids begin (one more entry)."""
-    lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-    data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+def merge_pieces(vocab: Vocabulary, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all pieces (their bytes after one another, and the length of each), and where each piece's ids begin (one more entry)."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(len(pieces) + 1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(len(lengths) + 1, np.int64)
     symbol = vocab.byte_ids[data]
-    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
+    piece = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     after = np.arange(1, n + 1, dtype=np.int32)
     after[np.append(piece[1:] != piece[:-1], True)] = -1
     before = np.arange(-1, n - 1, dtype=np.int32)
@@ -154,68 +154,130 @@ def merge_pieces(vocab: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np
         back = before[at]
         file(np.concatenate([back[back >= 0], at[has]]))
     left = symbol >= 0
-    return symbol[left], np.searchsorted(piece[left], np.arange(len(pieces) + 1))
+    return symbol[left], np.searchsorted(piece[left], np.arange(len(lengths) + 1))
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All positions of runs given by start and length, one run after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Units:
+    """The distinct units of a stretch of texts: the ids of unit k are ``ids[bounds[k] : bounds[k + 1]]``."""
+
+    def __init__(self, ids: np.ndarray, bounds: np.ndarray):
+        self.ids, self.bounds = ids, bounds
+
+    def __getitem__(self, k: int) -> list[int]:
+        return self.ids[self.bounds[k] : self.bounds[k + 1]].tolist()
+
+    def joined(self, token_bytes: pa.LargeBinaryArray, units: np.ndarray, ends: np.ndarray) -> tuple[memoryview, list[int]]:
+        """The bytes of the tokens of ``units``, and where in them the units before each of ``ends`` end."""
+        offsets, data = _buffers(token_bytes.take(pa.array(self.ids)))
+        own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.bounds) - 1, [None, pa.py_buffer(offsets[self.bounds].tobytes()), pa.py_buffer(data)])
+        offsets, data = _buffers(own.take(pa.array(units)))
+        return data, offsets[ends].tolist()
+
+
+def _buffers(column: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Offsets (one more than values) and bytes of a large string or binary array."""
+    _, offsets, data = column.buffers()
+    if offsets is None or not offsets.size:
+        return np.zeros(1, np.int64), memoryview(b"")
+    offsets = np.frombuffer(offsets, np.int64, count=len(column) + 1, offset=8 * column.offset)
+    return offsets, memoryview(data if data is not None else b"")
 
 
 class Encoder:
-    """Encodes texts a stretch at a time; keeps the tokens of the units seen so far.
+    """Encodes texts a stretch at a time.
 
     A unit is what stands between two spaces, with the space before it.  Where no space has white
     space after it, units split exactly at pre-token borders, so a text is its units' tokens after one
-    another.  Other texts are one unit, not remembered.
+    another.  The units of other texts are their pre-tokens and special tokens.
     """
 
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
         self.find = regex.compile(PATTERN).findall
         self.odd = re.compile(r" (?:\s|\Z)").search
-        self.mark = os.path.commonprefix(list(self.vocab.specials))
-        self.known: dict[str, list[int]] = {}
+        self.known = Units(np.zeros(0, np.int64), np.zeros(1, np.int64))
 
-    def split(self, text: str) -> list[str]:
-        """The units of a text without the space before them; the first, with none, is marked by one."""
-        special = self.vocab.special_pattern
-        if not text or self.odd(text) or (special is not None and special.search(text)):
-            return [" " + text] if text else []
-        units = text.split(" ")
-        units[0] = " " + units[0]
-        return units
-
-    def pieces(self, unit: str) -> list[str | int]:
-        """The pre-tokens of a unit; a special token stands as its id."""
+    def pieces(self, unit: str) -> list[str]:
+        """The pre-tokens of a unit, which comes without the space before it; the first of a text, with none, is marked by one."""
         if unit.isalpha():
             return [" " + unit]
         if unit[:-1].isalpha() and unit[-1] in ".,":
             return [" " + unit[:-1], unit[-1]]
-        unit = unit[1:] if unit.startswith(" ") else " " + unit
+        return self.find(unit[1:] if unit.startswith(" ") else " " + unit)
+
+    def odd_pieces(self, text: str) -> list[str | int]:
+        """The pre-tokens of a whole text; a special token stands as its id."""
         special = self.vocab.special_pattern
-        if special is None or self.mark not in unit or not (found := special.search(unit)):
-            return self.find(unit)
         out, at = [], 0
-        while found:
-            out += [*self.find(unit[at : found.start()]), self.vocab.specials[found[0]]]
+        for found in special.finditer(text) if special is not None else ():
+            out += [*self.find(text[at : found.start()]), self.vocab.specials[found[0]]]
             at = found.end()
-            found = special.search(unit, at)
-        return out + self.find(unit[at:])
-
-    def encode(self, texts: list[str]) -> tuple[list[list[str]], list[str]]:
-        """Each text as its units, and the units met for the first time; ``known`` then has the ids of all."""
-        if len(self.known) > CACHE_UNITS:
-            self.known = {}
-        gc.disable()  # millions of small lists and no cycles
+        return out + self.find(text[at:])
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], Units]:
+        """Each text as numbers of its units, and the units; ``known`` is the units of the last call."""
+        special = self.vocab.special_pattern
+        odd = [bool(self.odd(t)) or (special is not None and special.search(t) is not None) for t in texts]
+        split = pc.split_pattern(pa.array([t for t, o in zip(texts, odd, strict=True) if t and not o], pa.large_string()), " ")
+        flat, offsets = split.values, split.offsets.to_numpy()
+        if len(flat):
+            heads, none = np.zeros(len(flat), dtype=bool), pa.scalar("", pa.large_string())
+            heads[offsets[:-1]] = True
+            flat = pc.replace_with_mask(flat, pa.array(heads), pc.binary_join_element_wise(none, flat.filter(pa.array(heads)), pa.scalar(" ", pa.large_string())))
+        coded = flat.dictionary_encode()
+        index = coded.indices.to_numpy()
+        gc.disable()  # many small lists and no cycles
         try:
-            rows = [self.split(t) for t in texts]
-            fresh = list(set().union(*rows).difference(self.known))
-            parts = [self.pieces(u) for u in fresh]
-            distinct = list({p for own in parts for p in own if isinstance(p, str)})
-            ids, bounds = merge_pieces(self.vocab, [p.encode() for p in distinct])
-            ids, bounds = ids.tolist(), bounds.tolist()
-            of = {p: ids[bounds[k] : bounds[k + 1]] for k, p in enumerate(distinct)}
-            for u, own in zip(fresh, parts, strict=True):
-                self.known[u] = of[own[0]] if len(own) == 1 and isinstance(own[0], str) else [i for p in own for i in (of[p] if isinstance(p, str) else (p,))]
+            parts = [self.pieces(u) for u in coded.dictionary.to_pylist()]
+            sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+            pieces = [p for own in parts for p in own]
+            del parts
+            whole = [self.odd_pieces(t) if o else () for t, o in zip(texts, odd, strict=True)]
+            met = list(dict.fromkeys(p for own in whole for p in own))
+            strings, specials = [p for p in met if isinstance(p, str)], [p for p in met if not isinstance(p, str)]
+            number = {p: len(sizes) + k for k, p in enumerate([*strings, *specials])}
         finally:
             gc.enable()
-        return rows, fresh
+        distinct = pa.array(pieces + strings, pa.large_string()).dictionary_encode()
+        which = distinct.indices.to_numpy()
+        begin, data = _buffers(distinct.dictionary)
+        ids, bounds = merge_pieces(self.vocab, np.frombuffer(data, np.uint8, count=int(begin[-1])), np.diff(begin))
+        lengths = np.diff(bounds)[which]
+        ids = np.concatenate([ids[spread(bounds[which], lengths)], np.array(specials, np.int64)])
+        ends = np.concatenate([np.cumsum(sizes), len(pieces) + np.arange(1, len(strings) + 1)])
+        bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])[np.append(0, ends).astype(np.int64)]
+        bounds = np.concatenate([bounds, bounds[-1] + np.arange(1, len(specials) + 1)])
+        self.known = Units(ids, bounds)
+        rows, plain = [], 0
+        for t, o, own in zip(texts, odd, whole, strict=True):
+            if o or not t:
+                rows.append(np.array([number[p] for p in own], np.int64))
+            else:
+                rows.append(index[offsets[plain] : offsets[plain + 1]])
+                plain += 1
+        return rows, self.known
+
+
+def gathered(batches: Iterator[pa.RecordBatch], text: str, most: int = RUN_CHARS) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, small batches joined up to ``most`` bytes of text and large ones cut."""
+    held, size = [], 0
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            own = pc.sum(pc.binary_length(part.column(text))).as_py() or 0
+            if held and size + own > most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += own
+    if held:
+        yield pa.concat_batches(held)
 
 
 def stretches(column: pa.Array | list, most: int = RUN_CHARS) -> Iterator[list[str]]:
@@ -244,14 +306,14 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for batch in batches:
+        for batch in gathered(batches, text):
             lo = 0
             for part in stretches(batch.column(text)):
-                rows, _ = encoder.encode(part)
-                flat = [[i for u in r for i in encoder.known[u]] for r in rows]
-                ends = np.cumsum([0, *map(len, flat)])
-                values = pa.array([i for r in flat for i in r], pa.int32())
-                column = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+                rows, known = encoder.encode(part)
+                units = np.concatenate(rows)
+                begin, sizes = known.bounds[units], np.diff(known.bounds)[units]
+                ends = np.append(0, np.cumsum(sizes))[np.cumsum([0, *map(len, rows)])]
+                column = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(known.ids[spread(begin, sizes)].astype(np.int32)))
                 own = batch.slice(lo, len(part))
                 yield pa.RecordBatch.from_arrays([*own.columns, column], names=[*own.schema.names, ids])
                 lo += len(part)
@@ -288,24 +350,17 @@ def round_trip_digest(df: DataFrame, text: str = "text", keep: tuple[str, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        digits, token_bytes = encoder.vocab.text_of, encoder.vocab.bytes_of
-        cached: dict[str, tuple[int, bytes, bytes]] = {}
-        for batch in batches:
+        vocab = encoder.vocab
+        for batch in gathered(batches, text):
             counts, ids_sha, text_sha = [], [], []
             for part in stretches(batch.column(text)):
-                rows, fresh = encoder.encode(part)
-                if len(cached) > len(encoder.known):
-                    cached = {}
-                for u in fresh:
-                    own = encoder.known[u]
-                    encoder.known[u] = None  # known, and from here on by its digest alone
-                    cached[u] = len(own), b",".join([digits[i] for i in own]), b"".join([token_bytes[i] for i in own])
-                for row in rows:
-                    own = [cached[u] for u in row]
-                    counts.append(sum([x[0] for x in own]))
-                    ids_sha.append(hashlib.sha256(b",".join([x[1] for x in own])).hexdigest())
-                    raw = b"".join([x[2] for x in own]).decode("utf-8", errors="replace")
-                    text_sha.append(hashlib.sha256(raw.encode()).hexdigest())
+                rows, known = encoder.encode(part)
+                units, ends = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+                counts += np.diff(np.append(0, np.cumsum(np.diff(known.bounds)[units]))[ends]).tolist()
+                data, at = known.joined(vocab.text_of, units, ends)
+                ids_sha += [hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in pairwise(at)]  # without the last comma
+                data, at = known.joined(vocab.decoded, units, ends)
+                text_sha += [hashlib.sha256(str(data[a:b], "utf-8", "replace").encode()).hexdigest() for a, b in pairwise(at)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
                 names=[f.name for f in schema.fields],
