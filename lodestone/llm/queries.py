@@ -94,6 +94,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_session_merging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version of every session of the turns of conversations, with the version that retracts it."""
+    from lodestone.llm import sessions
+
+    turns = read_table(spark, sf_dir, "conversations").where("turn is not null").select("conv_id", "turn")
+    checksum = lambda text: F.crc32(F.encode(text, "UTF-8"))
+    turns = turns.withColumn("c", checksum(F.col("conv_id").cast("string"))).withColumn("h", checksum(F.concat("conv_id", F.lit(":"), "turn")))
+    turns = turns.withColumn("second", F.expr("(c div 2) % 7200 + 300 * turn + h % 600")).withColumn("g", F.expr("h div 600"))
+    user = F.expr("2 * ((conv_id - pmod(conv_id, 8L)) div 8) + c % 2").alias("user")
+    batch = F.expr("(second - pmod(second, 1800L)) div 1800 + if(g % 3 = 0, g % 4, 0)").alias("batch")
+    return sessions.session_versions(turns.select(user, "second", batch, "h"), Scratch(spark, "op11"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document; of every tenth, by a checksum of its id, the words are made periodic first."""
     from lodestone.llm import periodic
@@ -127,8 +140,11 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_session_merging": op11_session_merging,
     "op12_periodic_runs": op12_periodic_runs,
 }
+_CRC32_SQL = """xor(4294967295, list_reduce(list_concat(list_value(4294967295::bigint), list_transform(range(8 * length({0})), lambda i: ((ascii({0}[(i // 8)::int + 1]) >> (i % 8)::int) & 1)::bigint)),
+  lambda x, bit: xor(x >> 1, 3988292384 * (xor(x, bit) & 1))))"""
 _WORDS_SQL = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 #: Where SQL can express an operator.  The others are tested against brute force, the public library or exact round trips.
@@ -158,4 +174,15 @@ gone as (select distinct doc_id, i + o as p from again, range(0, 20) t(o)),
 words as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as p from w),
 kept as (select doc_id, string_agg(word, ' ' order by p) as kept, count(*) as n from words anti join gone using (doc_id, p) group by doc_id)
 select w.doc_id, len(ws)::bigint as n_words, len(ws)::bigint - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join kept using (doc_id)""",
+    "op11_session_merging": f"""
+with t as (select conv_id, turn, {_CRC32_SQL.format("(conv_id::varchar)")} as c, {_CRC32_SQL.format("(conv_id::varchar || ':' || turn::varchar)")} as h from conversations where turn is not null and conv_id is not null),
+s as (select 2 * floor(conv_id / 8.0)::bigint + c % 2 as user, (c // 2) % 7200 + 300 * turn + h % 600 as second, h // 600 as g, h from t),
+e as (select user, second, floor(second / 1800.0)::bigint + case when g % 3 = 0 then g % 4 else 0 end as batch, h from s),
+b as (select distinct user, batch as snap from e),
+a as (select e.user, snap, second, batch, h, case when second - lag(second) over (partition by e.user, snap order by second) <= 240 then 0 else 1 end as opens from e join b on b.user = e.user and batch <= snap),
+n as (select *, sum(opens) over (partition by user, snap order by second rows unbounded preceding) as k from a),
+v as (select user, snap as batch, min(second) as start_s, max(second) as end_s, count(*) as n_events, count(*) filter (batch = snap) as n_new, sum(h)::bigint as h_sum from n group by user, snap, k having n_new > 0),
+r as (select o.user, o.batch, o.start_s, min(w.batch) as retracted_batch, arg_min(w.start_s, w.batch) as retracted_start_s from v o join v w on w.user = o.user and w.batch > o.batch and w.start_s <= o.start_s and w.end_s >= o.end_s group by all)
+select v.user, v.batch, v.start_s, v.end_s, v.n_events, v.n_new, (select count(*) from r x where x.user = v.user and x.retracted_batch = v.batch and x.retracted_start_s = v.start_s) as n_retracted,
+v.h_sum, r.retracted_batch, r.retracted_start_s from v left join r on r.user = v.user and r.batch = v.batch and r.start_s = v.start_s""",
 }
