@@ -113,10 +113,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")).alias("h"))
     words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    split = documents.where("h % 10 = 0").withColumn("words", words).withColumn("n", F.size("words").cast("long"))
-    split = split.withColumn("g", F.expr("h div 10")).withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
-    at = F.expr("transform(sequence(0L, n - 1), i -> words[int(if(i < a, i, a + (i - a) % p))])")
-    planted = split.select("doc_id", F.when(F.col("n") > 0, F.array_join(at, " ")).otherwise(F.col("text")).alias("text"))
+    # the words go through a lambda variable, so that they are split once and not again for each word
+    numbers = F.transform(F.array(words), lambda ws: F.struct(ws.alias("ws"), F.size(ws).cast("long").alias("n"), F.expr("h div 10").alias("g")))
+    places = F.transform(numbers, lambda x: F.struct(x["ws"].alias("ws"), x["n"].alias("n"), (x["g"] % x["n"]).alias("a"), F.floor((x["n"] - x["g"] % x["n"]) / (3 + x["g"] % 8) + 1).alias("p")))
+    at = lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["n"] - 1), lambda i: x["ws"][F.when(i < x["a"], i).otherwise(x["a"] + (i - x["a"]) % x["p"]).cast("int")])
+    made = F.transform(places, lambda x: F.array_join(at(x), " "))[0]
+    wordless = ~F.coalesce(F.regexp_like("text", F.lit("[^\\x20\\x09-\\x0D]")), F.lit(False))
+    planted = documents.where("h % 10 = 0").select("doc_id", F.when(wordless, F.col("text")).otherwise(made).alias("text"))
     plain = documents.where("h % 10 <> 0 or h is null").select("doc_id", "text")
     found = periodic.find_runs(plain.union(planted))
     best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
@@ -129,6 +132,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every row whose vec_id is divisible by 20, among all other rows."""
+    from lodestone.llm import forest
+
+    return forest.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scratch=Scratch(spark, "op13"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_line_dedup": op2_line_dedup,
@@ -142,6 +152,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_session_merging": op11_session_merging,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_hash_forest": op13_hash_forest,
 }
 _CRC32_SQL = """xor(4294967295, list_reduce(list_concat(list_value(4294967295::bigint), list_transform(range(8 * length({0})), lambda i: ((ascii({0}[(i // 8)::int + 1]) >> (i % 8)::int) & 1)::bigint)),
   lambda x, bit: xor(x >> 1, 3988292384 * (xor(x, bit) & 1))))"""
