@@ -17,3 +17,5 @@ IMPORTS = _struct(("relative_path", S), ("extension", S), ("specifier", S), ("ki
 EDGES = _struct(("src", S), ("dst", S))
 MANIFEST = _struct(("relative_path", S), ("content_hash", S))
 FS_EVENTS = _struct(("ts", T.TimestampType()), ("root", S), ("path", S), ("kind", S))
+#: kind ``path``: a path of a burst that has ended; kind ``pending``: how many paths of the root wait now.
+LIVE = _struct(("root", S), ("kind", S), ("begin", T.TimestampType()), ("end", T.TimestampType()), ("path", S), ("n_events", L), ("pending", L))
