@@ -8,13 +8,12 @@ the alignment by their longest common order, and the stretches between are align
 common blocks of at least ``min_block_chars`` characters are deleted from the later document; what is
 left meets the next partner.
 
-That pass meets one holder a line.  With ``every_holder`` a document meets its partners until none takes
-a line, and then all other earlier documents that can take one: those that hold a window (a least run of
-consecutive lines of ``min_block_chars`` characters) of what is left.  Every block that can be deleted
-holds such a window, so no holder is missed.  Holders that look alike on the lines still asked for, with
-every run of other lines between them as one mark, align alike; the earliest stands for all of them, so
-a hot line costs as many alignments as it has kinds of holders.  Rounds go on with the documents that
-lost lines, since what is left of those may have new windows.
+That pass meets one holder a line.  With ``every_holder`` nothing is left that an earlier document has.  A window is a
+least run of consecutive lines of ``min_block_chars`` characters; every block that can be deleted holds one.  While a
+document has windows left that stand in an earlier one, it is aligned with the earliest holder of each, and windows
+that this leaves (crossed with other blocks) are then aligned alone, as runs of their own.  So each window asks for
+one holder, and a hot line costs one alignment for each of its documents, however many kinds of holders it has.
+Rounds go on with the documents that lost lines, since what is left of those may have new windows.
 
 Lines end at line feeds and are compared without spaces, tabs and carriage returns at their ends;
 blank lines are neither compared nor counted, and go only with the last other line of a document.
@@ -41,7 +40,6 @@ from lodestone.runtime import Scratch
 MIN_BLOCK_CHARS = 30
 KEY_BYTES = 16
 NO_ID = -(1 << 63)
-OTHER = bytes(KEY_BYTES)  # stands for a run of lines that are not asked for
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -64,6 +62,16 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _occurrences(items: Sequence, lo: int, hi: int) -> dict[tuple, int]:
+    """Positions in order, by item and how many equal ones come before it."""
+    seen: Counter = Counter()
+    out = {}
+    for k in range(lo, hi):
+        out[items[k], seen[items[k]]] = k
+        seen[items[k]] += 1
+    return out
+
+
 def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     """Aligned positions of equal items, rising on both sides."""
     found: list[tuple[int, int]] = []
@@ -81,6 +89,10 @@ def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
         count_a, count_b = Counter(a[i:i_end]), Counter(b[j:j_end])
         where = {b[k]: k for k in range(j, j_end) if count_b[b[k]] == 1}
         anchors = _rising([(k, where[a[k]]) for k in range(i, i_end) if count_a[a[k]] == 1 and a[k] in where])
+        if not anchors:
+            # lines that repeat on both sides: the k-th on one side anchors with the k-th on the other
+            places = _occurrences(b, j, j_end)
+            anchors = _rising([(x, places[item]) for item, x in _occurrences(a, i, i_end).items() if item in places])
         if not anchors:
             continue
         for x, y in anchors:
@@ -116,8 +128,8 @@ def delete_common(own: list, sizes: list[int], alive: list[int], other: list, le
     return [k for k in alive if k not in gone] if gone else alive
 
 
-def windows(keys: Sequence[bytes], sizes: Sequence[int], least: int) -> Iterator[bytes]:
-    """Digests of the least runs of consecutive lines, from each line on, that have ``least`` characters."""
+def window_spans(keys: Sequence[bytes], sizes: Sequence[int], least: int) -> Iterator[tuple[int, int, bytes]]:
+    """(begin, end, digest) of the least runs of consecutive lines, from each line on, that have ``least`` characters."""
     end = chars = 0
     for k in range(len(keys)):
         while end < len(keys) and (end == k or chars < least):
@@ -125,53 +137,49 @@ def windows(keys: Sequence[bytes], sizes: Sequence[int], least: int) -> Iterator
             end += 1
         if chars < least:
             return
-        yield md5(b"".join(keys[k:end])).digest()
+        yield k, end, md5(b"".join(keys[k:end])).digest()
         chars -= sizes[k]
 
 
-def reduced(keys: Sequence[bytes], wanted: set[bytes]) -> list[bytes]:
-    """The wanted lines in order, with every run of others as one mark; aligns like the whole."""
-    out: list[bytes] = []
-    for x in keys:
-        if x in wanted:
-            out.append(x)
-        elif not out or out[-1] != OTHER:
-            out.append(OTHER)
-    return out
+def windows(keys: Sequence[bytes], sizes: Sequence[int], least: int) -> list[bytes]:
+    """The distinct digests of :func:`window_spans`."""
+    return list(dict.fromkeys(w for _, _, w in window_spans(keys, sizes, least)))
 
 
 def split_keys(raw: bytes) -> list[bytes]:
     return [raw[k : k + KEY_BYTES] for k in range(0, len(raw), KEY_BYTES)]
 
 
-STATE = "id long, mark long, gone binary, changed boolean, kept binary, windows array<binary>"
+STATE = "id long, mark long, gone binary, changed boolean, windows array<binary>"
+_KINDS = {"id": pa.int64(), "mark": pa.int64(), "gone": pa.binary(), "changed": pa.bool_(), "windows": pa.list_(pa.binary())}
+
+
+def _alive(own: list[bytes], lost: bytes | None) -> list[int]:
+    """Positions that are left, from a bit for each that is lost."""
+    return np.flatnonzero(np.unpackbits(np.frombuffer(lost or bytes(len(own)), np.uint8), count=len(own)) == 0).tolist()
+
+
+def _state(own: list[bytes], sizes: list[int], alive: list[int], before: int, least: int, with_windows: bool) -> tuple:
+    """gone, changed and windows of a document."""
+    flags = np.ones(len(own), dtype=np.uint8)
+    flags[alive] = 0
+    gone = np.packbits(flags).tobytes() if len(alive) < len(own) else None
+    return gone, len(alive) < before, windows([own[k] for k in alive], [sizes[k] for k in alive], least) if with_windows else []
+
+
+def _states(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_KINDS)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _KINDS.values(), strict=True)], names=list(_KINDS))
 
 
 def _align(batches: Iterator[pa.RecordBatch], least: int, every_holder: bool) -> Iterator[pa.RecordBatch]:
     """Rows sorted by document, its own lines first, then its partners': what is removed and what is left."""
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.binary(), pa.list_(pa.binary())]
-    key, own, sizes, alive, before, others, last = None, [], [], [], 0, [], None
+    key, own, sizes, alive, before, last = None, [], [], [], 0, None
     out: list[tuple] = []
 
     def close() -> None:
-        nonlocal alive
-        if key is None:
-            return
-        was = before if others else len(alive)
-        while alive and len(alive) < was:
-            was = len(alive)
-            for lines in others:
-                alive = delete_common(own, sizes, alive, lines, least)
-        flags = np.ones(len(own), dtype=np.uint8)
-        flags[alive] = 0
-        gone = np.packbits(flags).tobytes() if len(alive) < len(own) else None
-        left = [own[k] for k in alive] if every_holder else []
-        seen = list(dict.fromkeys(windows(left, [sizes[k] for k in alive], least))) if left else []
-        out.append((*key, gone, len(alive) < before, b"".join(left) if seen else b"", seen))
-
-    def batch_of() -> pa.RecordBatch:
-        rows = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=["id", "mark", "gone", "changed", "kept", "windows"])
+        if key is not None:
+            out.append((*key, *_state(own, sizes, alive, before, least, every_holder)))
 
     for batch in batches:
         for i, mark, turn, keys, chars, lost, *partner in zip(*(batch.column(c) for c in ("id", "mark", "turn", "keys", "chars", "lost", "other", "other_mark")), strict=True):
@@ -179,48 +187,43 @@ def _align(batches: Iterator[pa.RecordBatch], least: int, every_holder: bool) ->
                 if (i.as_py(), mark.as_py()) == key:
                     continue  # an equal row
                 close()
-                key, own, sizes, others = (i.as_py(), mark.as_py()), split_keys(keys.as_py()), chars.as_py(), []
-                flags = np.unpackbits(np.frombuffer(lost.as_py() or bytes(len(own)), np.uint8), count=len(own))
-                alive = np.flatnonzero(flags == 0).tolist()
+                key, own, sizes = (i.as_py(), mark.as_py()), split_keys(keys.as_py()), chars.as_py()
+                alive = _alive(own, lost.as_py())
                 before, last = len(alive), None
             elif alive:
                 met = (partner[0].as_py(), partner[1].as_py(), keys.as_py())
                 if met == last:
                     continue  # an equal row of the partner
                 last = met
-                lines = split_keys(keys.as_py())
-                alive = delete_common(own, sizes, alive, lines, least)
-                if every_holder:
-                    lines = reduced(lines, {own[k] for k in alive})
-                    if lines != [OTHER]:
-                        others.append(lines)
+                alive = delete_common(own, sizes, alive, split_keys(keys.as_py()), least)
         if len(out) > 5000:
-            yield batch_of()
+            yield _states(out)
             out.clear()
     close()
-    yield batch_of()
+    yield _states(out)
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """The distinct windows of whole documents."""
     for batch in batches:
-        seen = [list(dict.fromkeys(windows(split_keys(k.as_py()), c.as_py(), least))) for k, c in zip(batch.column("keys"), batch.column("chars"), strict=True)]
+        seen = [windows(split_keys(k.as_py()), c.as_py(), least) for k, c in zip(batch.column("keys"), batch.column("chars"), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(seen, pa.list_(pa.binary()))], names=["id", "mark", "windows"])
 
 
-def _class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each holder reduced to the lines asked for, which come as (at, line) with the number of all lines."""
+def _cut_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, mark, keys, chars, gone, open) without the runs whose windows are open, each aligned alone."""
     for batch in batches:
-        raws = []
-        for size, found in zip(batch.column("size"), batch.column("found"), strict=True):
-            keys, end = [], 0
-            for at, line in sorted((x["at"], x["line"]) for x in found.as_py()):
-                keys += [OTHER] * (at > end) + [line]
-                end = at + 1
-            raws.append(b"".join(keys + [OTHER] * (size.as_py() > end)))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("mark"), pa.array([md5(r).digest() for r in raws], pa.binary()), pa.array(raws, pa.binary())], names=["id", "mark", "class", "keys"]
-        )
+        out = []
+        for i, mark, keys, chars, lost, wanted in zip(*(batch.column(c) for c in ("id", "mark", "keys", "chars", "gone", "open")), strict=True):
+            own, sizes, asked = split_keys(keys.as_py()), chars.as_py(), set(wanted.as_py())
+            alive = _alive(own, lost.as_py())
+            cut: set[int] = set()
+            for lo, hi, window in window_spans([own[k] for k in alive], [sizes[k] for k in alive], least):
+                if window in asked:
+                    cut.update(alive[lo:hi])
+            left = [k for k in alive if k not in cut]
+            out.append((i.as_py(), mark.as_py(), *_state(own, sizes, left, len(alive), least, True)))
+        yield _states(out)
 
 
 def _join(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
@@ -241,37 +244,31 @@ def _aligned(rows: DataFrame, theirs: DataFrame, who: DataFrame, lost: DataFrame
 
 
 def _other_holders(rows: DataFrame, state: DataFrame, scratch: Scratch, least: int) -> DataFrame:
-    """``state`` after alignment with every other earlier holder, in rounds until no document loses a line."""
-    whole = scratch.table(rows.mapInArrow(lean(lambda it: _window_rows(it, least)), "id long, mark long, windows array<binary>").select("id", "mark", F.explode("windows").alias("window")), "windows")
+    """``state`` without what any earlier document has, in rounds until no window of what is left stands earlier."""
+    whole = rows.mapInArrow(lean(lambda it: _window_rows(it, least)), "id long, mark long, windows array<binary>").select("id", "mark", F.explode("windows").alias("window"))
     # windows of one holder too: lines of a later document may have come together by what it lost
-    firsts = scratch.table(whole.groupBy("window").agg(F.min("id").alias("first")), "first-windows")  # so that the join with a hot window is plain and AQE can split it
+    firsts = scratch.table(whole.groupBy("window").agg(F.min(F.struct("id", "mark")).alias("first")), "first-windows")  # so that the join with a hot window is plain and AQE can split it
     single = rows.dropDuplicates(["id", "mark"])
     states, todo, turn = [state.withColumn("turn", F.lit(0))], state, 0
     while True:
         turn += 1
-        left = _join(todo.select("id", "mark", F.explode("windows").alias("window")), firsts, "window").where("id > first").select("id", "mark", "window")
-        left = scratch.table(left, f"open-{turn}")
+        left = _join(todo.select("id", "mark", F.explode("windows").alias("window")), firsts, "window").where("id > first.id")
+        left = scratch.table(left.select("id", "mark", "window", "first"), f"open-{turn}")
         if left.isEmpty():
             break
-        opened = _join(todo, left.select("id", "mark").distinct(), ["id", "mark"], "left_semi")
-        width = 2 * KEY_BYTES
-        cut = lambda hexed, n: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.unhex(F.substring(hexed, k * width + 1, F.lit(width))))
-        asked = opened.select(F.explode(cut(F.hex("kept"), (F.length("kept") / KEY_BYTES).cast("int"))).alias("line")).distinct()
-        asked = scratch.table(asked, f"asked-{turn}")
-        wanted = scratch.table(left.select("window").distinct(), f"wanted-{turn}")
-        held = scratch.table(_join(whole, wanted, "window", "left_semi"), f"held-{turn}")
-        holders = _join(single, held.select("id", "mark").distinct(), ["id", "mark"], "left_semi")
-        spread = holders.select("id", "mark", F.size("chars").alias("size"), F.posexplode(cut(F.hex("keys"), F.size("chars"))).alias("at", "line"))
-        found = scratch.table(_join(spread, asked, "line"), f"found-{turn}")
-        seen = found.groupBy("id", "mark", "size").agg(F.collect_list(F.struct("at", "line")).alias("found"))
-        looks = scratch.table(seen.mapInArrow(lean(_class_rows), "id long, mark long, class binary, keys binary"), f"looks-{turn}")
-        classes = scratch.table(looks.groupBy("class").agg(F.min("id").alias("first"), F.first("keys").alias("keys")), f"classes-{turn}")
-        kinds = scratch.table(_join(held, looks.select("id", "mark", "class"), ["id", "mark"]).select("window", "class").distinct(), f"kinds-{turn}")
-        pairs = scratch.table(_join(left, kinds, "window").select("id", "mark", "class").distinct(), f"pairs-{turn}")
-        theirs = _join(pairs, classes, "class").where("id > first").select("id", "mark", F.lit(0).cast("long").alias("turn"), F.col("first").alias("other"), F.lit(0).cast("long").alias("other_mark"), "keys")
-        done = scratch.table(_aligned(rows, theirs, opened, opened, least, True), f"aligned-{turn}")
+        if turn % 2:  # with the earliest holder of each window
+            opened = _join(todo, left.select("id", "mark").distinct(), ["id", "mark"], "left_semi")
+            pairs = left.select("id", "mark", F.col("first.id").alias("other"), F.col("first.mark").alias("other_mark")).distinct()
+            partner = rows.select(F.col("id").alias("other"), F.col("mark").alias("other_mark"), "keys")
+            theirs = _join(pairs, partner, ["other", "other_mark"]).select("id", "mark", F.lit(0).cast("long").alias("turn"), "other", "other_mark", "keys")
+            done = scratch.table(_aligned(rows, theirs, opened, opened, least, True), f"aligned-{turn}")
+            todo = done
+        else:  # windows that are left, alone
+            asked = left.groupBy("id", "mark").agg(F.collect_list("window").alias("open"))
+            mine = _join(_join(single.select("id", "mark", "keys", "chars"), todo.select("id", "mark", "gone"), ["id", "mark"]), asked, ["id", "mark"])
+            done = scratch.table(mine.mapInArrow(lean(lambda it: _cut_rows(it, least)), STATE), f"cut-{turn}")
+            todo = done.where("changed")
         states.append(done.withColumn("turn", F.lit(turn)))
-        todo = done.where("changed")
     out = states[0]
     for more in states[1:]:
         out = out.union(more)

@@ -257,3 +257,53 @@ def test_line_dedup_meets_every_holder(spark):
             if e < d:
                 alive = list(range(len(left)))
                 assert lines.delete_common(left, list(map(len, left)), alive, real[e], lines.MIN_BLOCK_CHARS) == alive, (d, e)
+
+
+def longest_common_run(a, b):
+    """Characters of the longest run of lines that is unbroken in both, by the plain table."""
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0, *(row[j] + len(x) if x == b[j] else 0 for j in range(len(b)))]
+        best = max(best, *row)
+    return best
+
+
+def test_line_dedup_of_a_hot_line_costs_a_row_a_document(spark, tmp_path):
+    """Documents with own lines around one repeated line: the line goes, and no table grows with the pairs."""
+    from lodestone.runtime import Scratch
+
+    hot = "one line of forty-nine characters, in all of them"
+    n = 300
+    rows = [(d, f"a{d}\n{hot}\nb{d}\nc{d}\n{hot}\nd{d}") for d in range(n)]
+    scratch = Scratch(spark, "hot-line")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.text for r in lines.dedup_lines(df, scratch, every_holder=True).collect()}
+    assert got == {0: rows[0][1], **{d: f"a{d}\nb{d}\nc{d}\nd{d}" for d in range(1, n)}}
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(scratch.path)
+    for status in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder):
+        assert spark.read.parquet(status.getPath().toString()).count() <= 7 * n, status.getPath().getName()
+
+
+def test_line_dedup_leaves_no_common_run(spark):
+    """Against all earlier documents by a plain table of common runs; lines from a small pool repeat and cross."""
+    rng = random.Random(21)
+    pool = [f"{'xyz'[k % 3] * rng.randint(3, 20)} {k}" for k in range(14)]
+    rows = [(d, "\n".join(rng.choice(pool) if rng.random() < 0.7 else f"own {d} {k}" for k in range(rng.randint(0, 16)))) for d in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    kept = {r.doc_id: r.text.split("\n") if r.text else [] for r in lines.dedup_lines(df, every_holder=True).collect()}
+    real = {d: t.split("\n") if t else [] for d, t in rows}
+    removed = 0
+    for d, own in real.items():
+        gone = Counter(own) - Counter(kept[d])
+        removed += sum(gone.values())
+        assert all(any(x in real[e] for e in range(d)) for x in gone)
+        assert all(longest_common_run(kept[d], real[e]) < lines.MIN_BLOCK_CHARS for e in range(d))
+        at = iter(own)
+        assert all(x in at for x in kept[d])  # in the old order
+    assert removed > 100 and kept[0] == real[0]
+
+
+def test_patience_numbers_lines_that_repeat():
+    assert lines.patience("aXbcXd", "pXqrXs") == [(1, 1), (4, 4)]
+    assert lines.patience("XXX", "aXbX") == [(0, 1), (2, 3)] or len(lines.patience("XXX", "aXbX")) == 2
