@@ -23,6 +23,7 @@ no part; a null weight counts as 0; repeated events count each.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ GAP = 240
 FAN_OUT = 16
 BLOCK_GAPS = 16
 MAX_ROUNDS = 60
+FOREST_ROWS = 1 << 18
 
 GRAPH = ["user", "part"]  # the columns that tell graphs apart
 COLUMNS = ["user", "batch", "start_s", "end_s", "n_events", "n_new", "n_retracted", "h_sum", "retracted_batch", "retracted_start_s"]
@@ -62,12 +64,22 @@ def gap_edges(cells: DataFrame, gap: int = GAP) -> DataFrame:
     return own.select("user", "birth", F.explode(both).alias("e")).where("e.a is not null and e.b is not null").select("user", "e.a", "e.b", "birth")
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a batch as stars: each node to the least one that it is connected with inside the batch."""
+def _stretches(batches: Iterator[pa.RecordBatch], rows: int = FOREST_ROWS) -> Iterator[list[np.ndarray]]:
+    """The columns of some batches together, so many rows at a time."""
+    held, n = [], 0
     for batch in batches:
-        user, part, a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        if not len(a):
-            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield [np.concatenate([x.column(k).to_numpy(zero_copy_only=False) for x in held]) for k in range(4)]
+            held, n = [], 0
+    if n:
+        yield [np.concatenate([x.column(k).to_numpy(zero_copy_only=False) for x in held]) for k in range(4)]
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a stretch as stars: each node to the least one that it is connected with inside the stretch."""
+    for user, part, a, b in _stretches(batches):
         _, graph = np.unique(np.stack([user, part], axis=1), axis=0, return_inverse=True)
         graph = graph.reshape(-1)
         ends = np.stack([np.concatenate([graph, graph]), np.concatenate([a, b])], axis=1)
@@ -94,13 +106,17 @@ def star_components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(user, part, node, label) for every node but the least of each component of links (user, part, a, b)."""
     links = links.where("a <> b").select(*GRAPH, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = scratch.table(links.mapInArrow(lean(_forest), "user long, part long, a long, b long"), f"{name}-0")
+    settled: list[DataFrame] = []
     for k in range(1, MAX_ROUNDS):
         # settled: every node points at one other, which points at none
         ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("up")), F.struct(F.col("b").alias("node"), F.lit(None).cast("long").alias("up")))
         seen = edges.select(*GRAPH, F.explode(ends).alias("e")).groupBy(*GRAPH, "e.node")
         open_ends = seen.agg(F.min("e.up").alias("low"), F.max("e.up").alias("high"), F.bool_or(F.expr("e.up is null")).alias("root"))
-        if open_ends.where("low <> high or (low is not null and root)").isEmpty():
+        unsettled = scratch.table(open_ends.where("low <> high or (low is not null and root)").select(*GRAPH).distinct(), f"{name}-open-{k}")
+        if unsettled.isEmpty():
             break
+        settled.append(edges.join(unsettled, GRAPH, "left_anti"))
+        edges = edges.join(unsettled, GRAPH, "left_semi")
         both = edges.union(edges.select(*GRAPH, "b", "a")).toDF(*GRAPH, "node", "near")
         least = both.groupBy(*GRAPH, "node").agg(F.least(F.min("near"), F.first("node")).alias("least"))
         large = both.join(least, [*GRAPH, "node"]).where("near > node").select(*GRAPH, F.col("near").alias("a"), F.col("least").alias("b")).where("a <> b")
@@ -111,7 +127,7 @@ def star_components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         edges = scratch.table(new, f"{name}-{k}")
     else:
         raise RuntimeError("components did not settle")
-    return edges.distinct().toDF(*GRAPH, "node", "label")
+    return reduce(DataFrame.union, settled, edges).distinct().toDF(*GRAPH, "node", "label")
 
 
 def _relabelled(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
