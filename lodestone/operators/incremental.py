@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.imports import extract_imports
 from lodestone.operators.resolve import edges as resolve_edges
+from lodestone.operators.resolve import edges_to, known_targets, tried_paths, woken_importers
+from lodestone.runtime import Scratch
 
 
 def manifest_of(files: DataFrame) -> DataFrame:
@@ -40,6 +42,21 @@ def changed_files(files: DataFrame, changes: DataFrame) -> DataFrame:
     return files.join(changes.where("change in ('added', 'updated')").select("relative_path"), "relative_path", "left_semi")
 
 
+def refresh_edges(manifest: DataFrame, imports: DataFrame, tries: DataFrame, new_manifest: DataFrame, parsed: DataFrame, changes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(edges, woken) after a change: the edges of changed files and of woken importers, and who was woken.
+
+    ``manifest``, ``imports`` and ``tries`` (candidate, relative_path) are as before the change, ``new_manifest`` and
+    ``parsed`` of the files that were added or updated.  All other edges stay as they are.
+    """
+    touched = changes.where("change <> 'unchanged'").select("relative_path")
+    woken = scratch.table(woken_importers(tries, changes).join(touched, "relative_path", "left_anti"), "woken")
+    again = imports.join(woken, "relative_path", "left_semi").select(parsed.columns).unionByName(parsed)
+    asked = scratch.table(again, "asked-imports")
+    # of all files only those that these imports try take part
+    known = known_targets(replace_rows(manifest, new_manifest, changes))
+    return edges_to(known.join(tried_paths(asked).select("candidate").distinct(), "candidate", "left_semi"), asked), woken
+
+
 def refresh_imports(imports: DataFrame, files: DataFrame, changes: DataFrame) -> DataFrame:
     """Only changed files are parsed again."""
     return replace_rows(imports, extract_imports(changed_files(files, changes)), changes)

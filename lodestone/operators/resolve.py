@@ -95,16 +95,41 @@ def known_targets(files: DataFrame) -> DataFrame:
     return paths.unionByName(go.agg(F.min("relative_path").alias("target")))
 
 
+def tried_paths(imports: DataFrame, crate_root: str = "src") -> DataFrame:
+    """(candidate, relative_path): whatever each file's imports would resolve to if it were there."""
+    each = F.explode(candidates(F.col("extension"), F.col("specifier"), F.col("relative_path"), crate_root))
+    return imports.select(each.alias("candidate"), "relative_path").distinct()
+
+
+def woken_importers(tries: DataFrame, changes: DataFrame) -> DataFrame:
+    """Files (relative_path) whose imports may resolve otherwise after ``changes`` (relative_path, change): those that
+    try a path that came or went.  What a file holds does not matter to its importers."""
+    moved = changes.where("change in ('added', 'deleted')").select("relative_path")
+    folder = F.when(F.endswith("relative_path", F.lit(".go")) & F.contains("relative_path", F.lit("/")), F.concat(F.lit("go:"), parent(F.col("relative_path"))))
+    names = moved.select(F.explode(F.array_compact(F.array(F.col("relative_path"), folder))).alias("candidate")).distinct()
+    return tries.join(names, "candidate", "left_semi").select("relative_path").distinct()
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame, crate_root: str = "src") -> DataFrame:
     """``imports`` with ``target``, null for external ones.  Size decides the join: files are shuffled if large."""
+    return resolve_among(imports, known_targets(files), crate_root)
+
+
+def resolve_among(imports: DataFrame, known: DataFrame, crate_root: str = "src") -> DataFrame:
+    """``imports`` with ``target``, from the (candidate, target) rows that are known."""
     keys = ["relative_path", "extension", "specifier"]
     asked = imports.select(*keys).distinct()
     tried = asked.select(*keys, F.posexplode(candidates(F.col("extension"), F.col("specifier"), F.col("relative_path"), crate_root)).alias("turn", "candidate"))
-    first = tried.join(known_targets(files), "candidate").groupBy(*keys).agg(F.min_by("target", "turn").alias("target"))
+    first = tried.join(known, "candidate").groupBy(*keys).agg(F.min_by("target", "turn").alias("target"))
     return imports.join(first, keys, "left")
 
 
 def edges(files: DataFrame, imports: DataFrame, crate_root: str = "src") -> DataFrame:
     """Distinct (src, dst) between different files."""
-    resolved = resolve_imports(imports, files, crate_root)
+    return edges_to(known_targets(files), imports, crate_root)
+
+
+def edges_to(known: DataFrame, imports: DataFrame, crate_root: str = "src") -> DataFrame:
+    """Distinct (src, dst) between different files, from the (candidate, target) rows that are known."""
+    resolved = resolve_among(imports, known, crate_root)
     return resolved.where(F.col("target").isNotNull() & (F.col("target") != F.col("relative_path"))).select(F.col("relative_path").alias("src"), F.col("target").alias("dst")).distinct()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import analyze
 from lodestone.operators import graph, incremental, search, vectors
 from lodestone.operators.imports import extract_imports
-from lodestone.operators.resolve import edges as resolve_edges
+from lodestone.operators.resolve import tried_paths
 from lodestone.plans.query import Clause, Group, parse
 from lodestone.runtime import Scratch
 from lodestone.sources.files import scan
@@ -85,13 +85,16 @@ class Engine:
         stale = changes.where("change in ('updated', 'deleted')").select("relative_path")
         docs, manifest = search.search_documents(fresh), incremental.manifest_of(fresh)
         parsed = scratch.table(extract_imports(fresh), "imports")
-        known = lambda name, rows: incremental.replace_rows(self.warehouse.read(name, state), rows, changes)
+        # edges are made of the changed files, and of those that try a path that came or went
+        before = lambda name: self.warehouse.read(name, state)
+        untold = bool(state["version"]) and "tries" not in state["tables"]  # written before that table was kept
+        tries = tried_paths(before("imports")) if untold else before("tries")
+        edges, woken = incremental.refresh_edges(before("manifest"), before("imports"), tries, manifest, parsed, changes, scratch)
         rows = {
             "files": fresh, "manifest": manifest, "postings": search.postings(docs), "field_stats": search.field_stats(docs), "imports": parsed,
+            "tries": incremental.replace_rows(tries, tried_paths(parsed), changes) if untold else tried_paths(parsed), "edges": edges,
         }
-        # an import is resolved against all files of now: it may point at one that came or went
-        edges = resolve_edges(known("manifest", manifest), known("imports", parsed))
-        self.warehouse.commit(state["version"], rows, stale, edges=edges)
+        self.warehouse.commit(state["version"], rows, stale, {"edges": woken})
         if self.provider:
             self.embed(background)
         return counters

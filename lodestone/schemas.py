@@ -15,6 +15,7 @@ FIELD_STATS = _struct(("field", S), ("relative_path", S), ("len", I))
 VECTORS = _struct(("relative_path", S), ("chunk_idx", I), ("off", L), ("len", L), ("text", S), ("embedding", T.ArrayType(T.FloatType())))
 IMPORTS = _struct(("relative_path", S), ("extension", S), ("specifier", S), ("kind", S), ("pos", I))
 EDGES = _struct(("src", S), ("dst", S))
+TRIES = _struct(("candidate", S), ("relative_path", S))
 MANIFEST = _struct(("relative_path", S), ("content_hash", S))
 FS_EVENTS = _struct(("ts", T.TimestampType()), ("root", S), ("path", S), ("kind", S))
 #: kind ``path``: a path of a burst that has ended; kind ``pending``: how many paths of the root wait now.
