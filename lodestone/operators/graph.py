@@ -6,6 +6,8 @@ lost executor costs one level at most.  Nodes may be of any ordered type.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from lodestone.functions.analyze import rotate_cycle
 from lodestone.runtime import Scratch
 
 MAX_DEPTH = 10
+#: All cycles of a component are listed if it has at most so many edges beyond a spanning tree.
+LISTED_RANK = 12
 
 
 def deps(edges: DataFrame, node) -> DataFrame:
@@ -98,15 +102,103 @@ def cyclic_core(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return e
 
 
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(node, component) of every node on a cycle: nodes that reach one another share a component, named by its least node.
+
+    Each round colours every node with the least node that reaches it; a node that keeps its own name is the root of
+    the component of those of its colour that reach it back.  These are told, and rounds go on with the edges that are
+    left within a colour.  A step is a join of the nodes that changed with their edges.
+    """
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    e, found, turn = cyclic_core(edges, scratch), [], 0
+    while not e.isEmpty():
+        turn += 1
+        nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        colours = scratch.table(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("fresh")), f"colour-{turn}-0")
+        step = 0
+        while not colours.where("fresh").isEmpty():
+            step += 1
+            told = colours.where("fresh").select(F.col("node").alias("src"), "colour").join(e, "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("told"))
+            colours = colours.join(told, "node", "left").select("node", F.least("colour", "told").alias("colour"), F.coalesce(F.col("told") < F.col("colour"), F.lit(False)).alias("fresh"))
+            colours = scratch.table(colours, f"colour-{turn}-{step}")
+            scratch.drop(f"colour-{turn}-{step - 1}")
+        named = lambda end: colours.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_colour"))
+        within = e.join(named("src"), "src").join(named("dst"), "dst").where("src_colour = dst_colour").select("src", "dst")
+        within = scratch.table(within, f"within-{turn}")
+        state = scratch.table(colours.select("node", "colour", (F.col("node") == F.col("colour")).alias("back"), (F.col("node") == F.col("colour")).alias("fresh")), f"back-{turn}-0")
+        step = 0
+        while not state.where("fresh").isEmpty():
+            step += 1
+            told = state.where("fresh").select(F.col("node").alias("dst")).join(within, "dst").select(F.col("src").alias("node"), F.lit(True).alias("told")).distinct()
+            state = state.join(told, "node", "left").select("node", "colour", (F.col("back") | F.col("told").isNotNull()).alias("back"), (~F.col("back") & F.col("told").isNotNull()).alias("fresh"))
+            state = scratch.table(state, f"back-{turn}-{step}")
+            scratch.drop(f"back-{turn}-{step - 1}")
+        found.append(state.where("back").select("node", F.col("colour").alias("component")))
+        rest = state.where("not back").select("node")
+        left = within.join(rest.withColumnRenamed("node", "src"), "src", "left_semi").join(rest.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+        e = cyclic_core(left, Scratch(edges.sparkSession, f"components-{turn}"))
+    if not found:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).where("false")
+    all_of = scratch.table(reduce(DataFrame.union, found), "components")
+    several = all_of.groupBy("component").count().where("count > 1").select("component")
+    return all_of.join(several, "component", "left_semi").select("node", "component")
+
+
+def cyclic_edges(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(component, src, dst): the distinct edges that lie on a cycle."""
+    parts = components(edges, scratch)
+    ends = [parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part")) for end in ("src", "dst")]
+    inside = edges.where("src <> dst").select("src", "dst").distinct().join(ends[0], "src").join(ends[1], "dst").where("src_part = dst_part")
+    return scratch.table(inside.select(F.col("src_part").alias("component"), "src", "dst"), "cyclic-edges")
+
+
+def component_summary(cyclic: DataFrame) -> DataFrame:
+    """component, n_nodes, n_edges, and whether all its cycles are listed: a component has at most 2 ** (edges - nodes
+    + 1) elementary cycles."""
+    ends = cyclic.select("component", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    nodes = ends.groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
+    counted = cyclic.groupBy("component").agg(F.count(F.lit(1)).alias("n_edges")).join(nodes, "component")
+    return counted.select("component", "n_nodes", "n_edges", (F.col("n_edges") - F.col("n_nodes") + 1 <= LISTED_RANK).alias("listed"))
+
+
+def shortest_through_roots(cyclic: DataFrame, scratch: Scratch) -> DataFrame:
+    """cycle: of each component, the least of the shortest cycles through its least node."""
+    e = cyclic.select("component", "src", "dst")
+    frontier = e.select("component").distinct().select("component", F.col("component").alias("node"), F.array("component").alias("trail"))
+    visited, found, depth = frontier.select("component", "node"), [], 0
+    while not frontier.isEmpty():
+        depth += 1
+        step = e.join(frontier.withColumnRenamed("node", "src"), ["component", "src"]).select("component", F.col("dst").alias("node"), "trail")
+        step = scratch.table(step.groupBy("component", "node").agg(F.min("trail").alias("trail")), f"around-{depth}")
+        closed = step.where("node = component").select("component", "trail")
+        found.append(closed)
+        open_ones = step.join(closed.select("component"), "component", "left_anti").join(visited, ["component", "node"], "left_anti")
+        frontier = scratch.table(open_ones.select("component", "node", F.concat("trail", F.array("node")).alias("trail")), f"front-{depth}")
+        visited = scratch.table(visited.union(frontier.select("component", "node")), f"visited-{depth}")
+    return reduce(DataFrame.union, found).select(F.col("trail").alias("cycle")) if found else e.select(F.array("src").alias("cycle")).where("false")
+
+
 def cycles(edges: DataFrame, max_length: int | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """Every elementary cycle, once, from its least node on; ``max_length`` leaves out those of more nodes.
+    """Elementary cycles, each once, from its least node on; ``max_length`` leaves out those of more nodes.
 
-    Trails grow from their least node over larger ones, so each cycle has one trail.  A graph can have far more
-    cycles than edges: where many files import one another, give a ``max_length``.
+    Trails grow from their least node over larger ones inside a component, so each cycle has one trail.  With a
+    ``max_length`` all cycles up to it are listed.  Without one, all cycles of components that can have
+    2 ** ``LISTED_RANK`` at most are; a component that can have more is told by the shortest cycle through its least
+    node, and :func:`component_summary` tells which those are and how large.
     """
     scratch = scratch or Scratch(edges.sparkSession, "cycles")
-    short = max_length is not None and max_length <= 3  # then the trails are few
-    e = scratch.table(edges.where("src <> dst").select("src", "dst").distinct(), "edges") if short else cyclic_core(edges, scratch)
+    if max_length is not None and max_length <= 3:  # the trails are few
+        return _trails(scratch.table(edges.where("src <> dst").select("src", "dst").distinct(), "edges"), max_length, scratch)
+    cyclic = cyclic_edges(edges, scratch)
+    if max_length is not None:
+        return _trails(cyclic.select("src", "dst"), max_length, scratch)
+    listed = component_summary(cyclic).where("listed").select("component")
+    many = scratch.table(cyclic.join(listed, "component", "left_anti").select("component", "src", "dst"), "many")
+    few = scratch.table(cyclic.join(listed, "component", "left_semi").select("src", "dst"), "few")
+    return _trails(few, None, scratch).union(shortest_through_roots(many, scratch))
+
+
+def _trails(e: DataFrame, max_length: int | None, scratch: Scratch) -> DataFrame:
     trails = e.where("src < dst").select(F.col("src").alias("root"), F.col("dst").alias("last"), F.array("src", "dst").alias("trail"))
     closing = e.select(F.col("src").alias("last"), F.col("dst").alias("root"))
     found, length = [], 2

@@ -442,6 +442,14 @@ def graph_cycles_len3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycles(edges, 3, scratch)
 
 
+@query(f"""with recursive {_edges_sql()}, reach(a, b) as (select src, dst from edges union select r.a, e.dst from reach r join edges e on e.src = r.b)
+select x.a as node, min(x.b) as component from reach x join reach y on y.a = x.b and y.b = x.a group by x.a""")
+def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that reach one another, by the least of them."""
+    edges, scratch = _stored_edges(spark, sf_dir)
+    return graph.components(edges, scratch)
+
+
 @query(f"with {_edges_sql()}, f as (select min(src) as node from edges) select src, dst from edges where src <> (select node from f) and dst <> (select node from f)")
 def graph_remove_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, _ = _stored_edges(spark, sf_dir)
