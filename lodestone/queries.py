@@ -1,8 +1,9 @@
 """The engine's registered queries over the driver's tables, and the same in SQL.
 
 ``documents`` plays the corpus (paths and extensions are derived from its columns), ``embeddings`` the
-vectors, consecutive parts of an order the dependency edges, ``events`` the file events.  Code snippets,
-specifiers and query strings are inline rows, equal in both engines.  Doubles are rounded to 6 places.
+vectors, consecutive parts of an order the dependency edges, ``events`` the file events.  Code, specifiers and
+query strings are made of the documents: patterns into which each document's id and first word are set, the same in
+both engines.  Doubles are rounded to 6 places.
 """
 
 from __future__ import annotations
@@ -156,22 +157,36 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(text(x) for x in r) + ")" for r in rows)
 
 
-def _inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def _made(spark: SparkSession, sf_dir: str, rows: list[tuple], names: str) -> DataFrame:
+    """doc_id, k and the columns ``names``: each pattern of ``rows`` with @ as the document's id and # as its first word."""
+    columns = names.split()
+    word = F.concat(F.lit("w"), F.coalesce(F.regexp_extract("text", "[a-z]{2,}", 0), F.lit("")))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("_id"), word.alias("_word"))
+    patterns = F.array(*(F.struct(F.lit(k).alias("k"), *(F.lit(x).alias(c) for c, x in zip(columns, r, strict=True))) for k, r in enumerate(rows)))
+    each = docs.select("doc_id", "_id", "_word", F.inline(patterns))
+    return each.select("doc_id", "k", *(F.replace(F.replace(F.col(c), F.lit("@"), F.col("_id")), F.lit("#"), F.col("_word")).alias(c) for c in columns))
 
 
-INTENTS = [("src/main.rs",), ("a\\b",), ("crate::fs",), ("std.io",), ("done.",), ("snake_case",), ("CamelCase",), ("retry logic",), ("Retry logic",), ("plain",), ("",)]
+def _made_sql(rows: list[tuple], names: str) -> str:
+    """The same as a subquery."""
+    columns = names.split()
+    made = ", ".join(f"replace(replace(t.{c}, '@', d.id), '#', d.word) as {c}" for c in columns)
+    docs = "select doc_id, doc_id::varchar as id, 'w' || coalesce(regexp_extract(text, '[a-z]{2,}'), '') as word from documents"
+    return f"(select d.doc_id, t.k, {made} from ({docs}) d cross join (values {_values([(k, *r) for k, r in enumerate(rows)])}) t(k, {', '.join(columns)}))"
 
 
-@query(f"""select q, intent, case intent when 'symbol' then 12.0 when 'path' then 4.0 else 8.0 end::double as symbols_boost,
-case intent when 'symbol' then 4.0 when 'path' then 9.0 else 6.0 end::double as basename_boost from (select q, case when contains(q, '/') or contains(q, '\\') then 'path' when contains(q, '::') then 'symbol'
+INTENTS = [("src/#@.rs",), ("a\\#",), ("crate::#",), ("#.io@",), ("#.",), ("snake_#",), ("Camel#",), ("retry #",), ("Retry #",), ("#",), ("#@",), ("",)]
+
+
+@query(f"""select doc_id, k, q, intent, case intent when 'symbol' then 12.0 when 'path' then 4.0 else 8.0 end::double as symbols_boost,
+case intent when 'symbol' then 4.0 when 'path' then 9.0 else 6.0 end::double as basename_boost from (select doc_id, k, q, case when contains(q, '/') or contains(q, '\\') then 'path' when contains(q, '::') then 'symbol'
 when not contains(q, ' ') and ((contains(q, '.') and not ends_with(q, '.')) or contains(q, '_') or regexp_matches(q, '\\p{{Lu}}')) then 'symbol' else 'general' end as intent
-from (values {_values(INTENTS)}) t(q))""")
+from {_made_sql(INTENTS, "q")} t)""")
 def intent_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How a query's form sets the field boosts."""
-    df = _inline(spark, INTENTS, "q string").withColumn("intent", analyze.intent(F.col("q")))
+    df = _made(spark, sf_dir, INTENTS, "q").withColumn("intent", analyze.intent(F.col("q")))
     of = {k: F.create_map(*(x for kind, b in analyze.BOOSTS.items() for x in (F.lit(kind), F.lit(b[n])))) for n, k in enumerate(search.FIELDS)}
-    return df.select("q", "intent", of["symbols"][F.col("intent")].alias("symbols_boost"), of["basename"][F.col("intent")].alias("basename_boost"))
+    return df.select("doc_id", "k", "q", "intent", of["symbols"][F.col("intent")].alias("symbols_boost"), of["basename"][F.col("intent")].alias("basename_boost"))
 
 
 @query(f"""
@@ -197,19 +212,20 @@ def snippet_best_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", analyze.snippet(F.col("text"), "the ing.").alias("snippet"))
 
 
-IDENTIFIERS = [("getUserName",), ("HTTP_STATUS_CODE",), ("parseJSON2XML",), ("simple",), ("XMLParser",), ("a1b2",), ("",), ("__x__",)]
+IDENTIFIERS = [("get#Name@",), ("HTTP_#_CODE@",), ("parse#2XML",), ("#",), ("XML#Parser",), ("a1#b@",), ("",), ("__#__@",), ("#A@B",)]
 
 
-@query(f"""select id, array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(id, '([a-z])([A-Z])', '\\1 \\2', 'g'),
-'([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+'), lambda x: x <> ''), lambda x: lower(x)), ' ') as tokens from (values {_values(IDENTIFIERS)}) t(id)""")
+@query(f"""select doc_id, k, array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(id, '([a-z])([A-Z])', '\\1 \\2', 'g'),
+'([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+'), lambda x: x <> ''), lambda x: lower(x)), ' ') as tokens from {_made_sql(IDENTIFIERS, "id")} t""")
 def identifier_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _inline(spark, IDENTIFIERS, "id string").select("id", F.array_join(analyze.identifier_tokens(F.col("id")), " ").alias("tokens"))
+    """Identifiers split where case and kind of sign change."""
+    return _made(spark, sf_dir, IDENTIFIERS, "id").select("doc_id", "k", F.array_join(analyze.identifier_tokens(F.col("id")), " ").alias("tokens"))
 
 
 SNIPPETS = [
-    (1, "pub struct Config {\n    port: u16,\n}\nimpl Config {\n  pub fn load() {}\n}"), (2, "def run(self):\n    pass\nclass Job:\n  async def go(self): pass"),
-    (3, "export default class App {}\nconst fn zed\nlet mut y = 1\nfunction a() {}"), (4, "no symbols here"), (5, "func <T> Map(x)\nfn bar<T>(x)\nenum E1 {}"), (6, ""),
-    (7, "impl <T: Into<Vec<Option<Box<u8>>>>> Deep<T> {}\nfn <A<B> unbalanced\n  struct <> Empty\npub(crate) fn shown() {}"),
+    ("pub struct Config@ {\n    port: u16,\n}\nimpl Config@ {\n  pub fn load_#() {}\n}",), ("def run_#(self):\n    pass\nclass Job@:\n  async def go(self): pass",),
+    ("export default class App@ {}\nconst fn zed\nlet mut # = 1\nfunction a() {}",), ("no symbols of # here",), ("func <T> Map#(x)\nfn bar_@<T>(x)\nenum E1 {}",), ("",),
+    ("impl <T: Into<Vec<Option<Box<u8>>>>> Deep#<T> {}\nfn <A<B> unbalanced\n  struct <> Empty@\npub(crate) fn shown_#() {}",),
 ]
 _STARTERS_SQL = "(?:" + "|".join(s.replace("(", "\\(").replace(")", "\\)") for s in analyze.BLOCK_STARTERS) + ")"
 
@@ -219,20 +235,21 @@ for _ in range(6):  # deep enough for the rows above
     _GENERICS_SQL = f"[^<>]*(?:<{_GENERICS_SQL}>[^<>]*)*"
 
 
-@query(f"""with l as (select id, unnest(string_split(src, chr(10))) as line from (values {_values(SNIPPETS)}) t(id, src)),
-n as (select distinct id, regexp_extract(line, '^\\s*{_STARTERS_SQL}\\s*(?:<{_GENERICS_SQL}>\\s*)?([A-Za-z0-9_]*)', 1) as name from l)
-select t.id, coalesce((select string_agg(name, ' ' order by name) from n where n.id = t.id and strlen(name) >= 2), '') as symbols from (values {_values(SNIPPETS)}) t(id, src)""")
+@query(f"""with made as {_made_sql(SNIPPETS, "src")}, l as (select doc_id, k, unnest(string_split(src, chr(10))) as line from made),
+n as (select distinct doc_id, k, regexp_extract(line, '^\\s*{_STARTERS_SQL}\\s*(?:<{_GENERICS_SQL}>\\s*)?([A-Za-z0-9_]*)', 1) as name from l),
+g as (select doc_id, k, string_agg(name, ' ' order by name) as symbols from n where strlen(name) >= 2 group by doc_id, k)
+select m.doc_id, m.k, coalesce(g.symbols, '') as symbols from made m left join g on g.doc_id = m.doc_id and g.k = m.k""")
 def symbols_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names defined in code snippets."""
-    return _inline(spark, SNIPPETS, "id int, src string").select("id", analyze.symbols(F.col("src")).alias("symbols"))
+    """Names defined in pieces of code."""
+    return _made(spark, sf_dir, SNIPPETS, "src").select("doc_id", "k", analyze.symbols(F.col("src")).alias("symbols"))
 
 
 CODE = {
-    "rust": ("rs", [("a.rs", "use crate::fs::walk;\n  use super::x;\nuse std::io::*;\npub use crate::no;\nmod y;"), ("b.rs", "use self::deep::A;\nfn f() {}\nuse serde::Deserialize;")]),
-    "js": ("ts", [("a.ts", "import a from './a';\nconst q = require(\"./q\");\nexport { z } from './z';"), ("b.ts", "import 'side';\nconst m = import('./lazy');")]),
-    "py": ("py", [("a.py", "import os, sys\nfrom . import n\nfrom .n import y"), ("b.py", "  import a.b.c\nfrom ..top import z\nimport a.b.c")]),
-    "go": ("go", [("a.go", 'import (\n  "fmt"\n  u "ex.com/util"\n)'), ("b.go", 'import "os"\nimport x "ex.com/x"')]),
-    "php": ("php", [("a.php", "use App\\Models\\User;\nrequire_once 'b.php';"), ("b.php", "include('c.php');\nuse App\\Models\\User as U;")]),
+    "rust": ("rs", [("a@.rs", "use crate::fs_#::walk;\n  use super::x@;\nuse std::io::*;\npub use crate::no;\nmod y;\n// use crate::#;"), ("b@.rs", "use self::deep@::A;\nfn #() {}\nuse serde::Deserialize;")]),
+    "js": ("ts", [("a@.ts", "import a from './#';\nconst q = require(\"./q@\");\nexport { z } from './z@';"), ("b@.ts", "import 'side-#';\nconst m = import('./lazy@');")]),
+    "py": ("py", [("a@.py", "import #, sys\nfrom . import n\nfrom .n@ import y"), ("b@.py", "  import a.#.c@\nfrom ..top@ import z\nimport a.#.c@")]),
+    "go": ("go", [("a@.go", 'import (\n  "fmt"\n  u "ex.com/#/util@"\n)'), ("b@.go", 'import "os"\nimport x "ex.com/x@"')]),
+    "php": ("php", [("a@.php", "use App\\#\\User@;\nrequire_once 'b@.php';"), ("b@.php", "include('c@.php');\nuse App\\#\\User as U;")]),
 }
 #: The patterns of lodestone.operators.imports once more, without what DuckDB's regular expressions lack.
 _EXTRACT_SQL = {
@@ -249,34 +266,36 @@ _EXTRACT_SQL = {
 
 def _imports_query(language: str) -> None:
     extension, rows = CODE[language]
-    parts = " union all ".join(f"select path, unnest(regexp_extract_all(src, '{p}', 1)) as specifier from (values {_values(rows)}) t(path, src)" for p in _EXTRACT_SQL[language])
+    parts = " union all ".join(f"select path, unnest(regexp_extract_all(src, '{p}', 1)) as specifier from made" for p in _EXTRACT_SQL[language])
     once = "" if language in ("rust", "py") else "distinct "
+    bare = "regexp_replace(src, '//[^\n]*', '', 'g')" if language == "rust" else "src"  # comments hold no imports
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        files = _inline(spark, [(p, s, extension) for p, s in rows], "relative_path string, content string, extension string")
+        files = _made(spark, sf_dir, rows, "path src").select(F.col("path").alias("relative_path"), F.col("src").alias("content"), F.lit(extension).alias("extension"))
         return extract_imports(files).select(F.col("relative_path").alias("path"), "specifier")
 
     run.__name__ = f"imports_{language}"
-    run.__doc__ = f"Import specifiers of {language} snippets."
-    query(f"select {once}path, specifier from ({parts})")(run)
+    run.__doc__ = f"Import specifiers of {language} code."
+    query(f"with made as (select path, {bare} as src from {_made_sql(rows, 'path src')}) select {once}path, specifier from ({parts})")(run)
 
 
 for _language in CODE:
     _imports_query(_language)
 
+#: Files that may be there: of document d, the k-th is unless (d + k) % 4 = 0.
 FILES = {
-    "rust": ("rs", ["src/main.rs", "src/fs.rs", "src/search/mod.rs", "src/search/index.rs", "src/search/query.rs"]),
-    "js": ("ts", ["web/a.ts", "web/b.tsx", "web/dir/index.ts", "lib/c.js"]),
-    "py": ("py", ["pkg/__init__.py", "pkg/m.py", "top.py", "src/deep/x.py"]),
-    "go": ("go", ["util/a.go", "util/b.go", "svc/h.go"]),
-    "php": ("php", ["app/Models/User.php", "Models/Post.php", "lib/y.php"]),
+    "rust": ("rs", ["src/main@.rs", "src/fs_#@.rs", "src/search/mod.rs", "src/search/index@.rs", "src/search/query@.rs", "src/search@/mod.rs"]),
+    "js": ("ts", ["web/a@.ts", "web/#@.tsx", "web/dir@/index.ts", "lib/c@.js", "web/#@.jsx"]),
+    "py": ("py", ["pkg/__init__.py", "pkg/#@.py", "top@.py", "src/deep/x@.py", "pkg/#@/__init__.py"]),
+    "go": ("go", ["util@/a.go", "util@/b.go", "svc@/h.go", "p/util@/c.go"]),
+    "php": ("php", ["app/Models/User@.php", "Models/#@.php", "lib/y@.php", "src/Models/User@.php"]),
 }
 SPECIFIERS = {
-    "rust": [("src/search/index.rs", "crate::fs::walk"), ("src/search/index.rs", "super::query::Parser"), ("src/main.rs", "crate::search"), ("src/main.rs", "std::io"), ("src/search/mod.rs", "self::index::Doc"), ("src/search/mod.rs", "self::none")],
-    "js": [("web/a.ts", "./b"), ("web/a.ts", "./dir"), ("web/a.ts", "../lib/c"), ("web/a.ts", "react"), ("lib/c.js", "../web/a.ts")],
-    "py": [("pkg/m.py", "."), ("pkg/m.py", "pkg.m"), ("top.py", ".pkg.m"), ("pkg/m.py", "..top"), ("top.py", "deep.x"), ("top.py", "os")],
-    "go": [("svc/h.go", "ex.com/p/util"), ("svc/h.go", "fmt"), ("util/a.go", "svc")],
-    "php": [("lib/y.php", "App\\Models\\User"), ("lib/y.php", "App\\Models\\Post"), ("Models/Post.php", "lib/y.php"), ("lib/y.php", "./y.php"), ("lib/y.php", "No\\Such")],
+    "rust": [("src/search/index@.rs", "crate::fs_#@::walk"), ("src/search/index@.rs", "super::query@::Parser"), ("src/main@.rs", "crate::search@"), ("src/main@.rs", "std::io"), ("src/search/mod.rs", "self::index@::Doc"), ("src/search/mod.rs", "self::none@")],
+    "js": [("web/a@.ts", "./#@"), ("web/a@.ts", "./dir@"), ("web/a@.ts", "../lib/c@"), ("web/a@.ts", "react"), ("lib/c@.js", "../web/a@.ts")],
+    "py": [("pkg/m@.py", "."), ("pkg/m@.py", "pkg.#@"), ("top@.py", ".pkg.#@"), ("pkg/m@.py", "..top@"), ("top@.py", "deep.x@"), ("top@.py", "os")],
+    "go": [("svc@/h.go", "ex.com/p/util@"), ("svc@/h.go", "fmt"), ("util@/a.go", "svc@")],
+    "php": [("lib/y@.php", "App\\Models\\User@"), ("lib/y@.php", "App\\Models\\#@"), ("Models/#@.php", "lib/y@.php"), ("lib/y@.php", "./y@.php"), ("lib/y@.php", "No\\#")],
 }
 #: The candidates that each specifier has, in order, for the SQL form.
 _CANDIDATES_SQL = {
@@ -299,22 +318,22 @@ _CANDIDATES_SQL = {
 
 def _resolve_query(language: str) -> None:
     extension, paths = FILES[language]
-    rows, files = SPECIFIERS[language], _values([(p,) for p in paths])
-    known = (
-        f"select path as candidate, path as target from (values {files}) f(path)" if language != "go"
-        else f"select regexp_replace(path, '[^/]*$', '') as candidate, min(path) as target from (values {files}) f(path) group by 1"
-    )
+    rows, patterns = SPECIFIERS[language], [(p,) for p in paths]
+    there = f"(select path from {_made_sql(patterns, 'path')} where (doc_id + k) % 4 <> 0)"
+    known = f"select distinct path as candidate, path as target from {there}" if language != "go" else f"select regexp_replace(path, '[^/]*$', '') as candidate, min(path) as target from {there} group by 1"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        imports = _inline(spark, [(s, extension, x) for s, x in rows], "relative_path string, extension string, specifier string")
-        found = resolve.resolve_imports(imports, _inline(spark, [(p,) for p in paths], "relative_path string"))
+        imports = _made(spark, sf_dir, rows, "source spec").select(F.col("source").alias("relative_path"), F.lit(extension).alias("extension"), F.col("spec").alias("specifier"))
+        files = _made(spark, sf_dir, patterns, "path").where("(doc_id + k) % 4 <> 0").select(F.col("path").alias("relative_path"))
+        found = resolve.resolve_imports(imports, files)
         return found.select(F.col("relative_path").alias("source"), F.col("specifier").alias("spec"), "target")
 
     run.__name__ = f"resolve_{language}"
-    run.__doc__ = f"Resolution of {language} specifiers against a file list."
-    query(f"""with s(source, spec) as (values {_values(rows)}), c as (select source, spec, {_CANDIDATES_SQL[language]} as cand from s),
-e as (select source, spec, unnest(cand) as candidate, generate_subscripts(cand, 1) as turn from c), k as ({known})
-select s.source, s.spec, (select arg_min(k.target, e.turn) from e join k using (candidate) where e.source = s.source and e.spec = s.spec) as target from s""")(run)
+    run.__doc__ = f"Resolution of {language} specifiers against the files that are there."
+    query(f"""with s as (select source, spec from {_made_sql(rows, 'source spec')}), c as (select source, spec, {_CANDIDATES_SQL[language]} as cand from s),
+e as (select distinct source, spec, unnest(cand) as candidate, generate_subscripts(cand, 1) as turn from c), k as ({known}),
+r as (select source, spec, arg_min(k.target, e.turn) as target from e join k using (candidate) group by source, spec)
+select s.source, s.spec, r.target from s left join r on r.source = s.source and r.spec = s.spec""")(run)
 
 
 for _language in FILES:
@@ -703,21 +722,26 @@ def status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.withColumn("readiness", readiness(F.col("documents"), F.lit(True), F.lit(False)))
 
 
-PATHS = [("src/./a//b/../c.rs",), ("../../x",), ("a/b/../../..",), ("",), ("node_modules/r/i.js",), ("src/.git/c",), ("lib/Utils.TS",), (".hidden",), ("x/target/y.rs",)]
+#: Paths and their normal form.
+PATHS = [
+    ("src/./a@//b/../#.rs", "src/a@/#.rs"), ("../../#@", "#@"), ("a@/#/../../..", ""), ("", ""), ("node_modules/r/#@.js", "node_modules/r/#@.js"), ("src/.git/#", "src/.git/#"),
+    ("lib@/Utils#.TS", "lib@/Utils#.TS"), (".#@", ".#@"), ("x/target/#.rs", "x/target/#.rs"), ("./@/../#/./y.md", "#/y.md"), ("targets/#.tar.gz", "targets/#.tar.gz"),
+]
 
 
-@query(f"""select p, list_has_any(string_split(p, '/'), ['node_modules', 'target', '.git', '.archive', '__pycache__', '.venv', 'vendor', 'dist', 'build', '.next', '.lodestone']) as skipped,
-lower(regexp_extract(string_split(p, '/')[-1], '[^.].*\\.([^.]*)$', 1)) as ext from (values {_values(PATHS)}) t(p)""")
+@query(f"""select doc_id, k, p, list_has_any(string_split(p, '/'), ['node_modules', 'target', '.git', '.archive', '__pycache__', '.venv', 'vendor', 'dist', 'build', '.next', '.lodestone']) as skipped,
+lower(regexp_extract(string_split(p, '/')[-1], '[^.].*\\.([^.]*)$', 1)) as ext from {_made_sql([(p,) for p, _ in PATHS], "p")} t""")
 def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Skipped folders and extensions."""
     from lodestone.sources.files import extension_of, should_skip
 
-    return _inline(spark, PATHS, "p string").select("p", should_skip(F.col("p")).alias("skipped"), extension_of(F.col("p")).alias("ext"))
+    return _made(spark, sf_dir, [(p,) for p, _ in PATHS], "p").select("doc_id", "k", "p", should_skip(F.col("p")).alias("skipped"), extension_of(F.col("p")).alias("ext"))
 
 
-@query("select * from (values ('src/./a//b/../c.rs', 'src/a/c.rs'), ('../../x', 'x'), ('a/b/../../..', ''), ('', ''), ('node_modules/r/i.js', 'node_modules/r/i.js'), ('src/.git/c', 'src/.git/c'), ('lib/Utils.TS', 'lib/Utils.TS'), ('.hidden', '.hidden'), ('x/target/y.rs', 'x/target/y.rs')) t(p, normal)")
+@query(f"select doc_id, k, p, normal from {_made_sql(PATHS, 'p normal')} t")
 def path_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _inline(spark, PATHS, "p string").select("p", analyze.normalize_path(F.col("p")).alias("normal"))
+    """Paths without empty parts, dots and steps up."""
+    return _made(spark, sf_dir, [(p,) for p, _ in PATHS], "p").select("doc_id", "k", "p", analyze.normalize_path(F.col("p")).alias("normal"))
 
 
 @query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) as norm from embeddings")
