@@ -18,7 +18,7 @@ from lodestone.operators.imports import extract_imports
 from lodestone.operators.resolve import tried_paths
 from lodestone.plans.query import Clause, Group, parse
 from lodestone.runtime import Scratch
-from lodestone.sources.files import scan
+from lodestone.sources.files import scan_in_rounds
 from lodestone.sources.warehouse import SupersededError, Warehouse
 
 OVERFETCH = 3
@@ -56,7 +56,7 @@ class Engine:
         """
         scratch = Scratch(self.spark, "refresh")
         try:
-            files = scratch.table(scan(self.spark, self.root) if files is None else files, "files")
+            files = scratch.table(scan_in_rounds(self.spark, self.root, scratch) if files is None else files, "files")
             changes = incremental.diff(self.warehouse.read("manifest"), incremental.manifest_of(files))
             return self._apply(files, changes, scratch, background)
         finally:

@@ -5,16 +5,22 @@ share.  Skipped: hidden entries, folders that hold builds or dependencies, what
 files over 1 MiB, unknown extensions, and contents that are no UTF-8.  Spark's own file index is not used,
 as it silently drops names that begin with an underscore.
 
-The driver lists the tree's names, one folder at a time; each task reads the files of some folders.
+The data source lists the tree's names on the driver, one folder at a time; each task reads the files of some
+folders.  :func:`scan_in_rounds` gives the same rows and lists in tasks too: each lists some folders with the ignore
+rules that hold there, descends while it has found few names, and hands on the folders that are left, with their
+rules, as rows of a table that the next round starts from.
 """
 
 from __future__ import annotations
 
 import fnmatch
 import hashlib
+import json
 import os
 import re
+from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lodestone.functions.analyze import DOC_EXTENSIONS
+from lodestone.runtime import Scratch
 from lodestone.schemas import FILES
 
 #: What is indexed and what is skipped.
@@ -35,6 +42,8 @@ MAX_FILE_BYTES = 1_048_576
 SKIP_DIRS = ("node_modules", "target", ".git", ".archive", "__pycache__", ".venv", "vendor", "dist", "build", ".next", ".lodestone")
 
 FOLDERS_PER_TASK = 64
+#: Names that a listing task finds before it hands on the folders that are left.
+NAMES_PER_TASK = 5000
 
 
 def should_skip(path: Column) -> Column:
@@ -147,39 +156,52 @@ def _rules_above(root: str, rules: IgnoreRules) -> tuple[str, IgnoreRules]:
     return top, rules
 
 
+def _start(root: str) -> tuple[str, IgnoreRules]:
+    """What comes before a path when rules look at it, and the rules that hold at the root."""
+    top, start = _rules_above(root, _global_rules())
+    lead = os.path.relpath(os.path.abspath(root), top).replace(os.sep, "/")
+    return "" if lead == "." else f"{lead}/", start  # rules name paths from the top of the repository
+
+
 def folders(root: str) -> Iterator[tuple[str, list[str]]]:
     """Each folder below a root with its indexable file names; what cannot be listed is skipped.
 
     Ignored is what the user's global ignore file, the repository's exclude file, and the ignore files of the
     folders from the repository's top down say; the deepest rule that matches decides.
     """
-    top, start = _rules_above(root, _global_rules())
-    lead = os.path.relpath(os.path.abspath(root), top).replace(os.sep, "/")
-    lead = "" if lead == "." else f"{lead}/"  # rules name paths from the top of the repository
+    lead, start = _start(root)
     work = [("", start)]
     while work:
         base, rules = work.pop()
-        here = os.path.join(root, base) if base else root
-        rules = _rules_of(here, f"{lead}{base}".rstrip("/"), rules)
-        names = []
+        names, below, rules = list_folder(root, lead, base, rules)
+        work += [(path, rules) for path in below]
+        if names:
+            yield base, names
+
+
+def list_folder(root: str, lead: str, base: str, rules: IgnoreRules) -> tuple[list[str], list[str], IgnoreRules]:
+    """Indexable names in a folder, paths of the folders below it, and the rules that hold there."""
+    here = os.path.join(root, base) if base else root
+    rules = _rules_of(here, f"{lead}{base}".rstrip("/"), rules)
+    names: list[str] = []
+    below: list[str] = []
+    try:
+        entries = sorted(os.scandir(here), key=lambda e: e.name)
+    except OSError:
+        return names, below, rules
+    for e in entries:
+        if e.name.startswith(".") or e.name in SKIP_DIRS:
+            continue
+        path = f"{base}/{e.name}" if base else e.name
         try:
-            entries = sorted(os.scandir(here), key=lambda e: e.name)
+            if e.is_dir(follow_symlinks=False):
+                if not rules.ignored(lead + path, True):
+                    below.append(path)
+            elif e.is_file(follow_symlinks=False) and _extension(e.name) in CODE_EXTENSIONS and not rules.ignored(lead + path, False):
+                names.append(e.name)
         except OSError:
             continue
-        for e in entries:
-            if e.name.startswith(".") or e.name in SKIP_DIRS:
-                continue
-            path = f"{base}/{e.name}" if base else e.name
-            try:
-                if e.is_dir(follow_symlinks=False):
-                    if not rules.ignored(lead + path, True):
-                        work.append((path, rules))
-                elif e.is_file(follow_symlinks=False) and _extension(e.name) in CODE_EXTENSIONS and not rules.ignored(lead + path, False):
-                    names.append(e.name)
-            except OSError:
-                continue
-        if names:
-            yield base, names
+    return names, below, rules
 
 
 def _extension(name: str) -> str:
@@ -246,11 +268,75 @@ class SourceTreeReader(DataSourceReader):
 
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=FILES.fieldNames())
+        return _file_rows(rows)
+
+
+def _file_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()]
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=FILES.fieldNames())
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
     spark.dataSource.register(SourceTree)
     return spark.read.format("source_tree").option("root", root).load()
+
+
+def _list_rows(batches: Iterator[pa.RecordBatch], root: str, lead: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows (folder, rules) to rows of files (rules null) and of folders that are left to list."""
+    found: list[tuple[str, str | None]] = []
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([r for _, r in found], pa.string())], names=["path", "rules"])
+        found.clear()
+        return out
+
+    for batch in batches:
+        for folder, told in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            work, n = deque([(folder, IgnoreRules([tuple(r) for r in json.loads(told)]))]), 0
+            while work and (n < limit or work[0][0] == folder):  # breadth first, so that many small subtrees are handed on
+                base, rules = work.popleft()
+                names, below, rules = list_folder(root, lead, base, rules)
+                n += len(names) + len(below)
+                found += [(f"{base}/{x}" if base else x, None) for x in names]
+                work.extend((path, rules) for path in below)
+            told_on = {id(rules): json.dumps(rules.rules) for _, rules in work}
+            found += [(base, told_on[id(rules)]) for base, rules in work]
+            if len(found) > 10_000:
+                yield flush()
+    yield flush()
+
+
+def list_in_rounds(spark: SparkSession, root: str, scratch: Scratch, limit: int = NAMES_PER_TASK) -> DataFrame:
+    """relative_path of every indexable file.  The driver holds neither names nor folders, only how many rounds there were."""
+    lead, start = _start(root)
+    parts = spark.sparkContext.defaultParallelism
+    todo = spark.createDataFrame([("", json.dumps(start.rules))], "path string, rules string")
+    rounds = []
+    while True:
+        found = scratch.table(todo.mapInArrow(lambda it: _list_rows(it, root, lead, limit), "path string, rules string"), f"names-{len(rounds)}")
+        rounds.append(found.where("rules is null").select(F.col("path").alias("relative_path")))
+        left = found.where("rules is not null")
+        if left.isEmpty():
+            return reduce(DataFrame.union, rounds)
+        todo = left.repartition(parts)
+
+
+def scan_in_rounds(spark: SparkSession, root: str, scratch: Scratch, limit: int = NAMES_PER_TASK) -> DataFrame:
+    """The rows of :func:`scan`, listed and read by tasks."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for path in batch.column(0).to_pylist():
+                row = read_file(root, path)
+                if row is not None:
+                    rows.append(row)
+                    size += len(row[1])
+                if size > 16 << 20:
+                    yield _file_rows(rows)
+                    rows, size = [], 0
+            yield _file_rows(rows)
+
+    names = list_in_rounds(spark, root, scratch, limit)
+    return names.repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(read, FILES)
