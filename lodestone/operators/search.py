@@ -58,6 +58,12 @@ def query_tokens(spark, words: str, fields: tuple[str, ...]) -> dict[str, list[s
     return {f: list(row[f]) for f in fields}
 
 
+def query_sequences(spark, words: str, fields: tuple[str, ...]) -> dict[str, list[str]]:
+    """The tokens that each field's analyzer makes of a query, in order and with repetitions."""
+    row = spark.range(1).select(*(ANALYZERS[f](F.lit(words)).alias(f) for f in fields)).first()
+    return {f: list(row[f]) for f in fields}
+
+
 def _frequency(tokens: str, token: str) -> Column:
     return F.size(F.filter(tokens, lambda x: x == token))
 
@@ -115,6 +121,20 @@ def phrase_matches(post: DataFrame, field: str, tokens: list[str]) -> DataFrame:
     return joined.select("relative_path", F.size(common).alias("matches")).where("matches > 0")
 
 
+def phrase_scores(post: DataFrame, stats: DataFrame, field: str, tokens: list[str], boost: float = 1.0) -> DataFrame:
+    """relative_path, score: BM25 of a sequence of tokens as one term.
+
+    Its frequency in a document is how often the tokens stand side by side, by intersection of their shifted
+    positions (a token may repeat); its document frequency is the number of documents where they do.
+    """
+    hits = phrase_matches(post, field, tokens)
+    mine = stats.where(F.col("field") == field)
+    df = hits.agg(F.count(F.lit(1)).alias("df"))
+    totals = mine.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
+    scored = hits.join(mine.select("relative_path", "len"), "relative_path").crossJoin(F.broadcast(df)).crossJoin(F.broadcast(totals))  # one row each
+    return scored.select("relative_path", (boost * bm25(F.col("n"), F.col("df"), F.col("matches"), F.col("len"), F.col("mean"))).alias("score"))
+
+
 def top(scores: DataFrame, limit: int, path: str = "relative_path") -> DataFrame:
     return scores.orderBy(F.desc("score"), path).limit(limit)
 

@@ -6,7 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import analyze
@@ -14,6 +16,8 @@ from lodestone.functions.rowlocal import chunks
 
 #: The size of an embedding, and the tokens an encoder reads of a chunk.
 EMBED_DIM, ENCODER_TOKENS = 384, 512
+#: Vectors and queries of one matrix product.
+STORED_ROWS, QUERY_ROWS = 1 << 14, 1 << 10
 
 
 class HashedWords:
@@ -104,6 +108,56 @@ def cosine_scores(vectors: DataFrame, query: list[float], column: str = "embeddi
     return vectors.where(F.size(column) == len(query)).withColumn("score", analyze.cosine(F.col(column), target))
 
 
+def _best_of_cell(stored: pa.Table, asked: pa.Table, k: int, digits: int | None) -> pa.Table:
+    """The k best vectors of a cell for each of its queries, by one matrix product for each size of vector."""
+    out: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
+    if stored.num_rows and asked.num_rows:
+        stored, asked = stored.sort_by("key"), asked.combine_chunks()
+        sizes = [pc.list_value_length(t.column("vector")).combine_chunks().to_numpy(zero_copy_only=False) for t in (stored, asked)]
+        for dims in np.intersect1d(*sizes).tolist():
+            x, q = (t.filter(pa.array(n == dims)) for t, n in zip((stored, asked), sizes, strict=True))
+            a, b = (t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims) for t in (x, q))
+            scores = b @ a.T
+            scale = np.linalg.norm(b, axis=1)[:, None] * np.linalg.norm(a, axis=1)[None, :]
+            scores = np.divide(scores, scale, out=np.zeros_like(scores), where=scale > 0)
+            scores = scores if digits is None else np.round(scores, digits)
+            keys, names = x.column("key").combine_chunks(), q.column("query").combine_chunks()
+            for row, name, zero in zip(scores, names, ~b.any(axis=1), strict=True):
+                if not zero:
+                    near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                    near = near[np.argsort(-row[near], kind="stable")][:k]  # rows are in the order of their keys
+                    out.append((pa.repeat(name, len(near)), keys.take(pa.array(near)), row[near]))
+    columns = {"query": [o[0] for o in out], "key": [o[1] for o in out]}
+    empty = {"query": asked.schema.field("query").type, "key": stored.schema.field("key").type}
+    return pa.table({n: pa.concat_arrays(c) if c else pa.array([], empty[n]) for n, c in columns.items()} | {"score": np.concatenate([o[2] for o in out]) if out else np.zeros(0)})
+
+
+def batch_top_k(
+    stored: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query: str = "query_id", column: str = "embedding", digits: int | None = None,
+    stored_rows: int = STORED_ROWS, query_rows: int = QUERY_ROWS,
+) -> DataFrame:
+    """query, rank (from 1), key, score: the k vectors of the largest cosine for each of many query vectors, exactly.
+
+    Both sides are dealt in blocks, and each cell of a block with a block is a matrix product, of which k rows a query
+    go on; a task holds one cell.  A zero vector has similarity 0, a zero query or one of another size finds nothing,
+    ties go to the smaller key.  ``digits`` rounds scores before they are compared.
+    """
+    x = stored.where(F.col(column).isNotNull()).select(F.col(key).alias("key"), F.col(column).alias("vector"))
+    q = queries.where(F.col(column).isNotNull()).select(F.col(query).alias("query"), F.col(column).alias("vector"))
+    blocks, turns = (max(1, -(-df.count() // n)) for df, n in ((x, stored_rows), (q, query_rows)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    x, q = x.withColumn("block", deal("key", blocks)).withColumn("turn", all_of(turns)), q.withColumn("turn", deal("query", turns)).withColumn("block", all_of(blocks))
+    kinds = {n: df.schema[n].dataType.simpleString() for n, df in (("query", q), ("key", x))}
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        return _best_of_cell(a, b, k, digits)
+
+    found = x.groupBy("block", "turn").cogroup(q.groupBy("block", "turn")).applyInArrow(best, f"query {kinds['query']}, key {kinds['key']}, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias(query), "rank", F.col("key").alias(key), "score")
+
+
 def best_per_key(scored: DataFrame, key: str, carry: str, *more: str) -> DataFrame:
     """Each key's best score, and what goes with it (of equal scores the smaller ``carry``)."""
     best = F.max_by(F.struct("score", carry, *more), F.struct(F.col("score"), -F.col(carry)))

@@ -153,13 +153,20 @@ class Engine:
         return self.warehouse.read("files").select("relative_path", kind, "content")
 
     def _clause_hits(self, clause: Clause, boosts: dict[str, float]) -> DataFrame:
-        """relative_path, score of one clause; a phrase asks for its tokens side by side in one field."""
+        """relative_path, score of one clause; a phrase asks for its tokens side by side in one field.
+
+        A word of which a field's analyzer makes several tokens (``a.b``, ``snake_case``) is one term of that field.
+        """
         post, stats = self.warehouse.read("postings"), self.warehouse.read("field_stats")
         fields = (clause.field,) if clause.field else search.FIELDS
-        tokens = search.query_tokens(self.spark, clause.text, fields)
-        scores = search.index_scores(post, stats, tokens, {f: boosts[f] * clause.boost for f in fields})
+        weight = {f: boosts[f] * clause.boost for f in fields}
         if not clause.phrase:
-            return scores
+            sequences = search.query_sequences(self.spark, clause.text, fields)
+            scores = search.index_scores(post, stats, {f: t for f, t in sequences.items() if len(t) == 1}, weight)
+            several = [search.phrase_scores(post, stats, f, t, weight[f]) for f, t in sequences.items() if len(t) > 1]
+            return reduce(DataFrame.unionByName, several, scores).groupBy("relative_path").agg(F.sum("score").alias("score")) if several else scores
+        tokens = search.query_tokens(self.spark, clause.text, fields)
+        scores = search.index_scores(post, stats, tokens, weight)
         held = [search.phrase_matches(post, f, t).select("relative_path") for f, t in tokens.items() if t]
         return scores.join(reduce(DataFrame.union, held).distinct(), "relative_path", "left_semi") if held else scores.where("false")
 

@@ -9,6 +9,7 @@ both engines.  Doubles are rounded to 6 places.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -124,6 +125,33 @@ def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.phrase_matches(post, "content", ["the", "and"]).select(F.col("relative_path").alias("path"), F.col("matches").cast("long").alias("matches"))
 
 
+PHRASES = (("the", "anea", "eriner"), ("the", "the", "the"), ("is", "the", "is"), ("attion", "to"))
+
+
+def _phrase_sql(tokens: tuple[str, ...]) -> str:
+    same = " and ".join(f"toks[i + {k}] = '{t}'" for k, t in enumerate(tokens))
+    return f"select '{' '.join(tokens)}' as phrase, path, len(toks) as len, len(list_filter(range(1, len(toks) - {len(tokens) - 2}), lambda i: {same})) as tf from tokens"
+
+
+@query(f"""
+with docs as ({CORPUS_SQL}), tokens as (select path, {TOKENS_SQL.format('content')} as toks from docs), stats as (select count(*) as n, avg(len(toks)) as mean from tokens),
+hits as (select * from ({" union all ".join(_phrase_sql(p) for p in PHRASES)}) where tf > 0), df as (select phrase, count(*) as df from hits group by phrase)
+select phrase, path, tf as matches, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)), 6) as score from hits join df using (phrase) cross join stats""")
+def phrase_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 of sequences of tokens as terms of their own: two and three tokens, and repeated ones."""
+    docs = corpus(spark, sf_dir)
+    scratch = Scratch(spark, "phrases")
+    asked = {t for p in PHRASES for t in p}
+    post = scratch.table(search.postings(docs, ("content",)).where(F.col("token").isin(*asked)), "postings")
+    stats = scratch.table(search.field_stats(docs, ("content",)), "stats")
+    out = [
+        search.phrase_scores(post, stats, "content", list(p)).join(search.phrase_matches(post, "content", list(p)), "relative_path").withColumn("phrase", F.lit(" ".join(p)))
+        for p in PHRASES
+    ]
+    both = reduce(DataFrame.unionByName, out)
+    return both.select("phrase", F.col("relative_path").alias("path"), F.col("matches").cast("long").alias("matches"), F.round("score", 6).alias("score"))
+
+
 @query(f"select lang, count(*) as n_docs, sum(len({TOKENS_SQL.format('text')})) as n_tokens, round(avg(len({TOKENS_SQL.format('text')})), 6) as mean_tokens from documents group by lang")
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("lang", F.size(analyze.content_tokens(F.col("text"))).alias("n"))
@@ -363,6 +391,16 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cosines(spark, sf_dir).select("vec_id", "score").orderBy(F.desc("score"), "vec_id").limit(20)
 
 
+@query("""with s as (select q.vec_id as query_id, e.vec_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) as score
+from embeddings q cross join embeddings e where q.vec_id % 20 = 0), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 10""")
+def cosine_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact nearest vectors of many queries at once."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return vectors.batch_top_k(e, asked, 10, digits=6)
+
+
 @query(f"with {_COSINE_SQL}, r as (select *, row_number() over (partition by label order by score desc, vec_id) as k from cosines) select label, score, vec_id from r where k = 1")
 def best_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best vector of each label, as of each file's chunks."""
