@@ -12,7 +12,8 @@ features of it and have finite weights; only what is no text of a page (scripts,
 out before.  What an element says counts for the blocks below it, unless it wraps an article or more than half
 of the page's text, and not for an article within it.
 
-Character references are decoded in each text node.  Null and empty pages, and pages without text, give ''.
+Of several least cuts the one with least content is taken, so a block of score 0 without content beside it is
+boilerplate.  Character references are decoded in each text node.  Null and empty pages, and pages without text, give ''.
 Rows that repeat a page give the same text each; pages and blocks of any length are worked off whole.
 """
 
@@ -22,7 +23,7 @@ import html
 import math
 import random
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -53,10 +54,15 @@ MARKS = frozenset(
 )
 FILLERS = frozenset("area bar block body box content container cta form group inner item items left line links list main outer panel right row section site slot text top bottom unit wrap wrapper".split())
 
+# an attribute's value ends at its quote; without one, at white space or the tag's end, whatever quotes it holds; a
+# quote that nothing closes is part of a value without quotes
+_VALUE = r"""\s*+=\s*+(?>"([^"]*+)"|'([^']*+)'|([^\s>]*+))"""
+_ATTRIBUTE = re.compile(rf"""([^\s/>][^\s/>=]*+)(?:{_VALUE})?+""")
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
+    rf"""((?>[\s/]++|[^\s/>][^\s/>=]*+(?:{re.sub(r"\((?=\[)", "(?:", _VALUE)})?+)*+)(?:>|\Z)""", re.S
 )
-_NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_TOLD = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -67,6 +73,9 @@ FEATURES = (
 _FLAGS = FEATURES[9:]
 
 
+FAR = 64
+
+
 @dataclass(frozen=True)
 class Weights:
     """The classifier, one weight a feature, and the smoothness of the cut."""
@@ -109,8 +118,10 @@ def _says(tag: str, attributes: str, inside_main: bool) -> frozenset[str]:
     if tag in CHROME and not (tag == "header" and inside_main):
         said.add(CHROME[tag])
     if attributes and tag not in MAIN and tag not in ("body", "html"):
-        for name, *values in _NAMES.findall(attributes):
+        for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values).lower()
+            if name not in _TOLD:
+                continue
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 said.add("hidden")
                 continue
@@ -124,6 +135,7 @@ def _says(tag: str, attributes: str, inside_main: bool) -> frozenset[str]:
 def parse(page: str) -> list[Block]:
     """The text blocks of a page; tolerant of unclosed, stray and cut-off tags."""
     root = Element("", None, 0, False, False)
+    opened: Counter[str] = Counter()  # open elements by name, so that a stray end costs nothing
     here, block, blocks, at, links, elements = root, None, [], 0, 0, []
 
     def text(piece: str) -> None:
@@ -141,6 +153,12 @@ def parse(page: str) -> list[Block]:
         if links:
             block.linked += len(piece)
 
+    def leave() -> None:
+        nonlocal here, links
+        opened[here.tag] -= 1
+        links -= here.tag == "a"
+        here = here.parent
+
     def here_block() -> Element:
         e = here
         while e.tag in INLINE and e.parent is not None:
@@ -156,36 +174,32 @@ def parse(page: str) -> list[Block]:
         if tag not in INLINE and tag not in SILENT and not here.silent:
             block = None
         if m[1]:
-            e = here
-            while e is not root and e.tag != tag:
-                e = e.parent
-            if e is not root:
-                while here is not e:
-                    links -= here.tag == "a"
-                    here = here.parent
-                links -= here.tag == "a"
-                here = here.parent
+            if opened[tag]:
+                while here.tag != tag:
+                    leave()
+                leave()
             continue
         if tag == "br":
             text(" ")
         if tag in VOID:
             continue
         if tag not in INLINE and here.tag == "p" or tag == here.tag in ("li", "p", "dt", "dd", "option", "tr", "td", "th"):
-            here = here.parent
+            leave()
         elif tag not in INLINE and tag in ("p", "div", "li", "article", "section", "footer", "aside", "ul", "ol", "table", "h1", "h2", "h3"):
-            e, inline = here, 0
+            e = here
             while e.tag in INLINE and e.parent is not None:  # an open <p><b> ends where a block begins
-                inline += e.tag == "a"
                 e = e.parent
             if e.tag == "p" and e is not here:
-                links -= inline
-                here = e.parent
+                while here is not e:
+                    leave()
+                leave()
         if tag in MAIN:
             e = here
             while e is not None and not e.wraps:
                 e.wraps, e = True, e.parent
         here = Element(tag, here, here.depth + 1, here.silent or tag in SILENT, here.main or tag in MAIN, _says(tag, m[3] or "", here.main))
         elements.append(here)
+        opened[tag] += 1
         links += tag == "a"
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -221,8 +235,9 @@ def features(blocks: list[Block], texts: list[str]) -> np.ndarray:
 
 
 def tree_distance(a: Element, b: Element) -> int:
+    """Steps between two elements; beyond FAR the count stops, as an edge of so many halvings weighs nothing."""
     steps = 0
-    while a is not b:
+    while a is not b and steps < FAR:
         if a.depth >= b.depth:
             a = a.parent
         else:
