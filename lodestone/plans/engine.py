@@ -5,6 +5,7 @@ Results are DataFrames; :mod:`lodestone.plans.render` turns them into text.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from functools import partial, reduce
 from threading import Thread
@@ -100,18 +101,26 @@ class Engine:
         return counters
 
     def embed(self, background: bool = False, slices: int = 4) -> None:
-        """Embed the files that have no vectors, some at a time, each part a commit.  A later call supersedes this one."""
-        self.progress = {"generation": self.progress["generation"] + 1, "active": True, "total": 0, "done": 0, "error": None}
+        """Embed the files that have no vectors, some at a time, each part a commit.
+
+        A later call supersedes this one: its Spark jobs, which carry a tag of their own, are interrupted.
+        """
+        old = self.progress
+        tag = f"embed-{uuid.uuid4().hex}"
+        self.progress = {"generation": old["generation"] + 1, "active": True, "total": 0, "done": 0, "error": None, "tag": tag}
+        if old["active"]:
+            self.spark.sparkContext.cancelJobsWithTag(old["tag"])
+        progress = self.progress
         if not background:
-            self._embed(self.progress, 1)
+            self._embed(progress, 1)
             return
-        progress = self.progress
 
         def run() -> None:
             try:
                 self._embed(progress, slices)
             except Exception as e:  # told by the status, as nobody waits for the job
-                progress["error"] = f"{type(e).__name__}: {e}"[:500]
+                if progress is self.progress:
+                    progress["error"] = f"{type(e).__name__}: {e}"[:500]
 
         self._job = Thread(target=run, daemon=True)
         self._job.start()
@@ -123,11 +132,16 @@ class Engine:
 
     def _embed(self, progress: dict, slices: int) -> None:
         scratch = Scratch(self.spark, "embed")
+        tag = progress.get("tag")
+        if tag:
+            self.spark.sparkContext.addJobTag(tag)  # for the jobs of this thread
         try:
             read = self.warehouse.read
             missing = scratch.table(read("files").join(read("vectors").select("relative_path").distinct(), "relative_path", "left_anti"), "missing")
             progress["total"] = missing.count()
             for k in range(slices):
+                if progress is not self.progress:
+                    return
                 part = missing.where(F.pmod(F.xxhash64("relative_path"), F.lit(slices)) == k)
                 made = scratch.table(vectors.embed_files(part, self.provider).join(part.select("relative_path", "content_hash"), "relative_path"), f"vectors-{k}")
                 while progress is self.progress:
@@ -144,6 +158,8 @@ class Engine:
                 progress["done"] += part.count()
         finally:
             progress["active"] = False
+            if tag:
+                self.spark.sparkContext.removeJobTag(tag)
             scratch.drop()
 
     # --- Search ------------------------------------------------------------------------------------
