@@ -267,13 +267,19 @@ def pass_statistics(items: DataFrame, parts: Iterator[list[tuple[int, str]]], te
 def find_items(documents: DataFrame, items: DataFrame, text: str = "text", out: str = "matches", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """``documents`` with the test items that each whole text holds (an empty array for clean ones).
 
-    Null and empty texts hold none; a column named as ``out`` is replaced.  Nothing is shuffled.
+    Null and empty texts hold none; a column named as ``out`` is replaced.  Nothing is shuffled.  Where the items
+    take several passes, each pass writes its table before the next, so a task never holds more than one index.
     """
     documents = documents.drop(out).withColumn(out, F.array().cast(MATCH))
     parts = item_passes(items)
     ahead = list(islice(parts, 2))
-    for part, statistics in pass_statistics(items, chain(ahead, parts)) if len(ahead) > 1 else [(ahead[0], None)]:
-        documents = _one_pass(documents, part, statistics, text, out, threshold, overlap)
+    if len(ahead) == 1:
+        return _one_pass(documents, ahead[0], None, text, out, threshold, overlap)
+    scratch = Scratch(documents.sparkSession, "passes")
+    for k, (part, statistics) in enumerate(pass_statistics(items, chain(ahead, parts))):
+        documents = scratch.table(_one_pass(documents, part, statistics, text, out, threshold, overlap), f"pass-{k}")
+        if k:
+            scratch.drop(f"pass-{k - 1}")
     return documents
 
 
