@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -121,16 +122,39 @@ def chunks(content: Column) -> Column:
     return F.pandas_udf(_chunk_batch, CHUNKS)(content)
 
 
-def fnv1a(data: bytes) -> int:
-    """FNV-1a, 64 bits.  Fixed values: its offset and prime."""
-    h = 14695981039346656037
+#: Offset and prime of FNV-1a, 64 bits.
+FNV_OFFSET, FNV_PRIME = 14695981039346656037, 1099511628211
+#: Texts that are stepped together; the rest of fewer ones is worked off one by one.
+FNV_TOGETHER = 32
+
+
+def fnv1a(data: bytes, h: int = FNV_OFFSET) -> int:
+    """FNV-1a of some bytes, or of what follows bytes whose hash is ``h``."""
     for byte in data:
-        h = ((h ^ byte) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
+        h = ((h ^ byte) * FNV_PRIME) & 0xFFFFFFFFFFFFFFFF
     return h
 
 
+def fnv1a_of(texts: list[bytes]) -> list[int]:
+    """FNV-1a of each text: the k-th bytes of all that are long enough are taken in one step."""
+    order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
+    sizes = np.array([len(texts[k]) for k in order], dtype=np.int64)
+    data = np.frombuffer(b"".join(texts[k] for k in order), dtype=np.uint8)
+    at = np.cumsum(sizes) - sizes
+    h = np.full(len(texts), FNV_OFFSET, dtype=np.uint64)
+    together = int(sizes[FNV_TOGETHER - 1]) if len(texts) >= FNV_TOGETHER else 0
+    many = len(texts) - np.searchsorted(sizes[::-1], np.arange(together), side="right")
+    for k, n in enumerate(many.tolist()):
+        h[:n] = (h[:n] ^ data[at[:n] + k]) * np.uint64(FNV_PRIME)
+    out = [0] * len(texts)
+    for row, k in enumerate(order):
+        out[k] = fnv1a(texts[k][together:], int(h[row])) if len(texts[k]) > together else int(h[row])
+    return out
+
+
 def _fnv_batch(content: pd.Series) -> pd.Series:
-    return content.map(lambda s: None if s is None else f"{fnv1a(s.encode()):016x}")
+    known = content[content.notna()]
+    return pd.Series([f"{h:016x}" for h in fnv1a_of([s.encode() for s in known])], index=known.index, dtype=object).reindex(content.index)
 
 
 def fnv1a_hex(content: Column) -> Column:

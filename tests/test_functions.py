@@ -1,5 +1,8 @@
 """Scalar functions against definitions worked out by hand or in plain Python."""
 
+import random
+
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -96,3 +99,13 @@ def test_chunks_are_bytes_of_the_source(spark):
     for c in one(spark, text, rowlocal.chunks):
         assert text.encode()[c["off"] : c["off"] + c["len"]].decode() == c["text"]
     assert one(spark, "", rowlocal.chunks) == []
+
+
+def test_fnv_of_many_texts_together():
+    rng = random.Random(4)
+    texts = [bytes(rng.randrange(256) for _ in range(rng.choice((0, 1, 5, 80, 300)))) for _ in range(200)] + [b"x" * 5000]
+    assert rowlocal.fnv1a_of(texts) == [rowlocal.fnv1a(t) for t in texts]
+    assert rowlocal.fnv1a_of(texts[:3]) == [rowlocal.fnv1a(t) for t in texts[:3]] and rowlocal.fnv1a_of([]) == []
+    got = rowlocal._fnv_batch(pd.Series(["a", None, "", "é"] * 20, index=range(5, 85)))
+    assert list(got.index) == list(range(5, 85)) and got.isna().sum() == 20
+    assert list(got.dropna()[:3]) == ["af63dc4c8601ec8c", "cbf29ce484222325", f"{rowlocal.fnv1a('é'.encode()):016x}"]
