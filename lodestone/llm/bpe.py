@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from lodestone.llm.memory import lean
 
 #: Text handed to one run of the merge loop, in characters.
-RUN_CHARS = 6 << 20
+RUN_CHARS = 3 << 20
 
 #: The published split pattern of this vocabulary family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
