@@ -5,6 +5,8 @@ All stay in the JVM.  Patterns use Java's Unicode classes; ``(?d)`` makes line a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,7 @@ STARTERS_PATTERN = "(?:" + "|".join(s.replace("(", "\\(").replace(")", "\\)") fo
 #: Field boosts (symbols, basename, content) by kind of query.
 BOOSTS = {"symbol": (12.0, 4.0, 1.0), "path": (4.0, 9.0, 1.0), "general": (8.0, 6.0, 1.0)}
 
+#: Extensions of documents; all other files are code.
 DOC_EXTENSIONS = ("md", "txt", "rst", "org")
 
 
@@ -196,6 +199,14 @@ def cosine(vector: Column, query: Column) -> Column:
     return F.when(F.size(vector) != F.size(query), None).when(size > 0, dot / size).otherwise(0.0)
 
 
+def cosine_to(vector: Column, query: list[float]) -> Column:
+    """The same for a query that is known: its length is worked out once and not for each row."""
+    length = math.sqrt(math.fsum(x * x for x in query))
+    dot = F.aggregate(F.zip_with(vector, F.array(*(F.lit(float(x)) for x in query)), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda acc, x: acc + x)
+    size = norm(vector) * length
+    return F.when(F.size(vector) != len(query), None).when(size > 0, dot / size).otherwise(0.0)
+
+
 def snippet(content: Column, query: str, context: int = 5, most: int = 15) -> Column:
     """Up to 15 lines around the line that holds most of the query's words.
 

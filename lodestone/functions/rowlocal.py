@@ -43,6 +43,7 @@ def blank_rust_source(source: Column) -> Column:
     return F.pandas_udf(_blank_batch, T.StringType())(source)
 
 
+#: Estimated tokens of a chunk, aimed at and at most.
 TARGET_TOKENS, MAX_TOKENS = 512, 1024
 
 
@@ -128,6 +129,30 @@ FNV_OFFSET, FNV_PRIME = 14695981039346656037, 1099511628211
 FNV_TOGETHER = 32
 
 
+PARAGRAPHS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("off", T.LongType())]))
+#: Fixed value: the characters that Unicode calls white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def paragraph_rows(content: str) -> list[dict]:
+    """What stands between empty lines, trimmed, with the byte at which it began before it was trimmed; none is empty."""
+    out, at = [], 0
+    for piece in content.split("\n\n"):
+        if body := piece.strip(WHITE):
+            out.append({"text": body, "off": at})
+        at += len(piece.encode()) + 2
+    return out
+
+
+def _paragraph_batch(content: pd.Series) -> pd.Series:
+    return content.map(lambda s: paragraph_rows(s or ""))
+
+
+def paragraphs(content: Column) -> Column:
+    """Paragraphs of each text (text, off)."""
+    return F.pandas_udf(_paragraph_batch, PARAGRAPHS)(content)
+
+
 def fnv1a(data: bytes, h: int = FNV_OFFSET) -> int:
     """FNV-1a of some bytes, or of what follows bytes whose hash is ``h``."""
     for byte in data:

@@ -104,8 +104,7 @@ def cosine_scores(vectors: DataFrame, query: list[float], column: str = "embeddi
     """``vectors`` with their cosine similarity to the query; none for a zero query or another size."""
     if not any(query):
         return vectors.withColumn("score", F.lit(0.0)).where("false")
-    target = F.array(*(F.lit(float(x)) for x in query))
-    return vectors.where(F.size(column) == len(query)).withColumn("score", analyze.cosine(F.col(column), target))
+    return vectors.where(F.size(column) == len(query)).withColumn("score", analyze.cosine_to(F.col(column), query))
 
 
 def _best_of_cell(stored: pa.Table, asked: pa.Table, k: int, digits: int | None) -> pa.Table:

@@ -263,7 +263,7 @@ class Engine:
         task = f"{job['done']} of {job['total']} files embedded" if job["active"] else f"stopped: {job['error']}" if job["error"] else "idle"
         watcher = "none" if self.watcher is None else "running" if self.watcher.isActive else "stopped"
         return status_row(read("manifest"), read("vectors"), read("edges")).select(
-            "*", F.lit(self.warehouse.segments("postings")).alias("segments"), F.lit("loaded" if self.provider else "not installed").alias("model"),
+            "*", F.col("documents").alias("graph_files"), F.lit(self.warehouse.segments("postings")).alias("segments"), F.lit("loaded" if self.provider else "not installed").alias("model"),
             F.lit(task).alias("task"), F.lit(watcher).alias("watcher"), F.lit(self.root).alias("root"), F.lit(self.pending["paths"]).cast("long").alias("pending"),
             F.lit(self.pending["last_update"]).cast("timestamp").alias("last_update"), F.lit(self.pending["seconds"]).cast("double").alias("update_seconds"),
             readiness(F.col("documents"), F.lit(bool(self.provider)), F.lit(job["active"])).alias("readiness"),

@@ -32,6 +32,8 @@ def render_graph(operation: str, result: DataFrame, file: str | None = None) ->
         return _listed(f"files that import {file}", [r.src for r in result.toLocalIterator()])
     if operation == "cycles":
         return _listed("import cycles", [" > ".join([*r.cycle, r.cycle[0]]) for r in result.orderBy("cycle").toLocalIterator()])
+    if operation == "components":
+        return _listed("files in import circles, after the first file of their circle", [f"{r.component}: {r.node}" for r in result.orderBy("component", "node").toLocalIterator()])
     if operation == "path":
         return _listed("files on the shortest way", [r.node for r in result.toLocalIterator()])
     rows = [(r.depth, r.path) for r in result.orderBy("depth", "path").toLocalIterator()]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import analyze
-from lodestone.functions.rowlocal import chunks
+from lodestone.functions.rowlocal import chunks, paragraphs
 from lodestone.operators import graph, incremental, resolve, search, vectors
 from lodestone.operators.imports import extract_imports
 from lodestone.plans.engine import readiness, status_row
@@ -601,6 +601,18 @@ def chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("relative_path", "chunk_idx", "c.off", "c.len", analyze.estimated_tokens(F.col("c.text")).alias("tokens"))
 
 
+@query("""with t as (select doc_id, replace(replace(text, chr(10), chr(10) || chr(10)), '. ', '.' || chr(10) || chr(10) || ' ') as text from documents),
+p as (select doc_id, unnest(string_split(text, chr(10) || chr(10))) as piece, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) as i from t),
+o as (select doc_id, i, piece, coalesce(sum(strlen(piece) + 2) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as off from p),
+b as (select doc_id, i, off, regexp_replace(regexp_replace(piece, '^[\\s\\x0B\\x85\\p{Z}]+', ''), '[\\s\\x0B\\x85\\p{Z}]+$', '') as body from o)
+select doc_id, off, strlen(body) as len, sha256(body) as sha from b where body <> ''""")
+def paragraph_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of the documents, whose lines and sentences are set apart by empty lines first."""
+    apart = F.replace(F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")), F.lit(". "), F.lit(".\n\n "))
+    each = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(paragraphs(apart)).alias("p"))
+    return each.select("doc_id", "p.off", F.octet_length("p.text").cast("long").alias("len"), F.sha2(F.encode("p.text", "UTF-8"), 256).alias("sha"))
+
+
 @query(f"with recursive {_CHUNKS_SQL} select relative_path, chunk_idx, sha256(decode(array_slice(encode(text), off + 1, off + len))) as sha from chunks join d using (relative_path)")
 def chunk_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk's text read back from its document by byte range."""

@@ -54,3 +54,13 @@ def test_a_word_of_several_tokens_is_one_term(spark, tmp_path):
     n, mean, length = 4, (8 + 3 + 3 + 7) / 4, 7
     want = np.log(1 + (n - 1 + 0.5) / 1.5) * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * length / mean))
     assert np.isclose(search.phrase_scores(post, stats, "content", ["open", "file", "open"], 2.0).first().score, 2 * want)
+
+
+def test_cosine_to_a_known_query(spark):
+    from lodestone.functions import analyze
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([([1.0, 0.0],), ([0.0, 0.0],), ([1.0],), ([3.0, 4.0],)], "v array<float>")
+    got = [r.x for r in df.select(analyze.cosine_to(F.col("v"), [1.0, 1.0]).alias("x")).collect()]
+    assert np.isclose(got[0], 0.5**0.5) and got[1] == 0.0 and got[2] is None and np.isclose(got[3], 7 / 5 / 2**0.5)
+    assert vectors.cosine_scores(df, [0.0, 0.0], "v").count() == 0 and vectors.cosine_scores(df, [1.0], "v").count() == 1
