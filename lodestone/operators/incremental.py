@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.operators.imports import extract_imports
 from lodestone.operators.resolve import edges as resolve_edges
 from lodestone.operators.resolve import edges_to, known_targets, tried_paths, woken_importers
-from lodestone.runtime import Scratch
+from lodestone.runtime import Scratch, by_rows
 
 
 def manifest_of(files: DataFrame) -> DataFrame:
@@ -35,11 +35,11 @@ def counters(changes: DataFrame) -> DataFrame:
 def replace_rows(old: DataFrame, new: DataFrame, changes: DataFrame, key: str = "relative_path") -> DataFrame:
     """A derived table after a change: rows of changed and deleted files go, new ones come."""
     stale = changes.where("change <> 'unchanged'").select(F.col("relative_path").alias(key))
-    return old.join(stale, key, "left_anti").select(new.columns).unionByName(new)
+    return old.join(by_rows(stale), key, "left_anti").select(new.columns).unionByName(new)
 
 
 def changed_files(files: DataFrame, changes: DataFrame) -> DataFrame:
-    return files.join(changes.where("change in ('added', 'updated')").select("relative_path"), "relative_path", "left_semi")
+    return files.join(by_rows(changes.where("change in ('added', 'updated')").select("relative_path")), "relative_path", "left_semi")
 
 
 def refresh_edges(manifest: DataFrame, imports: DataFrame, tries: DataFrame, new_manifest: DataFrame, parsed: DataFrame, changes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -49,12 +49,14 @@ def refresh_edges(manifest: DataFrame, imports: DataFrame, tries: DataFrame, new
     ``parsed`` of the files that were added or updated.  All other edges stay as they are.
     """
     touched = changes.where("change <> 'unchanged'").select("relative_path")
-    woken = scratch.table(woken_importers(tries, changes).join(touched, "relative_path", "left_anti"), "woken")
-    again = imports.join(woken, "relative_path", "left_semi").select(parsed.columns).unionByName(parsed)
+    woken = scratch.table(woken_importers(tries, changes).join(by_rows(touched), "relative_path", "left_anti"), "woken")
+    again = imports.join(by_rows(woken), "relative_path", "left_semi").select(parsed.columns).unionByName(parsed)
     asked = scratch.table(again, "asked-imports")
     # of all files only those that these imports try take part
     known = known_targets(replace_rows(manifest, new_manifest, changes))
-    return edges_to(known.join(tried_paths(asked).select("candidate").distinct(), "candidate", "left_semi"), asked), woken
+    names = scratch.table(tried_paths(asked).select("candidate").distinct(), "asked-names")
+    known = scratch.table(known.join(by_rows(names), "candidate", "left_semi"), "known")
+    return edges_to(by_rows(known), by_rows(asked)), woken
 
 
 def refresh_imports(imports: DataFrame, files: DataFrame, changes: DataFrame) -> DataFrame:

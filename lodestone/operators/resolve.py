@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.analyze import normalize_path, parent
 from lodestone.operators.imports import JS
+from lodestone.runtime import by_rows
 
 #: Orders in which names are tried.
 JS_ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
@@ -107,7 +108,7 @@ def woken_importers(tries: DataFrame, changes: DataFrame) -> DataFrame:
     moved = changes.where("change in ('added', 'deleted')").select("relative_path")
     folder = F.when(F.endswith("relative_path", F.lit(".go")) & F.contains("relative_path", F.lit("/")), F.concat(F.lit("go:"), parent(F.col("relative_path"))))
     names = moved.select(F.explode(F.array_compact(F.array(F.col("relative_path"), folder))).alias("candidate")).distinct()
-    return tries.join(names, "candidate", "left_semi").select("relative_path").distinct()
+    return tries.join(by_rows(names), "candidate", "left_semi").select("relative_path").distinct()
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame, crate_root: str = "src") -> DataFrame:

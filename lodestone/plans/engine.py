@@ -18,7 +18,7 @@ from lodestone.operators import graph, incremental, search, vectors
 from lodestone.operators.imports import extract_imports
 from lodestone.operators.resolve import tried_paths
 from lodestone.plans.query import Clause, Group, parse
-from lodestone.runtime import Scratch
+from lodestone.runtime import Scratch, by_rows
 from lodestone.sources.files import scan_in_rounds
 from lodestone.sources.warehouse import SupersededError, Warehouse
 
@@ -68,9 +68,9 @@ class Engine:
         scratch = Scratch(self.spark, "apply")
         try:
             deleted = scratch.table(deleted.select("relative_path").distinct(), "deleted")
-            changed = scratch.table(changed.join(deleted, "relative_path", "left_anti"), "changed")
+            changed = scratch.table(changed.join(by_rows(deleted), "relative_path", "left_anti"), "changed")
             touched = changed.select("relative_path").union(deleted)
-            before = self.warehouse.read("manifest").join(touched, "relative_path", "left_semi")
+            before = self.warehouse.read("manifest").join(by_rows(touched), "relative_path", "left_semi")
             return self._apply(changed, incremental.diff(before, incremental.manifest_of(changed)), scratch, background)
         finally:
             scratch.drop()

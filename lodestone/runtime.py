@@ -16,6 +16,7 @@ import uuid
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "lodestone", cores: int | None = None, **conf: str) -> SparkSession:
@@ -102,6 +103,22 @@ class Scratch:
             _open.pop(self.path, None)
 
 
+#: Rows of a stored table up to which it is broadcast, and bytes of its files where rows are not counted.
+FEW_ROWS, FEW_BYTES = 20_000, 256 << 10
+
+
+def by_rows(df: DataFrame) -> DataFrame:
+    """A stored table as one side of a join: broadcast if it has few rows, and otherwise not.
+
+    Spark goes by the size of the files, and names in compressed files are a small part of what they are in memory.
+    """
+    return by_size(df, df.limit(FEW_ROWS + 1).count() <= FEW_ROWS)
+
+
+def by_size(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df.hint("merge")
+
+
 def sweep() -> int:
     """Drop the tables of all query runs of this process; none of their results can be read after it."""
     left = list(_open.values())
