@@ -53,7 +53,8 @@ def fold(text: Column) -> Column:
 def content_tokens(text: Column) -> Column:
     """Analyzer of contents: runs shorter than 40 bytes, lower case, folded to ASCII."""
     short = F.filter(simple_tokens(text), lambda t: F.octet_length(t) < LONG_TOKEN_BYTES)
-    return F.transform(short, lambda t: fold(F.lower(t)))
+    plain = lambda t: F.octet_length(t) == F.char_length(t)  # noqa: E731  # ASCII has nothing to fold
+    return F.transform(short, lambda t: F.when(plain(t), F.lower(t)).otherwise(fold(F.lower(t))))
 
 
 def path_tokens(text: Column) -> Column:
@@ -110,7 +111,9 @@ def symbols(content: Column) -> Column:
     starts = F.filter(lines_of(content), lambda x: F.rlike(x, F.lit(r"(?U)^\s*" + STARTERS_PATTERN)))
     rests = F.transform(starts, lambda x: F.regexp_replace(x, r"(?U)^\s*" + STARTERS_PATTERN + r"\s*", ""))
     names = F.transform(rests, lambda x: F.regexp_extract(skip_generics(x), r"(?U)^\s*([\p{IsAlphabetic}\p{N}_]*)", 1))
-    return F.array_join(F.array_sort(F.array_distinct(F.filter(names, lambda s: F.octet_length(s) >= 2))), " ")
+    found = F.array_join(F.array_sort(F.array_distinct(F.filter(names, lambda s: F.octet_length(s) >= 2))), " ")
+    # most texts define nothing, which one search tells
+    return F.when(F.rlike(content, F.lit(r"(?mU)^\s*" + STARTERS_PATTERN)), found).when(content.isNotNull(), "")
 
 
 def kind_of(extension: Column) -> Column:

@@ -10,10 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.functions.memory import lean
+
 #: One alternation, first branch first: raw strings, strings, line comments, block comments.
 _RUST_HIDDEN = re.compile(r'r(?P<h>#*)"(?P<raw>.*?)"(?P=h)|"(?P<str>(?:\\.|[^"\\])*)"?|//(?P<line>[^\n]*)|/\*(?P<block>.*?)(?:\*/|\Z)', re.S)
 
@@ -123,6 +127,45 @@ def chunks(content: Column) -> Column:
     return F.pandas_udf(_chunk_batch, CHUNKS)(content)
 
 
+#: Tokens that are told apart in one step.
+TOKENS_TOGETHER, TOKEN_ROWS = 1 << 19, 1 << 16
+
+
+def _token_rows(names: pa.Array, lists: pa.Array, field: str) -> pa.RecordBatch:
+    """Of some documents' lists of tokens: each token of each document, in the order of tokens, with its positions."""
+    flat, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner, place = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    words = flat.dictionary_encode()
+    turn = np.empty(len(words.dictionary), dtype=np.int64)  # words are sorted, so that the table's sort meets long runs
+    turn[pc.sort_indices(words.dictionary).to_numpy()] = np.arange(len(turn))
+    code = words.indices.to_numpy(zero_copy_only=False)
+    key = turn[code] * len(sizes) + owner
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    ends = np.append(first, len(key)).astype(np.int32)
+    columns = [
+        pa.repeat(field, len(first)), words.dictionary.take(pa.array(code[order[first]])), names.take(pa.array(owner[order[first]])),
+        pa.array(np.diff(ends), pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order].astype(np.int32))),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["field", "token", "relative_path", "tf", "positions"])
+
+
+def token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """field, token, relative_path, tf, positions of batches of relative_path and a list of tokens for each field."""
+    for batch in batches:
+        names = batch.column(0)
+        for k, field in enumerate(batch.schema.names[1:], 1):
+            lists, at = batch.column(k), 0
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            while at < len(names):
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOKENS_TOGETHER, side="right")))
+                rows = _token_rows(names[at:stop], lists[at:stop], field)
+                for lo in range(0, rows.num_rows, TOKEN_ROWS):
+                    yield rows.slice(lo, TOKEN_ROWS)
+                at = stop
+
+
 #: Offset and prime of FNV-1a, 64 bits.
 FNV_OFFSET, FNV_PRIME = 14695981039346656037, 1099511628211
 #: Texts that are stepped together; the rest of fewer ones is worked off one by one.

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestone.llm.memory import lean
+from lodestone.functions.memory import lean
 
 #: Text handed to one run of the merge loop, in characters.
 RUN_CHARS = 3 << 20

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.memory import lean
+from lodestone.functions.memory import lean
 from lodestone.runtime import Scratch
 
 MAX_ROUNDS = 60

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.memory import lean
+from lodestone.functions.memory import lean
 from lodestone.llm.words import LOOSE, blocks, ngrams
 from lodestone.runtime import Scratch
 

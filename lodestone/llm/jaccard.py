@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import UnionFind, connected_components
-from lodestone.llm.memory import lean
+from lodestone.functions.memory import lean
 from lodestone.llm.words import blocks, mix, shingle_set
 from lodestone.runtime import Scratch
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lodestone.llm.bpe import stretches
-from lodestone.llm.memory import lean
+from lodestone.functions.memory import lean
 
 SPACE = "▁"
 #: Fixed value: the penalty of an unknown character.

@@ -82,7 +82,8 @@ class Engine:
         counters = self.spark.createDataFrame(incremental.counters(changes).collect(), "total_files long, added long, updated long, deleted long, needs_embedding long")
         if state["version"] and changes.where("change <> 'unchanged'").isEmpty():
             return counters
-        fresh = scratch.table(incremental.changed_files(files, changes), "fresh")
+        # both callers give a stored table; of a first build all of it is new
+        fresh = scratch.table(incremental.changed_files(files, changes), "fresh") if state["version"] else files.where("relative_path is not null")
         stale = changes.where("change in ('updated', 'deleted')").select("relative_path")
         docs, manifest = search.search_documents(fresh), incremental.manifest_of(fresh)
         parsed = scratch.table(extract_imports(fresh), "imports")
@@ -92,7 +93,7 @@ class Engine:
         tries = tried_paths(before("imports")) if untold else before("tries")
         edges, woken = incremental.refresh_edges(before("manifest"), before("imports"), tries, manifest, parsed, changes, scratch)
         rows = {
-            "files": fresh, "manifest": manifest, "postings": search.postings(docs), "field_stats": search.field_stats(docs), "imports": parsed,
+            "files": fresh, "manifest": manifest, "postings": search.whole_postings(docs), "field_stats": search.field_stats(docs), "imports": parsed,
             "tries": incremental.replace_rows(tries, tried_paths(parsed), changes) if untold else tried_paths(parsed), "edges": edges,
         }
         self.warehouse.commit(state["version"], rows, stale, {"edges": woken})
