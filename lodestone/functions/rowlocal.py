@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.functions.memory import lean
+from lodestone.functions.memory import give_back
 
 #: One alternation, first branch first: raw strings, strings, line comments, block comments.
 _RUST_HIDDEN = re.compile(r'r(?P<h>#*)"(?P<raw>.*?)"(?P=h)|"(?P<str>(?:\\.|[^"\\])*)"?|//(?P<line>[^\n]*)|/\*(?P<block>.*?)(?:\*/|\Z)', re.S)
@@ -106,25 +106,46 @@ def chunk_spans(content: str) -> list[tuple[int, int]]:
     return out + ([open_span] if open_span else [])
 
 
-CHUNKS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("off", T.LongType()), T.StructField("len", T.LongType())]))
+SPANS = T.ArrayType(T.StructType([T.StructField("off", T.LongType()), T.StructField("len", T.LongType())]))
 
 
-def _chunk_batch(content: pd.Series) -> pd.Series:
-    def of(text: str | None) -> list[dict]:
-        out, at, byte = [], 0, 0
-        for lo, hi in chunk_spans(text or ""):
+def _span_batch(content: pa.Array) -> pa.Array:
+    """Byte spans of the chunks of some texts, of which one at a time is taken out of the batch."""
+    ends, spans = [0], []
+    for scalar in content:
+        text, at, byte = scalar.as_py() or "", 0, 0
+        for lo, hi in chunk_spans(text):
             byte += len(text[at:lo].encode())
             size = len(text[lo:hi].encode())
-            out.append({"text": text[lo:hi], "off": byte, "len": size})
+            spans += (byte, size)
             at, byte = hi, byte + size
-        return out
+        ends.append(len(spans) // 2)
+    pairs = np.array(spans, dtype=np.int64).reshape(-1, 2)
+    both = pa.StructArray.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["off", "len"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), both)
 
-    return content.map(of)
+
+def chunk_bytes(content: Column) -> Column:
+    """Byte spans (off, len) of the chunks of each text.  Only texts of several chunks pass through Python."""
+
+    @F.arrow_udf(SPANS)
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                yield _span_batch(texts)
+        finally:
+            give_back()
+
+    size = F.octet_length(content)
+    short = size < 4 * (MAX_TOKENS + 1)
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("off"), size.cast("long").alias("len")))
+    return F.when(F.coalesce(size, F.lit(0)) == 0, F.array().cast(SPANS)).when(short, whole).otherwise(cut(F.when(~short, content)))
 
 
 def chunks(content: Column) -> Column:
     """Chunks of each text with byte offsets into it: text equals the bytes [off, off + len)."""
-    return F.pandas_udf(_chunk_batch, CHUNKS)(content)
+    text = lambda s: F.decode(F.substring(F.encode(content, "UTF-8"), (s["off"] + 1).cast("int"), s["len"].cast("int")), "UTF-8")
+    return F.transform(chunk_bytes(content), lambda s: F.struct(text(s).alias("text"), s["off"].alias("off"), s["len"].alias("len")))
 
 
 #: Tokens that are told apart in one step.

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import analyze
-from lodestone.functions.rowlocal import chunks, paragraphs
+from lodestone.functions.rowlocal import chunk_bytes, paragraphs
 from lodestone.operators import graph, incremental, resolve, search, vectors
 from lodestone.operators.imports import extract_imports
 from lodestone.plans.engine import readiness, status_row
@@ -597,8 +597,8 @@ chunks as (select relative_path, (row_number() over (partition by relative_path
 @query(f"with recursive {_CHUNKS_SQL} select relative_path, chunk_idx, off, len, len // 4 as tokens from chunks")
 def chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of every document with their byte spans."""
-    docs = corpus(spark, sf_dir).select("relative_path", F.posexplode(chunks(F.col("content"))).alias("chunk_idx", "c"))
-    return docs.select("relative_path", "chunk_idx", "c.off", "c.len", analyze.estimated_tokens(F.col("c.text")).alias("tokens"))
+    docs = corpus(spark, sf_dir).select("relative_path", F.posexplode(chunk_bytes(F.col("content"))).alias("chunk_idx", "c"))
+    return docs.select("relative_path", "chunk_idx", "c.off", "c.len", (F.col("c.len") / 4).cast("long").alias("tokens"))
 
 
 @query("""with t as (select doc_id, replace(replace(text, chr(10), chr(10) || chr(10)), '. ', '.' || chr(10) || chr(10) || ' ') as text from documents),
@@ -616,7 +616,7 @@ def paragraph_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with recursive {_CHUNKS_SQL} select relative_path, chunk_idx, sha256(decode(array_slice(encode(text), off + 1, off + len))) as sha from chunks join d using (relative_path)")
 def chunk_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk's text read back from its document by byte range."""
-    docs = corpus(spark, sf_dir).select("relative_path", "content", F.posexplode(chunks(F.col("content"))).alias("chunk_idx", "c"))
+    docs = corpus(spark, sf_dir).select("relative_path", "content", F.posexplode(chunk_bytes(F.col("content"))).alias("chunk_idx", "c"))
     return docs.select("relative_path", "chunk_idx", F.sha2(F.encode(analyze.byte_range(F.col("content"), F.col("c.off"), F.col("c.len")), "UTF-8"), 256).alias("sha"))
 
 
