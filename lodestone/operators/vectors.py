@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,12 +15,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import analyze
+from lodestone.functions.memory import give_back
 from lodestone.functions.rowlocal import chunks
 
 #: The size of an embedding, and the tokens an encoder reads of a chunk.
 EMBED_DIM, ENCODER_TOKENS = 384, 512
-#: Vectors and queries of one matrix product.
-STORED_ROWS, QUERY_ROWS = 1 << 14, 1 << 10
+#: Vectors and queries of one cell, and scores of one matrix product (8 bytes each).
+STORED_ROWS, QUERY_ROWS, CELL_SCORES = 1 << 14, 1 << 10, 1 << 20
 
 
 class HashedWords:
@@ -108,7 +112,7 @@ def cosine_scores(vectors: DataFrame, query: list[float], column: str = "embeddi
 
 
 def _best_of_cell(stored: pa.Table, asked: pa.Table, k: int, digits: int | None) -> pa.Table:
-    """The k best vectors of a cell for each of its queries, by one matrix product for each size of vector."""
+    """The k best vectors of a cell for each of its queries, by matrix products for each size of vector."""
     out: list[tuple[pa.Array, pa.Array, np.ndarray]] = []
     if stored.num_rows and asked.num_rows:
         stored, asked = stored.sort_by("key"), asked.combine_chunks()
@@ -116,16 +120,18 @@ def _best_of_cell(stored: pa.Table, asked: pa.Table, k: int, digits: int | None)
         for dims in np.intersect1d(*sizes).tolist():
             x, q = (t.filter(pa.array(n == dims)) for t, n in zip((stored, asked), sizes, strict=True))
             a, b = (t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims) for t in (x, q))
-            scores = b @ a.T
-            scale = np.linalg.norm(b, axis=1)[:, None] * np.linalg.norm(a, axis=1)[None, :]
-            scores = np.divide(scores, scale, out=np.zeros_like(scores), where=scale > 0)
-            scores = scores if digits is None else np.round(scores, digits)
-            keys, names = x.column("key").combine_chunks(), q.column("query").combine_chunks()
-            for row, name, zero in zip(scores, names, ~b.any(axis=1), strict=True):
-                if not zero:
-                    near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-                    near = near[np.argsort(-row[near], kind="stable")][:k]  # rows are in the order of their keys
-                    out.append((pa.repeat(name, len(near)), keys.take(pa.array(near)), row[near]))
+            long_a, long_b, some = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1), max(1, CELL_SCORES // len(a))
+            keys, names, zeros = x.column("key").combine_chunks(), q.column("query").combine_chunks(), ~b.any(axis=1)
+            for lo in range(0, len(b), some):  # some queries at a time, so that few scores stand in memory at once
+                scores = b[lo : lo + some] @ a.T
+                scale = long_b[lo : lo + some, None] * long_a[None, :]
+                scores = np.divide(scores, scale, out=np.zeros_like(scores), where=scale > 0)
+                scores = scores if digits is None else np.round(scores, digits, out=scores)
+                for row, name, zero in zip(scores, names[lo : lo + some], zeros[lo : lo + some], strict=True):
+                    if not zero:
+                        near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                        near = near[np.argsort(-row[near], kind="stable")][:k]  # rows are in the order of their keys
+                        out.append((pa.repeat(name, len(near)), keys.take(pa.array(near)), row[near]))
     columns = {"query": [o[0] for o in out], "key": [o[1] for o in out]}
     empty = {"query": asked.schema.field("query").type, "key": stored.schema.field("key").type}
     return pa.table({n: pa.concat_arrays(c) if c else pa.array([], empty[n]) for n, c in columns.items()} | {"score": np.concatenate([o[2] for o in out]) if out else np.zeros(0)})
@@ -150,7 +156,10 @@ def batch_top_k(
     kinds = {n: df.schema[n].dataType.simpleString() for n, df in (("query", q), ("key", x))}
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        return _best_of_cell(a, b, k, digits)
+        try:
+            return _best_of_cell(a, b, k, digits)
+        finally:
+            give_back()
 
     found = x.groupBy("block", "turn").cogroup(q.groupBy("block", "turn")).applyInArrow(best, f"query {kinds['query']}, key {kinds['key']}, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))
