@@ -90,8 +90,11 @@ def bm25_scope_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_bm25_sql())
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same through postings and field statistics."""
-    docs = corpus(spark, sf_dir)
-    scores = search.index_scores(search.postings(docs, ("content",)), search.field_stats(docs, ("content",)), {"content": list(WORDS)}, {"content": 1.0})
+    docs, scratch = corpus(spark, sf_dir), Scratch(spark, "postings")
+    # each is read twice, for a statistic and for the scores, and is analysed once
+    post = scratch.table(search.postings(docs, ("content",)).where(F.col("token").isin(*WORDS)), "postings")
+    stats = scratch.table(search.field_stats(docs, ("content",)), "stats")
+    scores = search.index_scores(post, stats, {"content": list(WORDS)}, {"content": 1.0})
     return search.top(scores.select("relative_path", F.round("score", 6).alias("score")), 30).withColumnRenamed("relative_path", "path")
 
 
