@@ -31,17 +31,19 @@ class HashedWords:
         self.dim = dim
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        import re
-        import zlib
-
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         for k, text in enumerate(texts):
-            for word in re.findall(r"\w+", (text or "").lower()):
-                h = zlib.crc32(word.encode())
-                out[k, (h >> 1) % self.dim] += 1.0 if h & 1 else -1.0
+            words = re.findall(r"\w+", (text or "").lower())
+            h = np.fromiter(map(_crc, words), np.int64, len(words))
+            out[k] = np.bincount((h >> 1) % self.dim, np.where(h & 1, 1.0, -1.0), self.dim)
         return _unit(out)
 
 
+@lru_cache(1 << 18)
+def _crc(word: str) -> int:
+    return zlib.crc32(word.encode())
+
+
 class OnnxEncoder:
     """A sentence encoder from a folder with ``model.onnx`` (or ``model_quantized.onnx``) and ``tokenizer.json``.
 
